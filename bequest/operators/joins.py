@@ -99,12 +99,23 @@ def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, checked.where(F.col("reject_code").isNotNull())
 
 
-def judged_by_key(batch: DataFrame, keys: list[str], judge) -> DataFrame:
+def judged_by_key(batch: DataFrame, keys: list[str], judge, *aggregates: Column) -> DataFrame:
     """Look facts up once per distinct key and hand them to every row of the batch.
 
-    `judge` gets the distinct keys and adds columns.  However often a key repeats in the
-    batch, its lookups run once, and its rows are spread when the facts are joined back.
+    `judge` gets the distinct keys with the given aggregates and adds columns.  However often
+    a key repeats in the batch, its lookups run once, and its rows are spread when the facts
+    are joined back.
     """
-    counted = rows_per(batch, *keys, name="__rows")
-    facts = judge(counted.select(*keys))
-    return spread_join(batch, facts, keys, "left", counts=counted)
+    counted = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *aggregates)
+    facts = judge(counted.drop("__rows"))
+    return spread_join(batch, facts, keys, "left", counts=counted.select(*keys, "__rows"))
+
+
+def join_spreading_nulls(many: DataFrame, one: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """Left join in which the rows without a key do not end up in one task."""
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int")
+    salt = F.when(F.col(key).isNull(), spread).otherwise(F.lit(0))
+    joined = many.withColumn("__salt", salt).join(
+        one.withColumn("__salt", F.lit(0)), [key, "__salt"], "left"
+    )
+    return joined.drop("__salt")

@@ -23,6 +23,7 @@ from bequest.operators.joins import (
     spread_join,
 )
 from bequest.operators.ordered import CHUNK, first_rows, last_before
+from bequest.session import written
 
 Tables = dict[str, DataFrame]
 
@@ -101,32 +102,19 @@ def _set_status(wills: DataFrame, moved: DataFrame, status: str, as_of: Column)
     )
 
 
-def _keep_first(checked: DataFrame, key: str, code: int, reason: str) -> DataFrame:
-    """Of the accepted requests of one key only the first stands; later ones meet its result."""
-    counted = checked.groupBy(key).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.min(F.when(F.col("reject_code").isNull(), F.col("seq"))).alias("__first"),
-    )
-    joined = spread_join(
-        checked, counted.select(key, "__first"), [key], "left", counts=counted.select(key, "__rows")
-    )
-    late = F.col("reject_code").isNull() & (F.col("seq") > F.col("__first"))
-    return joined.select(
-        *checked.columns[:-2],
-        F.when(late, F.lit(code)).otherwise(F.col("reject_code")).alias("reject_code"),
-        F.when(late, F.lit(reason)).otherwise(F.col("reject_reason")).alias("reject_reason"),
-    )
-
-
 # --- wills -----------------------------------------------------------------------------------
 
 
 def approve_wills(requests: DataFrame, tables: Tables, as_of: Column, actor: str) -> Tables:
     checked = rules.check_approvals(
-        requests, tables["wills"], tables["executors"], tables["assets"], tables["shares"]
+        requests,
+        tables["wills"],
+        tables["executors"],
+        tables["assets"],
+        tables["shares"],
+        once=True,
     )
-    checked = _keep_first(checked, "will_id", -20092, "will is Approved")
-    accepted, rejected = split_checked(checked)
+    accepted, rejected = split_checked(written(checked, "approvals"))
     done = _audit(
         accepted,
         actor,
@@ -206,10 +194,11 @@ def status_history(
     stepped = scanned.withColumn("old_status", old).select(
         *changes.columns, "old_status", "__first"
     )
-    checked = stepped.select(
+    judged = stepped.drop("__first").select(
         "*", *first_failure(*rules.status_checks(F.col("old_status"), F.col("new_status")))
     )
-    accepted, rejected = split_checked(checked.drop("__first"))
+    checked = written(judged, "status-changes")
+    accepted, rejected = split_checked(checked)
     moved = accepted.where(F.col("old_status") != F.col("new_status"))
     after = F.when(F.col("reject_code").isNull(), F.col("new_status")).otherwise(
         F.col("old_status")
@@ -308,10 +297,13 @@ def delete_wills(
 ) -> Tables:
     """Delete wills with everything that hangs on them."""
     checked = rules.check_deletions(requests, tables["wills"], enforce_protection)
-    accepted, rejected = split_checked(checked)
+    accepted, rejected = split_checked(written(checked, "deletions"))
     status = tables["wills"].select("will_id", F.col("status").alias("old_status"))
-    doomed = matching(status, accepted, "will_id")
-    gone_assets = matching(tables["assets"].select("asset_id", "will_id"), doomed, "will_id")
+    doomed = written(matching(status, accepted, "will_id"), "deleted-wills")
+    gone_assets = written(
+        matching(tables["assets"].select("asset_id", "will_id"), doomed, "will_id"),
+        "deleted-assets",
+    )
 
     def target(kind: str, ids: DataFrame, key: str) -> DataFrame:
         return ids.select(F.lit(kind).alias("related_entity"), F.col(key).alias("entity_id"))
@@ -351,7 +343,9 @@ def delete_wills(
     for name, df in counted.items():
         part = df.select("will_id", F.lit(name).alias("table"), "rows")
         rows = part if rows is None else rows.unionByName(part)
-    deleted = rows.groupBy("will_id", "table").agg(F.sum("rows").alias("rows"))
+    deleted = written(
+        rows.groupBy("will_id", "table").agg(F.sum("rows").alias("rows")), "deleted-counts"
+    )
 
     def count_of(name: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("table") == name, F.col("rows"))), F.lit(0))
@@ -442,7 +436,7 @@ def accept_in_order(
         requests, facts, ["asset_id"], "left", counts=wanted.select("asset_id", "__rows")
     )
     left = F.coalesce("room", F.lit(10000))
-    known = known.withColumn("room", left)
+    known = written(known.withColumn("room", left), "share-requests")
     fits = F.col("__wanted") <= F.col("room")
     easy = known.where(fits)
     contested = known.where(~fits)
@@ -492,7 +486,7 @@ def assign_shares(
     checked = rules.check_assignment_targets(
         requests, tables["assets"], tables["wills"], tables["beneficiaries"]
     )
-    valid, broken = split_checked(checked)
+    valid, broken = split_checked(written(checked, "checked-shares"))
     cents = (F.col("share_percent") * 100).cast("long")
     stored = (
         tables["shares"]
@@ -545,6 +539,7 @@ def transfer_assets(
     requests: DataFrame, tables: Tables, as_of: Column, actor: str
 ) -> Tables:
     """Start transfers on business days; the first of an Approved will makes it Executing."""
+    low = rules.incomplete_assets(tables["assets"], tables["shares"], M.FULL_PERCENT)
     eligible = rules.check_transfers(
         requests,
         tables["assets"],
@@ -552,25 +547,25 @@ def transfer_assets(
         tables["shares"],
         tables["wills"],
         tables["transfers"],
+        per_will=low,
     )
-    wanted = eligible.columns
-    fine, unfit = split_checked(eligible)
-    dated = rules.check_business_day(fine, tables["holidays"], as_of)
-    timely, untimely = split_checked(dated)
-
-    low = rules.incomplete_assets(tables["assets"], tables["shares"], M.FULL_PERCENT)
-    facts = judged_by_key(timely, ["will_id"], lambda keys: keys.join(low, "will_id", "left"))
+    # Eligibility, then the calendar, then the completeness of the will that starts executing.
+    first = eligible.withColumnsRenamed({"reject_code": "__code", "reject_reason": "__reason"})
+    dated = rules.check_business_day(first, tables["holidays"], as_of)
     short = (F.col("will_status") == "Approved") & (F.col("incomplete") > 0)
     reason = text.join_text(F.col("incomplete"), F.lit(" assets below 100 %"))
-    final = facts.select("*", *first_failure((short, -20020, reason)))
-    accepted, incomplete = split_checked(final)
-
-    rejected = (
-        unfit.select(*wanted)
-        .unionByName(untimely.select(*wanted))
-        .unionByName(incomplete.select(*wanted))
-        .drop("will_status")
+    code = F.coalesce("__code", "reject_code", F.when(short, -20020))
+    # A reason goes with every code.
+    words = F.coalesce("__reason", "reject_reason", F.when(short, reason))
+    checked = dated.select(
+        *requests.columns,
+        "will_id",
+        "will_status",
+        code.alias("reject_code"),
+        words.alias("reject_reason"),
     )
+    accepted, rejected = split_checked(written(checked, "transfer-requests"))
+    rejected = rejected.drop("will_status")
     flipped = accepted.where(F.col("will_status") == "Approved").select("will_id").distinct()
     when = F.coalesce("transfer_date", as_of)
     added = accepted.select(
@@ -617,7 +612,7 @@ def attach_documents(
     requests: DataFrame, tables: Tables, as_of: Column, actor: str
 ) -> Tables:
     checked = rules.check_documents(requests, tables["wills"], tables["assets"])
-    accepted, rejected = split_checked(checked)
+    accepted, rejected = split_checked(written(checked, "document-requests"))
     kind = text.normalise(F.col("related_entity"))
     path = text.document_path(
         F.col("related_entity"), F.col("entity_id"), F.col("title"), F.col("file_type")
@@ -660,7 +655,7 @@ def set_primary_executors(
     """The last valid request of a will names its primary executor; the others lose the mark."""
     executors = tables["executors"]
     checked = rules.check_primary_requests(requests, executors)
-    accepted, rejected = split_checked(checked)
+    accepted, rejected = split_checked(written(checked, "primary-requests"))
     chosen = accepted.groupBy("will_id").agg(
         F.max_by("executor_id", F.struct("seq", "executor_id")).alias("__chosen")
     )

@@ -15,6 +15,7 @@ from bequest.functions import dates, text
 from bequest.functions.money import zero_if_null
 from bequest.operators.joins import (
     first_failure,
+    join_spreading_nulls,
     judged_by_key,
     missing,
     spread_join,
@@ -151,12 +152,18 @@ def assets_with_status(assets: DataFrame, wills: DataFrame) -> DataFrame:
 
 
 def _assignment_facts(
-    batch: DataFrame, assets: DataFrame, wills: DataFrame, beneficiaries: DataFrame
+    batch: DataFrame,
+    assets: DataFrame,
+    wills: DataFrame,
+    beneficiaries: DataFrame,
+    per_asset: DataFrame | None = None,
 ) -> DataFrame:
     def judge(keys: DataFrame) -> DataFrame:
         known = assets_with_status(assets, wills).select(
             "asset_id", F.lit(True).alias("__asset"), "__status"
         )
+        if per_asset is not None:
+            known = known.join(per_asset, "asset_id", "left")
         heirs = beneficiaries.select("beneficiary_id", F.lit(True).alias("__heir"))
         return keys.join(known, "asset_id", "left").join(heirs, "beneficiary_id", "left")
 
@@ -200,9 +207,8 @@ def check_assignments(
     shares: DataFrame,
 ) -> DataFrame:
     """Each share request on its own against the stored shares."""
-    facts = _assignment_facts(batch, assets, wills, beneficiaries)
     stored = allocated(shares).select("asset_id", F.col("allocated_percent").alias("__stored"))
-    facts = judged_by_key(facts, ["asset_id"], lambda k: k.join(stored, "asset_id", "left"))
+    facts = _assignment_facts(batch, assets, wills, beneficiaries, stored)
     total = zero_if_null(F.col("__stored")) + F.col("share_percent")
     reason = text.join_text(
         F.lit("shares would exceed 100 %, now at "), zero_if_null(F.col("__stored"))
@@ -236,7 +242,7 @@ def check_share_rows(
         F.col("share_percent").alias("__own"),
     )
     facts = judged_by_key(rows, ["asset_id"], judge)
-    facts = judged_by_key(facts, ["mapping_id"], lambda k: k.join(own, "mapping_id", "left"))
+    facts = join_spreading_nulls(facts, own, "mapping_id")
     replaced = F.when(F.col("__own_asset") == F.col("asset_id"), F.col("__own"))
     total = (
         zero_if_null(F.col("__stored"))
@@ -292,8 +298,13 @@ def check_approvals(
     executors: DataFrame,
     assets: DataFrame,
     shares: DataFrame,
+    once: bool = False,
 ) -> DataFrame:
-    """Approval requests by will; facts are gathered once per will."""
+    """Approval requests by will; facts are gathered once per will.
+
+    With `once` only the first request (by seq) of a will can pass: the later ones find the
+    will approved.
+    """
 
     def judge(keys: DataFrame) -> DataFrame:
         named = executors.groupBy("will_id").agg(
@@ -312,7 +323,8 @@ def check_approvals(
             .join(low, "will_id", "left")
         )
 
-    facts = judged_by_key(requests, ["will_id"], judge)
+    first = F.min("seq").alias("__first") if once else F.lit(None).alias("__first")
+    facts = judged_by_key(requests, ["will_id"], judge, first)
     none = F.lit(0).cast("long")
     return _checked(
         facts,
@@ -329,7 +341,8 @@ def check_approvals(
             -20095,
             text.join_text(F.col("__low"), F.lit(" assets below 90 %")),
         ),
-    ).drop("__will", "__status", "__executors", "__primaries", "__low")
+        *([(F.col("seq") > F.col("__first"), -20092, "will is Approved")] if once else []),
+    ).drop("__will", "__status", "__executors", "__primaries", "__low", "__first")
 
 
 def status_checks(old: Column, new: Column) -> list[tuple]:
@@ -430,11 +443,15 @@ def check_transfers(
     shares: DataFrame,
     wills: DataFrame,
     transfers: DataFrame,
+    per_will: DataFrame | None = None,
 ) -> DataFrame:
+    """`per_will` adds columns by will to the facts looked up."""
+
     def judge(keys: DataFrame) -> DataFrame:
-        known = assets_with_status(assets, wills).select(
-            "asset_id", F.lit(True).alias("__asset"), "will_id", F.col("__status").alias("will_status")
-        )
+        known = assets_with_status(assets, wills).withColumnRenamed("__status", "will_status")
+        known = known.withColumn("__asset", F.lit(True))
+        if per_will is not None:
+            known = known.join(per_will, "will_id", "left")
         heirs = beneficiaries.select("beneficiary_id", F.lit(True).alias("__heir"))
         done = transfers.where(F.col("transfer_status") == "Completed")
         pair = ["asset_id", "beneficiary_id"]
