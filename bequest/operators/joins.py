@@ -1,16 +1,10 @@
-"""Join helpers: existence tests, grouped totals and joins that spread hot keys."""
+"""Join helpers: existence tests, grouped totals and joins in which hot keys are split."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more than this part of all rows is hot, so there are at most 1 / HOT_PART of them.
-HOT_PART = 0.005
-# Below this many rows a key is no burden for one task.
-HOT_ROWS = 1_000_000
-SALTS = 256
-
 
 def matching(df: DataFrame, other: DataFrame, *on: str) -> DataFrame:
     return df.join(other.select(*on), list(on), "left_semi")
@@ -23,64 +17,39 @@ def missing(df: DataFrame, other: DataFrame, *on: str) -> DataFrame:
 def with_flag(df: DataFrame, other: DataFrame, on: list[str], flag: str) -> DataFrame:
     """Mark the rows whose key occurs in `other`; the key set is made distinct first."""
     keys = other.select(*on).distinct().withColumn(flag, F.lit(True))
-    return df.join(keys, on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return attach(df, keys, on).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def rows_per(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def hot_keys(
-    counts: DataFrame, keys: list[str], rows: str, part: float, least: int
-) -> DataFrame:
-    """Keys above `part` of all rows: never more than 1 / part of them, whatever the input."""
-    total = counts.agg(F.sum(rows).alias("total"))
-    return counts.where(
-        (F.col(rows) > least) & (F.col(rows) > total.scalar() * part)
-    ).select(*keys, F.lit(True).alias("__hot"))
-
-
-def spread_join(
-    many: DataFrame,
-    one: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    counts: DataFrame | None = None,
-    part: float = HOT_PART,
-    least: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join a table with skewed keys to one with few rows per key.
-
-    Rows of hot keys get a salt and their counterparts are repeated per salt; all other rows
-    keep salt 0.  The hot keys are a bounded set, so telling them apart is a broadcast.
-    `counts` (keys and a row count) saves the counting pass when it is known already.
+def attach(many: DataFrame, one: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join rows to grouped facts (one row per key) when a key may hold a large part of the rows.
+
+    Grouped facts are already partitioned by their keys, so a plain join would keep them in
+    place, and the adaptive skew split, which needs a shuffle on both sides, could not act.
+    The second key below is always 0; it makes the planner shuffle both sides for the join, so
+    the rows of a hot key are split over many tasks.  Facts small enough are still broadcast.
+    """
+    lane = F.pmod(F.hash(*keys), F.lit(1))
+    left = many.withColumn("__lane", lane)
+    right = one.withColumn("__lane", lane)
+    return left.join(right, [*keys, "__lane"], how).drop("__lane")
+
+
+def judged_by_key(batch: DataFrame, keys: list[str], judge, *aggregates: Column) -> DataFrame:
+    """Look facts up once per distinct key and hand them to every row of the batch.
+
+    `judge` gets the distinct keys with the given aggregates and adds columns.  However often
+    a key repeats in the batch, its lookups run once, on keys alone; the rows themselves are
+    shuffled a single time.
     """
-    if counts is None:
-        counts = rows_per(many, *keys, name="__rows")
-    rows = [c for c in counts.columns if c not in keys][0]
-    hot = F.broadcast(hot_keys(counts, keys, rows, part, least))
-
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int")
-    unmatched = F.lit(False)
-    for key in keys:
-        unmatched = unmatched | F.col(key).isNull()
-    left = (
-        many.join(hot, keys, "left")
-        .withColumn(
-            "__salt", F.when(F.col("__hot") | unmatched, spread).otherwise(F.lit(0))
-        )
-        .drop("__hot")
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = (
-        one.join(hot, keys, "left")
-        .withColumn(
-            "__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))
-        )
-        .drop("__hot")
-    )
-    return left.join(right, keys + ["__salt"], how).drop("__salt")
+    if aggregates:
+        distinct = batch.groupBy(*keys).agg(*aggregates)
+    else:
+        distinct = batch.select(*keys).distinct()
+    return attach(batch, judge(distinct), keys)
 
 
 def first_failure(*checks: tuple[Column, int, Column | str]) -> list[Column]:
@@ -97,25 +66,3 @@ def first_failure(*checks: tuple[Column, int, Column | str]) -> list[Column]:
 def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     accepted = checked.where(F.col("reject_code").isNull()).drop("reject_code", "reject_reason")
     return accepted, checked.where(F.col("reject_code").isNotNull())
-
-
-def judged_by_key(batch: DataFrame, keys: list[str], judge, *aggregates: Column) -> DataFrame:
-    """Look facts up once per distinct key and hand them to every row of the batch.
-
-    `judge` gets the distinct keys with the given aggregates and adds columns.  However often
-    a key repeats in the batch, its lookups run once, and its rows are spread when the facts
-    are joined back.
-    """
-    counted = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *aggregates)
-    facts = judge(counted.drop("__rows"))
-    return spread_join(batch, facts, keys, "left", counts=counted.select(*keys, "__rows"))
-
-
-def join_spreading_nulls(many: DataFrame, one: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """Left join in which the rows without a key do not end up in one task."""
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int")
-    salt = F.when(F.col(key).isNull(), spread).otherwise(F.lit(0))
-    joined = many.withColumn("__salt", salt).join(
-        one.withColumn("__salt", F.lit(0)), [key, "__salt"], "left"
-    )
-    return joined.drop("__salt")

@@ -14,13 +14,14 @@ from bequest.functions import dates, text
 from bequest.functions.records import json_text
 from bequest.operators import rules
 from bequest.operators.joins import (
+    attach,
     first_failure,
     judged_by_key,
     matching,
     missing,
     rows_per,
     split_checked,
-    spread_join,
+    with_flag,
 )
 from bequest.operators.ordered import CHUNK, first_rows, last_before
 from bequest.session import written
@@ -159,17 +160,14 @@ def status_history(
         else None
     )
     bounds = changes.groupBy("will_id").agg(
-        F.count(F.lit(1)).alias("__rows"),
         F.min("seq").alias("__first"),
         F.min(F.when(new == "Executed", F.col("seq"))).alias("__final"),
     )
-    counts = bounds.select("will_id", "__rows")
-    facts = bounds.drop("__rows")
     if start is None:
-        facts = facts.withColumn("__start", F.lit(None).cast("string"))
+        facts = bounds.withColumn("__start", F.lit(None).cast("string"))
     else:
-        facts = facts.join(start, "will_id", "left")
-    known = spread_join(changes, facts, ["will_id"], "left", counts=counts)
+        facts = bounds.join(start, "will_id", "left")
+    known = attach(changes, facts, ["will_id"])
 
     # The first change of a will without a start is its anchor even if it says Executing.
     sets_start = F.col("__start").isNull() & (F.col("seq") == F.col("__first"))
@@ -426,14 +424,13 @@ def accept_in_order(
     candidates per asset, however many requests there are.  Assets whose requests all fit need
     no walk at all.
     """
-    wanted = requests.groupBy("asset_id").agg(
-        F.count(F.lit(1)).alias("__rows"), F.sum("cents").alias("__wanted")
-    )
     # At most 100 % of an asset is open.
     open_room = room.select("asset_id", F.least("room", F.lit(10000)).alias("room"))
-    facts = wanted.select("asset_id", "__wanted").join(open_room, "asset_id", "left")
-    known = spread_join(
-        requests, facts, ["asset_id"], "left", counts=wanted.select("asset_id", "__rows")
+    known = judged_by_key(
+        requests,
+        ["asset_id"],
+        lambda keys: keys.join(open_room, "asset_id", "left"),
+        F.sum("cents").alias("__wanted"),
     )
     left = F.coalesce("room", F.lit(10000))
     known = written(known.withColumn("room", left), "share-requests")
@@ -721,15 +718,13 @@ def set_primary_executors(
 def add_executors(batch: DataFrame, executors: DataFrame) -> DataFrame:
     """New executors; the first one of a will that has none becomes primary."""
     order = F.struct("seq", "full_name")
-    counted = batch.groupBy("will_id").agg(
-        F.count(F.lit(1)).alias("__rows"), F.min(order).alias("__first")
-    )
-    present = executors.select("will_id").distinct().withColumn("__present", F.lit(True))
-    facts = counted.drop("__rows").join(present, "will_id", "left")
-    joined = spread_join(
-        batch, facts, ["will_id"], "left", counts=counted.select("will_id", "__rows")
+    joined = judged_by_key(
+        batch,
+        ["will_id"],
+        lambda keys: with_flag(keys, executors, ["will_id"], "__present"),
+        F.min(order).alias("__first"),
     )
-    first = F.col("__present").isNull() & (order == F.col("__first"))
+    first = ~F.col("__present") & (order == F.col("__first"))
     return joined.select(
         F.lit(None).cast("long").alias("executor_id"),
         "will_id",
@@ -753,7 +748,7 @@ def update_roles(users: DataFrame, updates: DataFrame) -> DataFrame:
         .groupBy("email")
         .agg(F.max_by("new_role", "seq").alias("__role"))
     )
-    return users.join(latest, "email", "left").select(
+    return attach(users, latest, ["email"]).select(
         *[
             F.coalesce("__role", "initial_role").alias(c) if c == "initial_role" else F.col(c)
             for c in users.columns

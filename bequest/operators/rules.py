@@ -15,10 +15,8 @@ from bequest.functions import dates, text
 from bequest.functions.money import zero_if_null
 from bequest.operators.joins import (
     first_failure,
-    join_spreading_nulls,
     judged_by_key,
     missing,
-    spread_join,
     split_checked,
     with_flag,
 )
@@ -55,13 +53,9 @@ def check_new_users(batch: DataFrame, users: DataFrame) -> DataFrame:
     usable = batch.withColumn("__usable", ~lacking & ~F.coalesce(strange, F.lit(True)))
 
     taken = users.where(F.col("email").isNotNull())
-    counted = usable.groupBy("email").agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.min(F.when(F.col("__usable"), F.col("seq"))).alias("__first"),
-    )
-    facts = with_flag(counted, taken, ["email"], "__taken").drop("__rows")
-    joined = spread_join(
-        usable, facts, ["email"], "left", counts=counted.select("email", "__rows")
+    first = F.min(F.when(F.col("__usable"), F.col("seq"))).alias("__first")
+    joined = judged_by_key(
+        usable, ["email"], lambda keys: with_flag(keys, taken, ["email"], "__taken"), first
     )
     return _checked(
         joined,
@@ -242,7 +236,7 @@ def check_share_rows(
         F.col("share_percent").alias("__own"),
     )
     facts = judged_by_key(rows, ["asset_id"], judge)
-    facts = join_spreading_nulls(facts, own, "mapping_id")
+    facts = facts.join(own, "mapping_id", "left")
     replaced = F.when(F.col("__own_asset") == F.col("asset_id"), F.col("__own"))
     total = (
         zero_if_null(F.col("__stored"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bequest.functions.money import band, remaining, share_value, zero_if_null
 from bequest.functions.records import next_action
+from bequest.operators.joins import attach
 
 # Longest nested beneficiary list of one row.
 LIST_ROWS = 1000
@@ -174,7 +175,7 @@ def eligible_beneficiaries(
         "full_name", F.col("beneficiary_id").alias("id"), "relation", "share_percent"
     )
     lists = (
-        heirs.join(parts, "asset_id")
+        attach(heirs, parts, ["asset_id"], "inner")
         .groupBy("asset_id", piece.alias("part"))
         .agg(F.array_sort(F.collect_list(entry)).alias("beneficiaries"))
     )

@@ -9,7 +9,7 @@ from bequest.functions.dates import since
 from bequest.functions.money import percent_of, share_value, zero_if_null
 from bequest.functions.text import join_text
 from bequest.model import RECENT_DAYS, RECENT_ROWS
-from bequest.operators.joins import rows_per
+from bequest.operators.joins import attach, rows_per
 
 
 def testator_dashboard(
@@ -79,7 +79,7 @@ def executor_dashboard(
         .agg(F.count(F.lit(1)).alias("times"))
     )
     zero = F.lit(0).cast("long")
-    moved = named.join(_transfers_per_will(assets, transfers), "will_id", "left")
+    moved = attach(named, _transfers_per_will(assets, transfers), ["will_id"])
     return moved.groupBy("email").agg(
         F.sum("times").alias("assigned_wills"),
         F.sum(F.col("times") * F.coalesce("pending", zero)).alias("pending_transfers"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bequest.functions.records import main_role, role_array
-from bequest.operators.joins import rows_per, with_flag
+from bequest.operators.joins import attach, rows_per, with_flag
 
 
 def user_lookup(users: DataFrame, emails: DataFrame) -> DataFrame:
@@ -86,11 +86,9 @@ def user_activity(
     owned = rows_per(wills, "user_id", name="wills_count")
     named = rows_per(executors, "email", name="executor_count")
     inherits = rows_per(beneficiaries, "email", name="beneficiary_count")
-    joined = (
-        users.join(owned, "user_id", "left")
-        .join(named, "email", "left")
-        .join(inherits, "email", "left")
-    )
+    joined = users.join(owned, "user_id", "left")
+    for counted in (named, inherits):
+        joined = attach(joined, counted, ["email"])
     zero = F.lit(0).cast("long")
     return joined.select(
         "user_id",

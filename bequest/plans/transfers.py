@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bequest.functions.money import share_value, zero_if_null
+from bequest.operators.joins import attach
 
 
 REPORT_COLUMNS = (
@@ -97,7 +98,7 @@ def viewer_transfer_totals(
     )
     viewers = visibility.where(F.col("scope") == "one will").select("user_id", "will_id")
     return (
-        viewers.join(per_will, "will_id")
+        attach(viewers, per_will, ["will_id"], "inner")
         .groupBy("user_id")
         .agg(*[F.sum(c).alias(c) for c in ("total", "pending", "completed", "total_value")])
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bequest.functions.money import percent_of, rounded_mean, share_value, zero_if_null
-from bequest.operators.joins import rows_per, spread_join
+from bequest.operators.joins import attach, matching, rows_per
 
 
 def will_list(wills: DataFrame, assets: DataFrame, executors: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def will_list(wills: DataFrame, assets: DataFrame, executors: DataFrame) -> Data
 def executor_will_list(wills: DataFrame, assets: DataFrame, executors: DataFrame) -> DataFrame:
     """Wills per executor e-mail; an executor named twice sees the will once."""
     named = executors.where(F.col("email").isNotNull()).select("email", "will_id").distinct()
-    return named.join(will_list(wills, assets, executors), "will_id")
+    return attach(named, will_list(wills, assets, executors), ["will_id"], "inner")
 
 
 def will_detail(wills: DataFrame, users: DataFrame) -> DataFrame:
@@ -173,29 +173,26 @@ def will_stats(assets: DataFrame, shares: DataFrame, mode: str = "exact") -> Dat
 def will_beneficiary_summary(
     beneficiaries: DataFrame, shares: DataFrame, assets: DataFrame
 ) -> DataFrame:
-    """Inheritance per will and beneficiary with its percentage of the estate."""
-    per_heir = (
-        shares.join(assets.select("asset_id", "will_id", "value"), "asset_id")
-        .groupBy("will_id", "beneficiary_id")
-        .agg(
-            F.count("asset_id").alias("assigned_assets"),
-            zero_if_null(
-                F.sum(share_value(F.col("value"), F.col("share_percent")))
-            ).alias("total_inheritance"),
-        )
+    """Inheritance per will and beneficiary with its percentage of the estate.
+
+    Heirs and estates are summed from the same joined rows, whose shuffles are shared.
+    """
+    total = zero_if_null(F.sum(share_value(F.col("value"), F.col("share_percent"))))
+    worth = shares.select("asset_id", "beneficiary_id", "share_percent").join(
+        assets.select("asset_id", "will_id", "value"), "asset_id"
     )
-    named = per_heir.join(
-        beneficiaries.select("beneficiary_id", "full_name", "relation"), "beneficiary_id"
+    per_heir = worth.groupBy("will_id", "beneficiary_id").agg(
+        F.count("asset_id").alias("assigned_assets"), total.alias("total_inheritance")
     )
-    estates = named.groupBy("will_id").agg(
-        F.sum("total_inheritance").alias("estate"), F.count(F.lit(1)).alias("heirs")
+    estates = (
+        matching(worth, beneficiaries, "beneficiary_id")
+        .groupBy("will_id")
+        .agg(total.alias("estate"))
     )
-    joined = spread_join(
-        named,
-        estates.select("will_id", "estate"),
-        ["will_id"],
-        counts=estates.select("will_id", "heirs"),
+    named = per_heir.join(
+        beneficiaries.select("beneficiary_id", "full_name", "relation"), "beneficiary_id"
     )
+    joined = attach(named, estates, ["will_id"], "inner")
     return joined.select(
         "will_id",
         "beneficiary_id",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bequest.model import MONEY, PERCENT
+from bequest.operators.joins import attach
 from bequest.session import tune
 from bequest.sources.tables import literal_rows, scan
 
@@ -186,7 +187,7 @@ class Testbed:
             "decimal(10,0)"
         )
         percent = F.when(F.col("will_id") % 5 < 3, even).otherwise(F.col("loose"))
-        return parts.join(sizes, "asset_id").select(
+        return attach(parts, sizes, ["asset_id"], "inner").select(
             (F.col("asset_id") * 100000 + F.col("beneficiary_id")).alias("mapping_id"),
             "asset_id",
             "beneficiary_id",
