@@ -21,6 +21,7 @@ from bequest.operators.joins import (
     with_flag,
 )
 from bequest.plans.allocations import allocated
+from bequest.sources.tables import literal_rows
 
 
 def _checked(df: DataFrame, *checks) -> DataFrame:
@@ -487,7 +488,7 @@ def holiday_keys(holidays: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     yearly = (
         holidays.where(F.col("is_recurring") == "Y")
-        .groupBy(dates.month_day(F.col("holiday_date")).alias("__md"))
+        .groupBy(dates.month_day_number(F.col("holiday_date")).alias("__md"))
         .agg(F.max("description").alias("__yearly"), F.lit(True).alias("__is_yearly"))
     )
     return exact, yearly
@@ -497,7 +498,7 @@ def _with_calendar(batch: DataFrame, holidays: DataFrame, when: Column) -> DataF
     """Holiday facts by day and by month-day: two small keyed tables, joined without a shuffle
     of the batch as long as the calendar stays below Spark's broadcast threshold."""
     exact, yearly = holiday_keys(holidays)
-    dated = batch.withColumn("__day", F.to_date(when)).withColumn("__md", dates.month_day(when))
+    dated = batch.withColumn("__day", F.to_date(when)).withColumn("__md", dates.month_day_number(when))
     return dated.join(exact, "__day", "left").join(yearly, "__md", "left")
 
 
@@ -570,9 +571,7 @@ def check_documents(batch: DataFrame, wills: DataFrame, assets: DataFrame) -> Da
 
 def explain(rejected: DataFrame) -> DataFrame:
     """Class, severity and message of every rejected row; unlisted codes are generic."""
-    spark = rejected.sparkSession
-    # A fixed table of a few dozen codes.
-    codes = F.broadcast(spark.createDataFrame(list(M.CODES), M.CODES_SCHEMA))
+    codes = literal_rows(rejected.sparkSession, M.CODES, M.CODES_SCHEMA)
     kind, severity, message = M.GENERIC
     tail = text.tail_after(F.col("reject_reason"), ":")
     worded = F.when(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +12,20 @@ from pyspark.sql import types as T
 from bequest.model import SCHEMAS
 
 
+_known_schemas: dict[str, T.StructType] = {}
+
+
+def schema_of(spark: SparkSession, path: str) -> T.StructType:
+    """Schema of a Parquet table; footers are read once per process, not once per query."""
+    if path not in _known_schemas:
+        _known_schemas[path] = spark.read.parquet(path).schema
+    return _known_schemas[path]
+
+
 def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One table of a Parquet folder; unused columns and rows are pruned by the optimizer."""
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    path = f"{folder}/{table}.parquet"
+    return spark.read.schema(schema_of(spark, path)).parquet(path)
 
 
 def scan_estate(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -44,8 +56,16 @@ def scan_jdbc(
 
 
 def literal_rows(spark: SparkSession, rows: Iterable[tuple], table_or_schema: str) -> DataFrame:
-    schema = SCHEMAS.get(table_or_schema, table_or_schema)
-    return spark.createDataFrame(list(rows), T.StructType.fromDDL(schema))
+    """A few rows given in code.
+
+    They become a local relation, whose size the planner knows, so a join broadcasts it
+    without moving the other side.
+    """
+    schema = T.StructType.fromDDL(SCHEMAS.get(table_or_schema, table_or_schema))
+    columns = list(zip(*rows)) or [()] * len(schema)
+    table = pa.table({f.name: list(values) for f, values in zip(schema, columns)})
+    df = spark.createDataFrame(table)
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def one_row(spark: SparkSession, **values) -> DataFrame:

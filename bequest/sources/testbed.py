@@ -168,7 +168,10 @@ class Testbed:
 
     @property
     def shares(self) -> DataFrame:
-        """Pre-aggregated per (asset, beneficiary) before the per-asset count is attached."""
+        """Pre-aggregated per (asset, beneficiary) before the per-asset count is attached.
+
+        Every asset has a count; as a left join it drops out where percents are not needed.
+        """
         parts = (
             self.table("lineitem")
             .groupBy(asset_key().alias("asset_id"), F.col("l_suppkey").alias("beneficiary_id"))
@@ -187,7 +190,7 @@ class Testbed:
             "decimal(10,0)"
         )
         percent = F.when(F.col("will_id") % 5 < 3, even).otherwise(F.col("loose"))
-        return attach(parts, sizes, ["asset_id"], "inner").select(
+        return attach(parts, sizes, ["asset_id"]).select(
             (F.col("asset_id") * 100000 + F.col("beneficiary_id")).alias("mapping_id"),
             "asset_id",
             "beneficiary_id",

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from bequest.operators import rules
 from bequest.operators.joins import missing
 from bequest.operators.moves import accept_in_order, status_history
+from bequest.sources.tables import schema_of
 from bequest.streaming.state import SlotState, write_batch
 
 
@@ -21,7 +22,7 @@ def stream_table(
     spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None
 ) -> DataFrame:
     """Files of one table as they arrive in a folder."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    schema = schema_of(spark, f"{folder}/{table}.parquet")
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bequest.sources.tables import literal_rows
+
 
 class SlotState:
     """A small keyed table carried from batch to batch in the shared folder.
@@ -21,7 +23,7 @@ class SlotState:
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id == 0:
-            return spark.createDataFrame([], self.schema)
+            return literal_rows(spark, [], self.schema)
         return spark.read.schema(self.schema).parquet(self._slot(batch_id - 1))
 
     def after(self, df: DataFrame, batch_id: int) -> None:

@@ -41,7 +41,7 @@ def test_query(name, results, con):
     result = results[name]
     if isinstance(result, Exception):
         raise result
-    assert compare(result, con.execute(oracle_sql()[name]).to_arrow_table()) is None
+    assert compare(result, con.sql(oracle_sql()[name]).to_arrow_table()) is None
 
 
 def test_entry(spark):
