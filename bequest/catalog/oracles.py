@@ -19,7 +19,7 @@ SEQ = "(l_partkey * 4096 + datediff('day', date '1992-01-01', cast(l_shipdate as
 REPORT = "timestamp '2001-08-01 00:00:00'"
 AUDIT = "timestamp '2024-01-31 00:00:00'"
 REPORT_TEXT = "'2001-08-01 00:00:00'"
-WORTH = "value * share_percent * 0.01"
+WORTH = "cast(value * share_percent as decimal(30,4)) * 0.01"
 
 VIEWS = {
     "e_users": f"""
@@ -50,7 +50,7 @@ VIEWS = {
         select {ASSET} as asset_id, l_orderkey as will_id,
           'Asset ' || cast({ASSET} as varchar) as name,
           {KINDS}[cast(min(l_partkey) % 7 as int) + 1] as asset_type,
-          cast(sum(cast(l_extendedprice as decimal(15,2))) as decimal(15,2)) as value
+          cast(sum(cast(l_extendedprice as decimal(15,2))) as decimal(18,2)) as value
         from lineitem group by l_orderkey, l_linenumber""",
     "e_beneficiaries": f"""
         select s_suppkey as beneficiary_id, s_name as full_name,
@@ -67,7 +67,7 @@ VIEWS = {
         select asset_id * 100000 + l_suppkey as mapping_id, asset_id,
           l_suppkey as beneficiary_id,
           cast(sum(case when l_orderkey % 5 < 3 then cast(round(100.0 / n, 2) as decimal(5,2))
-                   else cast(l_quantity * 2 as decimal(5,2)) end) as decimal(7,2))
+                   else cast(l_quantity * 2 as decimal(5,2)) end) as decimal(18,2))
             as share_percent
         from (select *, {ASSET} as asset_id,
                 count(*) over (partition by l_orderkey, l_linenumber) as n from lineitem)
@@ -215,8 +215,9 @@ VIEWS = {
             as reason
         from (select *, min(seq) over (partition by will_id, code is null) as first
               from v_approvals)""",
+    # Copies of a request are told apart by rid.
     "v_assign": """
-        select r.*, a.will_id,
+        select r.*, row_number() over () as rid, a.will_id,
           case when r.share_percent is null or r.share_percent < 0.01 or r.share_percent > 100
               then 5
             when r.asset_id is null then -20010 when a.asset_id is null then -21001
@@ -237,15 +238,15 @@ VIEWS = {
           left join e_beneficiaries b on b.beneficiary_id = r.beneficiary_id""",
     # Greedy acceptance, one request of every asset per step.
     "v_queue": """
-        select *, row_number() over (partition by asset_id order by seq) as place
+        select *, row_number() over (partition by asset_id order by seq, rid) as place
         from v_assign where code is null""",
     "v_greedy": """
-        select asset_id, place, seq, stored + case when stored + share_percent <= 100
+        select asset_id, place, rid, stored + case when stored + share_percent <= 100
             then share_percent else 0 end as used,
           stored + share_percent <= 100 as taken
         from v_queue where place = 1
         union all
-        select q.asset_id, q.place, q.seq,
+        select q.asset_id, q.place, q.rid,
           g.used + case when g.used + q.share_percent <= 100 then q.share_percent else 0 end,
           g.used + q.share_percent <= 100
         from v_greedy g join v_queue q on q.asset_id = g.asset_id and q.place = g.place + 1""",
@@ -254,7 +255,7 @@ VIEWS = {
           case when v.code is not null then v.code when not g.taken then -21004 end as final,
           case when v.code is not null then v.reason
             when not g.taken then 'shares would exceed 100 %' end as final_reason
-        from v_assign v left join v_greedy g on g.asset_id = v.asset_id and g.seq = v.seq""",
+        from v_assign v left join v_greedy g on g.rid = v.rid""",
     "v_transfer_checks": """
         select r.seq, r.asset_id, r.beneficiary_id, r.transfer_date, r.share_percent, a.will_id,
           w.status as will_status,
@@ -1179,7 +1180,7 @@ APPROVED = "select will_id from v_approve where code is null"
 oracle("m01_approve_wills", wills_after(APPROVED, "Approved"))
 oracle(
     "m01_approve_history",
-    f"""select will_id, 'Draft' as old_status, 'Approved' as new_status,
+    f"""select distinct will_id, 'Draft' as old_status, 'Approved' as new_status,
           'registrar' as changed_by, {REPORT_TEXT} as change_date, 'approve_wills' as reason
         from v_approve where code is null""",
 )

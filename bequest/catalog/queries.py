@@ -622,7 +622,7 @@ def _(t):
 @query("r03_share_rows")
 def _(t):
     raised = t.shares.withColumn(
-        "share_percent", (F.col("share_percent") + 1).cast("decimal(7,2)")
+        "share_percent", (F.col("share_percent") + 1).cast(M.TOTAL)
     )
     return rules.check_share_rows(raised, t.assets, t.wills, t.shares)
 

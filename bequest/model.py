@@ -93,8 +93,9 @@ FORM_FILE_TYPE_UNKNOWN = 7
 PROFILE_NAME, PROFILE_EMAIL, PROFILE_PHONE, PROFILE_AGE, PROFILE_ADDRESS = 1, 2, 3, 4, 5
 
 # --- table schemas ---------------------------------------------------------------------------
+# One amount as entered, and totals that stay exact for one key with very many rows.
 MONEY = T.DecimalType(15, 2)
-PERCENT = T.DecimalType(7, 2)
+TOTAL = T.DecimalType(18, 2)
 
 SCHEMAS = {
     "users": "user_id long, full_name string, email string, phone_number string, "

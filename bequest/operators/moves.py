@@ -130,7 +130,7 @@ def approve_wills(requests: DataFrame, tables: Tables, as_of: Column, actor: str
     return {
         "wills": _set_status(tables["wills"], accepted, "Approved", as_of),
         "history": _history(
-            accepted, F.lit("Draft"), F.lit("Approved"), actor, as_of, "approve_wills"
+            accepted.select("will_id").distinct(), F.lit("Draft"), F.lit("Approved"), actor, as_of, "approve_wills"
         ),
         "audit": done.unionByName(refused),
         "rejected": rejected,
@@ -433,7 +433,11 @@ def accept_in_order(
         F.sum("cents").alias("__wanted"),
     )
     left = F.coalesce("room", F.lit(10000))
-    known = written(known.withColumn("room", left), "share-requests")
+    # The written numbers tell copies of a request apart; once written they do not change.
+    numbered = known.withColumn("room", left).withColumn(
+        "__id", F.monotonically_increasing_id()
+    )
+    known = written(numbered, "share-requests")
     fits = F.col("__wanted") <= F.col("room")
     easy = known.where(fits)
     contested = known.where(~fits)
@@ -441,16 +445,16 @@ def accept_in_order(
     places = F.floor(F.col("room") / F.col("cents"))
     candidates = first_rows(
         contested.where(F.col("cents") <= F.col("room")).select(
-            "asset_id", "seq", "cents", "room"
+            "asset_id", "seq", "__id", "cents", "room"
         ),
         ["asset_id", "cents"],
-        ["seq"],
+        ["seq", "__id"],
         places,
         **({} if salts is None else {"salts": salts}),
     )
     queue = candidates.groupBy("asset_id").agg(
         F.max("room").alias("room"),
-        F.array_sort(F.collect_list(F.struct("seq", "cents"))).alias("queue"),
+        F.array_sort(F.collect_list(F.struct("seq", "__id", "cents"))).alias("queue"),
     )
     nobody = F.array().cast("array<bigint>")
     walked = F.aggregate(
@@ -460,16 +464,16 @@ def accept_in_order(
             x["cents"] <= acc["left"],
             F.struct(
                 (acc["left"] - x["cents"]).alias("left"),
-                F.array_append(acc["taken"], x["seq"]).alias("taken"),
+                F.array_append(acc["taken"], x["__id"]).alias("taken"),
             ),
         ).otherwise(acc),
         lambda acc: acc["taken"],
     )
-    taken = queue.select("asset_id", F.explode(walked).alias("seq"))
-    won = contested.join(taken, ["asset_id", "seq"], "left_semi")
-    lost = contested.join(taken, ["asset_id", "seq"], "left_anti")
-    extra = [c for c in requests.columns]
-    return easy.select(*extra).unionByName(won.select(*extra)), lost.select(*extra)
+    taken = queue.select(F.explode(walked).alias("__id"))
+    won = contested.join(taken, "__id", "left_semi")
+    lost = contested.join(taken, "__id", "left_anti")
+    shown = requests.columns
+    return easy.select(*shown).unionByName(won.select(*shown)), lost.select(*shown)
 
 
 def assign_shares(

@@ -231,17 +231,12 @@ def check_share_rows(
         )
         return keys.join(known, "asset_id", "left").join(stored, "asset_id", "left")
 
-    own = shares.select(
-        "mapping_id",
-        F.col("asset_id").alias("__own_asset"),
-        F.col("share_percent").alias("__own"),
-    )
+    own = shares.select("mapping_id", "asset_id", F.col("share_percent").alias("__own"))
     facts = judged_by_key(rows, ["asset_id"], judge)
-    facts = facts.join(own, "mapping_id", "left")
-    replaced = F.when(F.col("__own_asset") == F.col("asset_id"), F.col("__own"))
+    facts = facts.join(own, ["mapping_id", "asset_id"], "left")
     total = (
         zero_if_null(F.col("__stored"))
-        - zero_if_null(replaced)
+        - zero_if_null(F.col("__own"))
         + zero_if_null(F.col("share_percent"))
     )
     return _checked(
@@ -251,7 +246,7 @@ def check_share_rows(
         (F.col("__status").isNull(), -20013, "asset has no valid will"),
         (F.col("__status") == "Executed", -20012, "will is executed"),
         (total > M.FULL_PERCENT, -20005, text.join_text(F.lit("shares add up to "), total)),
-    ).drop("__asset", "__status", "__stored", "__own_asset", "__own")
+    ).drop("__asset", "__status", "__stored", "__own")
 
 
 def orphan_shares(shares: DataFrame, assets: DataFrame) -> DataFrame:

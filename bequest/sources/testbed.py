@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bequest.model import MONEY, PERCENT
+from bequest.model import MONEY, TOTAL
 from bequest.operators.joins import attach
 from bequest.session import tune
 from bequest.sources.tables import literal_rows, scan
@@ -122,7 +122,7 @@ class Testbed:
         )
         return lines.agg(
             F.min("l_partkey").alias("part"),
-            F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("value"),
+            F.sum(F.col("l_extendedprice").cast(MONEY)).cast(TOTAL).alias("value"),
         ).select(
             asset_key().alias("asset_id"),
             F.col("l_orderkey").alias("will_id"),
@@ -187,14 +187,14 @@ class Testbed:
             .agg(F.count(F.lit(1)).alias("n"))
         )
         even = F.round(F.lit(100.0) / F.col("n"), 2).cast("decimal(5,2)") * F.col("rows").cast(
-            "decimal(10,0)"
+            "decimal(18,0)"
         )
         percent = F.when(F.col("will_id") % 5 < 3, even).otherwise(F.col("loose"))
         return attach(parts, sizes, ["asset_id"]).select(
             (F.col("asset_id") * 100000 + F.col("beneficiary_id")).alias("mapping_id"),
             "asset_id",
             "beneficiary_id",
-            percent.cast(PERCENT).alias("share_percent"),
+            percent.cast(TOTAL).alias("share_percent"),
         )
 
     @property
@@ -235,7 +235,7 @@ class Testbed:
             asset_key().alias("asset_id"),
             (F.col("l_suppkey") + other).alias("beneficiary_id"),
             F.col("l_shipdate").alias("transfer_date"),
-            (F.col("l_quantity") * 2).cast(PERCENT).alias("share_percent"),
+            (F.col("l_quantity") * 2).cast("decimal(7,2)").alias("share_percent"),
         )
 
     @property
