@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_duplicates
 from .ngram_join import jaccard_components
+from .substring_dedup import remove_repeated_passages
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents"), window=13)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +27,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_substring_dedup,
         op9_ngram_jaccard_join,
         op10_exact_dedup,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH cut AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS words
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM cut)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place
+            FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words) AS holder FROM windows)
+            WHERE holder < doc_id
+        ), words AS (
+            SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM cut
+        ), marked AS (
+            SELECT w.*, g.place IS NOT NULL AS lost
+            FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.place = g.place
+        ), counted AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (lost) AS n_removed,
+                   string_agg(word, ' ' ORDER BY place) FILTER (NOT lost) AS kept
+            FROM marked GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id
+    """,
     "op10_exact_dedup": r"""
         WITH normal AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
