@@ -22,8 +22,13 @@ BLOCK = 512
 #: Shingles of the documents that are compared at once, unless one pair has more.
 BLOCK_SHINGLES = 400_000
 
+#: Members whose hash lies below this share of all hashes are counted, so that members that only one
+#: set holds come first in the order.  Above the prefix's share of a set, below all of it.
+COUNTED = 0.25
+
 _LEVEL = np.uint64(58)
 _LOW = np.uint64((1 << 58) - 1)
+_BELOW = np.uint64(int(COUNTED * (1 << 58)))
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -40,27 +45,6 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield row, np.empty(0, np.uint64)
 
 
-def _sketch(k: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            found = [s for _, s in _sets(batch.column("text"), k)]
-            if found:
-                counts += np.bincount(
-                    (np.concatenate(found) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH
-                )
-        if counts.any():
-            parts = counts.reshape(-1, _SLICE)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "slice": pa.array(range(len(parts)), pa.int32()),
-                    "counts": pa.array([p.tobytes() for p in parts], pa.binary()),
-                }
-            )
-
-    return run
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -76,65 +60,113 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _levels(docs: DataFrame, k: int) -> np.ndarray:
+def _levels(parts: DataFrame) -> np.ndarray:
     """How far each bucket's count lies above the mean, in powers of two; 0 for most."""
-    schema = "slice int, counts binary"
-    parts = docs.mapInArrow(_sketch(k), schema).repartition(SKETCH // _SLICE, "slice")
+    parts = parts.repartition(SKETCH // _SLICE, "slice").mapInArrow(_summed, "slice int, counts binary")
     counts = np.zeros(SKETCH, np.int64)
-    for part, blob in parts.mapInArrow(_summed, schema).collect():  # SKETCH numbers
+    for part, blob in parts.collect():  # SKETCH numbers
         counts[part * _SLICE : (part + 1) * _SLICE] += np.frombuffer(blob, np.int64)
     mean = max(1.0, counts.sum() / SKETCH)
     return np.floor(np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8)
 
 
-def _ordered(hashed: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Set members in the global order: rare buckets first, then by hash."""
-    level = levels[(hashed % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
-    return np.sort((level << _LEVEL) | (hashed & _LOW))
-
-
 def _prefix_length(n: int, num: int, den: int) -> int:
-    """Two sets that link share one of the first members in the global order."""
+    """Two sets that link share one of the first members in any global order."""
     return n - -(-n * num // den) + 1
 
 
-_SIGNATURE = "id long, n int, one long, two long, shape long, bits array<long>, prefix array<long>"
+_SIGNED = "id long, n int, one long, two long, bits array<long>, slice int, counts binary"
+_SIGNED_ARROW = pa.schema(
+    [
+        ("id", pa.int64()),
+        ("n", pa.int32()),
+        ("one", pa.int64()),
+        ("two", pa.int64()),
+        ("bits", pa.list_(pa.int64())),
+        ("slice", pa.int32()),
+        ("counts", pa.binary()),
+    ]
+)
+
 
+def _set_hash(hashed: np.ndarray, salt: int) -> int:
+    return int(mixed(hashed ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64))
 
-def _signatures(k: int, num: int, den: int, levels) -> Callable:
-    types = {"id": pa.int64(), "n": pa.int32(), "one": pa.int64(), "two": pa.int64(), "shape": pa.int64()}
-    types |= {"bits": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
-    schema = pa.schema(list(types.items()))
+
+def _signed(k: int) -> Callable:
+    """A row for each set: size, two hashes and parity bitmap; then rows of the frequency sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, np.int64)
         place = np.uint64(64 * BITS - 1)
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in types}
+            out: dict[str, list] = {name: [] for name in _SIGNED_ARROW.names[:5]}
+            ids, found = batch.column("id").to_pylist(), []
+            for row, hashed in _sets(batch.column("text"), k):
+                flips = np.bincount((mixed(hashed) & place).astype(np.int64), minlength=64 * BITS) & 1
+                bits = np.packbits(flips.astype(np.uint8)).view(np.int64)
+                values = (ids[row], len(hashed), _set_hash(hashed, 0), _set_hash(hashed, 0xABCDEF), bits)
+                for column, value in zip(out.values(), values):
+                    column.append(value)
+                found.append((hashed % np.uint64(SKETCH)).astype(np.int64))
+            if found:
+                counts += np.bincount(np.concatenate(found), minlength=SKETCH)
+                nothing = {"slice": [None] * len(found), "counts": [None] * len(found)}
+                yield pa.RecordBatch.from_pydict(out | nothing, _SIGNED_ARROW)
+        if counts.any():
+            parts = counts.reshape(-1, _SLICE)
+            out = {name: [None] * len(parts) for name in _SIGNED_ARROW.names}
+            out |= {"slice": range(len(parts)), "counts": [p.tobytes() for p in parts]}
+            yield pa.RecordBatch.from_pydict(out, _SIGNED_ARROW)
+
+    return run
+
+
+def _in_order(k: int, num: int, den: int, levels) -> Callable:
+    """The first members of every set: all that are counted, and a prefix's length at least.
+
+    The global order: buckets of the sketch near the mean first, then by hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ids = batch.column("id").to_pylist()
+            out: list[tuple] = []
             for row, hashed in _sets(batch.column("text"), k):
-                n = len(hashed)
-                order = _ordered(hashed, levels.value)
-                prefix = order[: _prefix_length(n, num, den)] if n else order
-                bits = np.zeros(BITS, np.int64)
-                if n:
-                    flips = np.bincount((mixed(hashed) & place).astype(np.int64), minlength=64 * BITS) & 1
-                    bits = np.packbits(flips.astype(np.uint8)).view(np.int64)
-                values = (
-                    ids[row],
-                    n,
-                    int(mixed(hashed).sum().astype(np.uint64).view(np.int64)) if n else 0,
-                    int(mixed(hashed ^ np.uint64(0xABCDEF)).sum().astype(np.uint64).view(np.int64)) if n else 0,
-                    int((prefix * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64)) if n else 0,
-                    bits,
-                    prefix.view(np.int64),
+                if len(hashed):
+                    level = levels.value[(hashed % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
+                    order = np.sort((level << _LEVEL) | (mixed(hashed) & _LOW))
+                    counted = int(np.searchsorted(order, _BELOW))
+                    first = order[: max(counted, _prefix_length(len(order), num, den))]
+                    out.append((ids[row], _set_hash(hashed, 0), counted, first.view(np.int64)))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["id", "one", "counted", "members"]
                 )
-                for name, value in zip(types, values):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema)
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose token another row has too; input sorted by token."""
+    held = None  # the last row, if the rows so far do not show another one
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens, ids = batch.column("token").to_numpy(), batch.column("id").to_numpy()
+        start = tokens[0] == last
+        if held is not None:
+            tokens, ids = np.r_[held[0], tokens], np.r_[held[1], ids]
+            start = False
+        same = tokens[1:] == tokens[:-1]
+        shared = np.r_[start, same] | np.r_[same, False]
+        held = None if shared[-1] else (tokens[-1:], ids[-1:])
+        last = tokens[-1]
+        yield pa.RecordBatch.from_pydict({"token": tokens[shared], "id": ids[shared]})
+
+
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what the given edges connect, without cycles."""
     up = list(range(n))
@@ -376,26 +408,55 @@ def jaccard_components(
     Shingles are told apart by 58 bits of a hash.
 
     Equal sets are one class, and classes with equal size and equal prefix (the first members in a
-    global order, rare first) are one group.  Groups that share a prefix member, have fitting sizes
-    and bitmaps are candidates; their members are then compared in full.  Long posting lists and
-    large clusters are cut into blocks, compared pair by pair, and every block gives a forest, not
-    all its pairs.
+    global order, rare first) are one group.  A class whose whole prefix no other class holds drops
+    out.  Groups that share a prefix member and have fitting sizes and bitmaps are candidates; the
+    members of connected candidates are compared in full.  Long posting lists and large clusters
+    are cut into blocks, compared pair by pair, and every block gives a forest, not all its pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    levels = spark.sparkContext.broadcast(_levels(read.select("text"), k))
-    signed = kept(read.mapInArrow(_signatures(k, num, den, levels), _SIGNATURE), "signatures")
-    full = signed.filter("n > 0 and id is not null")
+    signed = kept(read.mapInArrow(_signed(k), _SIGNED), "sets")
+    levels = spark.sparkContext.broadcast(_levels(signed.filter("slice is not null").select("slice", "counts")))
+    signed = signed.filter("slice is null").drop("slice", "counts")
 
     bits = [f"b{i}" for i in range(BITS)]
-    classes = full.groupBy("n", "shape", "one", "two").agg(
+    classes = signed.filter("n > 0 and id is not null").groupBy("n", "one", "two").agg(
         F.min("id").alias("rep"), F.min("bits").alias("bits")
     )
-    classes = classes.select("n", "shape", "one", "two", "rep", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits)))
-    classes = kept(classes, "classes")
-    groups = classes.groupBy("n", "shape").agg(
-        F.min("rep").alias("gid"),
+    classes = kept(
+        classes.select("n", "one", "two", "rep", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "classes"
+    )
+    first = kept(
+        read.filter("id is not null")
+        .mapInArrow(_in_order(k, num, den, levels), "id long, one long, counted int, members array<long>")
+        .join(classes.select(F.col("rep").alias("id"), "one", "n"), ["id", "one"])
+        .select("id", "n", "counted", "members"),
+        "first-members",
+    )
+    counted = first.select("id", F.explode(F.slice("members", F.lit(1), F.col("counted"))).alias("token"))
+    shared = (
+        counted.repartition("token")
+        .sortWithinPartitions("token")
+        .mapInArrow(_shared, "token long, id long")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list("token")).alias("shared"))
+    )
+    # Counted members of one set alone come first in the order, then the others.
+    wanted = F.expr(f"n - int((n * {num} + {den - 1}) div {den}) + 1 - (counted - size(shared))")
+    nothing = F.array().cast("array<long>")
+    rest = F.slice("members", F.col("counted") + 1, F.greatest(F.size("members") - F.col("counted"), F.lit(0)))
+    prefixes = first.withColumn("rest", rest).drop("members").join(shared, "id", "left")
+    prefixes = prefixes.withColumn("shared", F.coalesce("shared", nothing)).withColumn("wanted", wanted)
+    prefixes = prefixes.filter("wanted > 0").select(
+        "id", "n", F.slice(F.concat("shared", "rest"), F.lit(1), F.col("wanted")).alias("prefix")
+    )
+    prefixes = kept(prefixes.withColumn("shape", F.xxhash64("prefix")), "prefixes")
+    members = kept(
+        prefixes.select("id", "n", "shape").join(classes.select(F.col("rep").alias("id"), *bits), "id"), "members"
+    )
+    groups = members.groupBy("n", "shape").agg(
+        F.min("id").alias("gid"),
         *(F.expr(f"bit_and({b})").alias(f"and_{b}") for b in bits),
         *(F.expr(f"bit_or({b})").alias(f"or_{b}") for b in bits),
     )
@@ -408,7 +469,7 @@ def jaccard_components(
         "groups",
     )
     postings = (
-        full.select("id", "n", "prefix")
+        prefixes.select("id", "n", "prefix")
         .join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
         .select(F.explode("prefix").alias("token"), F.col("id").alias("gid"), "n")
     )
@@ -426,8 +487,8 @@ def jaccard_components(
         .sortWithinPartitions("token", "i", "j")
         .mapInArrow(_candidates(num, den), "a long, b long")
     )
-    within = classes.join(groups.select("n", "shape", "gid"), ["n", "shape"]).filter("rep <> gid")
-    within = within.select(F.col("rep").alias("a"), F.col("gid").alias("b"))
+    within = members.join(groups.select("n", "shape", "gid"), ["n", "shape"]).filter("id <> gid")
+    within = within.select(F.col("id").alias("a"), F.col("gid").alias("b"))
     clusters = kept(components(near.unionByName(within), "candidates"), "clusters")
 
     compared = _block_pairs(
@@ -442,10 +503,10 @@ def jaccard_components(
     )
     linked = components(links, "links")
     reps = classes.join(linked, classes["rep"] == linked["node"], "left").select(
-        "n", "shape", "one", "two", F.coalesce("component", "rep").alias("component")
+        "n", "one", "two", F.coalesce("component", "rep").alias("component")
     )
     reps = kept(reps, "class-components")
-    return signed.join(reps, ["n", "shape", "one", "two"], "left").select(
+    return signed.join(reps, ["n", "one", "two"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
