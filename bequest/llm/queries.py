@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .ngram_join import jaccard_components
+from . import pii
 from .secrets import secrets
 from .substring_dedup import remove_repeated_passages
 from .toxicity import fit, held_out, scored
@@ -36,6 +37,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontaminate,
         op3_substring_dedup,
         op4_secrets,
+        op7_personal_data,
         op9_ngram_jaccard_join,
         op10_exact_dedup,
     )
