@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,43 +163,55 @@ def _windows(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 _HIT = "id long, item_id long, score double, question double, answer double, question_words int, first_word int, end_word int"
 
 
+def _overlap(pieces: set[tuple[int, ...]], words: list[int]) -> float:
+    size = len(next(iter(pieces)))
+    return len(pieces & {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}) / len(pieces)
+
+
+def _found(index: ItemIndex, texts: pa.Array, threshold: float) -> Iterator[tuple]:
+    """(row, item, score, question, answer, question words, first word, end word) of every hit."""
+    size = max(PASSAGE, index.longest)
+    most = np.append(index.most, 0.0)
+    for begin, _, data, offsets in chunks(texts):
+        starts, ends, at = cut(data, offsets, _OTHER)
+        hashed = hashes(data, starts, ends, True)
+        term = index.look_up(hashed)
+        bound = np.r_[0.0, np.cumsum(most[term])]
+        text, first, end = _windows(at, size)
+        hopeful = np.flatnonzero(bound[end] - bound[first] >= threshold - 1e-9)
+        for row, a, b in zip(text[hopeful].tolist(), first[hopeful].tolist(), end[hopeful].tolist()):
+            terms = np.unique(term[a:b])
+            for doc, score in index.above(terms[terms >= 0].tolist(), threshold):
+                item, length, asked, question, answer = index.items[doc]
+                near = hashed[max(at[row], a - length) : min(at[row + 1], b + length)].tolist()
+                overlaps = _overlap(question, near), _overlap(answer, near)
+                yield begin + row, item, score, *overlaps, asked, int(a - at[row]), int(b - at[row])
+
+
 def _hits(shared, threshold: float):
-    def share(pieces: set, region: set) -> float:
-        return len(pieces & region) / len(pieces)
+    names = [c.split()[0] for c in _HIT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3, *[pa.int32()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: ItemIndex = shared.value
-        size = max(PASSAGE, index.longest)
-        names = [c.split()[0] for c in _HIT.split(", ")]
-        kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3, *[pa.int32()] * 3]
         for batch in batches:
-            ids, out = batch.column("id").to_pylist(), []
-            for begin, _, data, offsets in chunks(batch.column("text")):
-                starts, ends, at = cut(data, offsets, _OTHER)
-                hashed = hashes(data, starts, ends, True)
-                term = index.look_up(hashed)
-                bound = np.r_[0.0, np.cumsum(np.where(term >= 0, np.append(index.most, 0.0)[term], 0.0))]
-                text, first, end = _windows(at, size)
-                hopeful = np.flatnonzero(bound[end] - bound[first] >= threshold - 1e-9)
-                for row, a, b in zip(text[hopeful].tolist(), first[hopeful].tolist(), end[hopeful].tolist()):
-                    terms = np.unique(term[a:b])
-                    for doc, score in index.above(terms[terms >= 0].tolist(), threshold):
-                        item, length, asked, question, answer = index.items[doc]
-                        low, high = max(at[row], a - length), min(at[row + 1], b + length)
-                        near = hashed[low:high].tolist()
-                        found = [
-                            share(p, {tuple(near[i : i + n]) for i in range(len(near) - n + 1)})
-                            for p in (question, answer)
-                            for n in (len(next(iter(p))),)
-                        ]
-                        place = (int(a - at[row]), int(b - at[row]))
-                        out.append((ids[begin + row], item, score, *found, asked, *place))
+            ids = batch.column("id").to_pylist()
+            out = [(ids[row], *hit) for row, *hit in _found(shared.value, batch.column("text"), threshold)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
 
 
+def _indexes(items: DataFrame) -> Iterator[ItemIndex]:
+    """Indexes of all items, INDEX_CHARS characters to each."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-chars // INDEX_CHARS))
+    for part in range(parts):
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        yield ItemIndex([tuple(r) for r in mine.orderBy("item_id", "text").collect()])
+
+
 def retrieved_items(
     docs: DataFrame,
     items: DataFrame,
@@ -218,23 +231,35 @@ def retrieved_items(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // INDEX_CHARS))
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = None
-    for part in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        index = ItemIndex([tuple(r) for r in mine.orderBy("item_id", "text").collect()])
+    for index in _indexes(items):
         hits = read.mapInArrow(_hits(spark.sparkContext.broadcast(index), threshold), _HIT)
         found = hits if found is None else found.unionByName(hits)
     return found.withColumnRenamed("id", id_col)
 
 
-def leaked(hits: DataFrame) -> F.Column:
-    """A hit is a leak if question and answer both overlap, or a long question almost whole."""
-    both = (F.col("question") >= 0.6) & (F.col("answer") >= 0.6)
-    return both | ((F.col("question") >= 0.8) & (F.col("question_words") >= LONG_QUESTION))
+def is_leak(question, answer, question_words):
+    """Question and answer both overlap, or a long question almost whole; for numbers and columns."""
+    long_question = (question >= 0.8) & (question_words >= LONG_QUESTION)
+    return ((question >= 0.6) & (answer >= 0.6)) | long_question
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that leak no test item, all columns; texts are judged where they lie."""
+    small_batches(docs.sparkSession)
+    for index in _indexes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.pandas_udf("boolean")
+        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
+            out = np.zeros(len(texts), bool)
+            for row, _, _, question, answer, asked, _, _ in _found(shared.value, pa.Array.from_pandas(texts, pa.string()), threshold):
+                out[row] |= is_leak(question, answer, asked)
+            return pd.Series(out)
+
+        docs = docs.filter(~leaks(F.col(text_col).cast("string")))
+    return docs
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,9 +269,10 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, id_
     an id share their findings; rows with a null id are never contaminated.
     """
     hits = retrieved_items(docs, items, threshold, id_col, text_col).filter(F.col(id_col).isNotNull())
+    leak = is_leak(F.col("question"), F.col("answer"), F.col("question_words"))
     by_doc = hits.groupBy(id_col).agg(
-        F.max(F.when(leaked(hits), True).otherwise(False)).alias("contaminated"),
-        F.array_sort(F.collect_set(F.when(leaked(hits), F.col("item_id")))).alias("item_ids"),
+        F.max(leak).alias("contaminated"),
+        F.array_sort(F.collect_set(F.when(leak, F.col("item_id")))).alias("item_ids"),
         F.max("score").alias("best_score"),
     )
     return (

@@ -86,6 +86,10 @@ def _runs_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pydict(out, _SORTED)
 
 
+def _normal(text_col: str) -> F.Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_CLASS, " ")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of rows whose texts are equal once runs of white space are one space.
 
@@ -98,7 +102,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     compared in full.  Runs at the edges of partitions, a few for each, are put together by text.
     """
     small_batches(docs.sparkSession)
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_CLASS, " ")
+    norm = _normal(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm")).select(
         "id", "norm", F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("hash")
     )
@@ -125,3 +129,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (F.col("first") & F.coalesce("leads", F.lit(True))).alias("kept"),
         "text_sha256",
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of equal texts: the one with the smallest id."""
+    stays = exact_duplicates(docs, id_col, text_col).filter("kept")
+    key = lambda digest: F.concat_ws(":", digest, F.col(id_col).cast("long"))
+    wanted = stays.select(key(F.col("text_sha256")).alias("_stays"))
+    found = docs.withColumn("_stays", key(F.sha2(_normal(text_col), 256))).join(wanted, "_stays", "left_semi")
+    return found.dropDuplicates(["_stays"]).drop("_stays")

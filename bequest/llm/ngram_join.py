@@ -511,3 +511,12 @@ def jaccard_components(
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     )
+
+
+def without_near_copies(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents with the smallest id of their component, with all columns."""
+    found = jaccard_components(docs, k, num, den, id_col, text_col)
+    lost = found.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    return docs.join(lost, id_col, "left_anti")

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .html_text import visible_text
+from .line_dedup import drop_recurring_lines
 from .ngram_join import jaccard_components
-from . import pii
+from .packing import best_fit_packing, measured
 from .secrets import secrets
 from .substring_dedup import remove_repeated_passages
 from .toxicity import fit, held_out, scored
@@ -37,11 +40,24 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_fit_packing(measured(table(spark, sf_dir, "documents")), 2048)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.personal_data(docs, pii.fit(docs))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visible_text(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -57,7 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontaminate,
         op3_substring_dedup,
         op4_secrets,
+        op5_line_dedup,
+        op6_best_fit_packing,
         op7_personal_data,
+        op8_html_text,
         op9_ngram_jaccard_join,
         op10_exact_dedup,
     )
