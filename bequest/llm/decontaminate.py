@@ -245,19 +245,23 @@ def is_leak(question, answer, question_words):
     return ((question >= 0.6) & (answer >= 0.6)) | long_question
 
 
+def _leaks(shared, threshold: float):
+    @F.pandas_udf("boolean")
+    def leaks(texts):
+        out = np.zeros(len(texts), bool)
+        found = _found(shared.value, pa.Array.from_pandas(texts, type=pa.string()), threshold)
+        for row, _, _, question, answer, asked, _, _ in found:
+            out[row] |= is_leak(question, answer, asked)
+        return pd.Series(out)
+
+    return leaks
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that leak no test item, all columns; texts are judged where they lie."""
+    """The documents that leak no test item, with all columns; texts are judged where they lie."""
     small_batches(docs.sparkSession)
     for index in _indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
-            out = np.zeros(len(texts), bool)
-            for row, _, _, question, answer, asked, _, _ in _found(shared.value, pa.Array.from_pandas(texts, pa.string()), threshold):
-                out[row] |= is_leak(question, answer, asked)
-            return pd.Series(out)
-
+        leaks = _leaks(docs.sparkSession.sparkContext.broadcast(index), threshold)
         docs = docs.filter(~leaks(F.col(text_col).cast("string")))
     return docs
 
