@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,21 +40,40 @@ def local_session(cpus: int | str = 8, app: str = "bequest") -> SparkSession:
     return tune(spark)
 
 
-_fallback: list[str] = []
+_private: list[str] = []
+_handed_out: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one private folder per process where none is named."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    A session in a single JVM may do without: it gets a private folder that goes with the process.
+    Elsewhere a machine's own folder would be read back in part, so the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="bequest-"))
-    return _fallback[0]
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _private:
+        _private.append(tempfile.mkdtemp(prefix="bequest-"))
+        atexit.register(shutil.rmtree, _private[0], ignore_errors=True)
+    return _private[0]
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(folder)
+    return folder
+
+
+def remove_folders(spark: SparkSession) -> None:
+    """Removes all folders handed out so far; call it once no frame that reads them is needed."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    while _handed_out:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -12,14 +12,21 @@ from pyspark.sql import types as T
 from bequest.model import SCHEMAS
 
 
-_known_schemas: dict[str, T.StructType] = {}
+_known_schemas: dict[tuple, T.StructType] = {}
+
+
+def file_status(spark: SparkSession, path: str):
+    """What the file system says of a path; raises if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
 
 
 def schema_of(spark: SparkSession, path: str) -> T.StructType:
-    """Schema of a Parquet table; footers are read once per process, not once per query."""
-    if path not in _known_schemas:
-        _known_schemas[path] = spark.read.parquet(path).schema
-    return _known_schemas[path]
+    """Schema of a Parquet table; footers are read once per session and version of the table."""
+    key = (spark.sparkContext.applicationId, path, file_status(spark, path).getModificationTime())
+    if key not in _known_schemas:
+        _known_schemas[key] = spark.read.parquet(path).schema
+    return _known_schemas[key]
 
 
 def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:

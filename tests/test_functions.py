@@ -2,9 +2,12 @@ from __future__ import annotations
 
 from datetime import date
 from decimal import Decimal
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from bequest import session
 from bequest.functions import dates, money, records, text
 from bequest.operators import filters, ordered
 from bequest.plans import allocations, dashboards, people, transfers, wills
@@ -112,7 +115,7 @@ def test_reports_on_missing_sides(spark, estate):
     assert (dan.assigned_wills, dan.pending_transfers, dan.completed_transfers) == (6, 1, 2)
 
 
-def test_long_beneficiary_lists_are_split_whole(spark):
+def test_beneficiaries_of_an_asset_have_one_layout(spark):
     assets = spark.createDataFrame([(1, 1, "A", "Other", Decimal("5.00")), (2, 1, "B", "Other", None)],
                                    "asset_id long, will_id long, name string, asset_type string, value decimal(15,2)")
     shares = spark.range(500).select(
@@ -123,11 +126,9 @@ def test_long_beneficiary_lists_are_split_whole(spark):
         F.col("id").alias("beneficiary_id"), F.col("id").cast("string").alias("full_name"),
         F.lit("Child").alias("relation"),
     )
-    lists = allocations.eligible_beneficiaries(assets, shares, heirs, list_rows=50).collect()
-    ids = [b["id"] for r in lists for b in r.beneficiaries]
-    assert sorted(ids) == list(range(500))
-    assert max(len(r.beneficiaries) for r in lists) < 150
-    assert [r.beneficiaries for r in lists if r.asset_id == 2] == [[]]
+    listed = allocations.eligible_beneficiaries(assets, shares, heirs).collect()
+    assert sorted(r.beneficiary["id"] for r in listed if r.asset_id == 1) == list(range(500))
+    assert [r.beneficiary for r in listed if r.asset_id == 2] == [None]
 
 
 def test_pages(spark):
@@ -179,3 +180,24 @@ def test_sources_and_sinks(spark, estate, tmp_path):
     assert sorted(read.collect()) == sorted(odd.collect())
     assert tables.one_row(spark, a=1, b="x").collect()[0].asDict() == {"a": 1, "b": "x"}
     assert date(2025, 6, 12) in {r.holiday_date for r in estate["holidays"].collect()}
+
+
+class _Elsewhere:
+    """A session's settings on a cluster that names no shared folder."""
+
+    class conf:  # noqa: N801
+        @staticmethod
+        def get(key, default=None):
+            return {"spark.master": "spark://head:7077"}.get(key, default)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(_Elsewhere())
+
+
+def test_folders_are_removed(spark):
+    folder = session.fresh_folder(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    session.remove_folders(spark)
+    assert not Path(folder).exists()
