@@ -12,21 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bequest.operators import rules
-from bequest.operators.joins import missing
+from bequest.operators.joins import matching, missing
 from bequest.operators.moves import accept_in_order, status_history
-from bequest.sources.tables import schema_of
-from bequest.streaming.state import SlotState, write_batch
+from bequest.sources.tables import file_status, schema_of
+from bequest.streaming.state import BucketState, SlotState, publish, write_batch
+
+
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_table(
     spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Files of one table as they arrive in a folder."""
-    schema = schema_of(spark, f"{folder}/{table}.parquet")
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """A table of a folder as a stream: the files of its directory as they arrive, or its one file.
+
+    Raises if there is neither.
+    """
+    path = f"{folder}/{table}.parquet"
+    reader = spark.readStream.schema(schema_of(spark, path))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if file_status(spark, path).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+
+
+def _keep_state_on_disk(spark: SparkSession) -> None:
+    """Keys that have to be known for good stay out of the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
 
 
 def _trigger(writer, every: str | None):
@@ -73,14 +86,17 @@ def start_activity(
     mode: str = "append",
     every: str | None = None,
 ) -> StreamingQuery:
-    """Daily activity as a table: `append` writes closed days, `complete` all of them anew."""
+    """Daily activity as a table: `append` writes closed days, `complete` all of them anew.
+
+    With `complete`, read the newest version with `state.published`.
+    """
     counted = activity_per_day(audit)
     if mode == "append":
         writer = counted.writeStream.format("parquet").option("path", out)
     else:
 
         def step(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+            publish(batch, out, batch_id)
 
         writer = counted.writeStream.foreachBatch(step)
     writer = writer.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -95,11 +111,11 @@ def start_status_machine(
     Within a micro-batch changes are put in seq order; a change that arrives with an older
     batch's seq is judged against the status known by then.
     """
-    state = SlotState(f"{out}/state", "will_id long, status string")
+    state = BucketState(f"{out}/state", "will_id long, status string", "will_id")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = state.before(batch.sparkSession, batch_id)
         changed = batch.persist()
+        before = state.before(changed, batch_id)
         result = status_history(changed, actor, before)
         write_batch(result["history"], f"{out}/history", batch_id)
         write_batch(result["rejected"], f"{out}/rejected", batch_id)
@@ -122,14 +138,17 @@ def start_share_guard(
     every: str | None = None,
 ) -> StreamingQuery:
     """Accept share requests while their asset stays within 100 %; accepted cents are kept."""
-    state = SlotState(f"{out}/state", "asset_id long, cents long")
+    state = BucketState(f"{out}/state", "asset_id long, cents long", "asset_id")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = state.before(batch.sparkSession, batch_id)
+        batch = batch.persist()
+        before = state.before(batch, batch_id)
         checked = rules.check_assignment_targets(batch, assets, wills, beneficiaries).persist()
         valid, broken = rules.split_checked(checked)
         cents = (F.col("share_percent") * 100).cast("long").alias("cents")
-        used = shares.select("asset_id", cents).unionByName(before)
+        # Stored shares of the batch's assets only.
+        stored = matching(shares, batch.select("asset_id").distinct(), "asset_id")
+        used = stored.select("asset_id", cents).unionByName(before)
         room = used.groupBy("asset_id").agg((F.lit(10000) - F.sum("cents")).alias("room"))
         accepted, refused = accept_in_order(valid.select("*", cents), room)
         over = refused.select(
@@ -146,19 +165,22 @@ def start_share_guard(
         state.after(total.groupBy("asset_id").agg(F.sum("cents").alias("cents")), batch_id)
         accepted.unpersist()
         checked.unpersist()
+        batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
-def fresh_transfers(requests: DataFrame, completed: DataFrame, delay: str) -> DataFrame:
-    """Requested (asset, beneficiary) pairs, each once and none that is completed already."""
+def fresh_transfers(requests: DataFrame, completed: DataFrame) -> DataFrame:
+    """Requested (asset, beneficiary) pairs, each once and none that is completed already.
+
+    A pair is remembered for good, so it makes no difference how rows are cut into batches or in
+    which order their dates come.
+    """
     pair = ["asset_id", "beneficiary_id"]
     return (
-        requests.withColumn("transfer_date", F.col("transfer_date").cast("timestamp"))
-        .withWatermark("transfer_date", delay)
-        .dropDuplicatesWithinWatermark(pair)
-        .select(*pair)
+        requests.select(*pair)
+        .dropDuplicates(pair)
         .join(completed.select(*pair), pair, "left_anti")
     )
 
@@ -168,11 +190,11 @@ def start_repeat_filter(
     completed: DataFrame,
     out: str,
     checkpoint: str,
-    delay: str = "1 day",
     every: str | None = None,
 ) -> StreamingQuery:
+    _keep_state_on_disk(requests.sparkSession)
     writer = (
-        fresh_transfers(requests, completed, delay)
+        fresh_transfers(requests, completed)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
@@ -183,7 +205,11 @@ def start_repeat_filter(
 def start_total(
     rows: DataFrame, keys: list[str], out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Running number of distinct keys: repeats stay out, new keys add to the kept total."""
+    """Running number of distinct keys: repeats stay out, new keys add to the kept total.
+
+    Read the newest version with `state.published`.
+    """
+    _keep_state_on_disk(rows.sparkSession)
     state = SlotState(f"{out}/state", "total long")
     distinct = rows.select(*keys).dropDuplicates(keys)
 
@@ -191,8 +217,7 @@ def start_total(
         seen = batch.agg(F.count(F.lit(1)).alias("total"))
         total = state.before(batch.sparkSession, batch_id).unionByName(seen)
         state.after(total.agg(F.sum("total").alias("total")), batch_id)
-        now = batch.sparkSession.read.parquet(f"{out}/state/slot={batch_id % 2}")
-        now.write.mode("overwrite").parquet(f"{out}/total")
+        publish(state.before(batch.sparkSession, batch_id + 1), f"{out}/total", batch_id)
 
     writer = distinct.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
@@ -204,7 +229,7 @@ def start_count(
     """Running number of rows of a source whose keys are unique: a plain global aggregate."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/total")
+        publish(batch, f"{out}/total", batch_id)
 
     writer = (
         rows.agg(F.count(F.lit(1)).alias("total"))

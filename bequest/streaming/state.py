@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bequest.sources.tables import literal_rows
 
 
+#: Buckets of a keyed state; a fixed number, so that a key stays in its bucket.
+BUCKETS = 256
+
+
 class SlotState:
-    """A small keyed table carried from batch to batch in the shared folder.
+    """A table of a few rows carried from batch to batch in the shared folder.
 
     Batch n reads what batch n - 1 wrote and writes the other of two slots, so a batch that is
     run again after a failure finds its input untouched and replaces its own half-written slot.
@@ -30,6 +35,73 @@ class SlotState:
         df.write.mode("overwrite").parquet(self._slot(batch_id))
 
 
+class BucketState:
+    """A keyed table in buckets, of which a batch reads and rewrites only those of its own keys.
+
+    Every batch writes its buckets to a folder of its own, and a list of the batch that last wrote
+    each bucket.  Batch n starts from the list of batch n - 1, so a batch that is run again after a
+    failure finds its input untouched and replaces what it had written.
+    """
+
+    def __init__(self, folder: str, schema: str, key: str, buckets: int = BUCKETS):
+        self.folder = folder
+        self.schema = schema
+        self.bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def _versions(self, spark: SparkSession, batch_id: int) -> dict[int, int]:
+        """The batch that last wrote each bucket; at most as many rows as there are buckets."""
+        if batch_id < 0:
+            return {}
+        listed = spark.read.schema("bucket int, batch long").parquet(
+            f"{self.folder}/list/batch={batch_id}"
+        )
+        return {r["bucket"]: r["batch"] for r in listed.collect()}
+
+    def before(self, changed: DataFrame, batch_id: int) -> DataFrame:
+        """The state of all buckets that the changed rows touch."""
+        spark = changed.sparkSession
+        versions = self._versions(spark, batch_id - 1)
+        touched = [r[0] for r in changed.select(self.bucket).distinct().collect()]
+        paths = [
+            f"{self.folder}/batch={versions[b]}/bucket={b}" for b in touched if b in versions
+        ]
+        if not paths:
+            return literal_rows(spark, [], self.schema)
+        return spark.read.schema(self.schema).parquet(*paths)
+
+    def after(self, df: DataFrame, batch_id: int) -> None:
+        """Replaces the buckets of the given rows, which hold all there is in them."""
+        spark = df.sparkSession
+        folder = f"{self.folder}/batch={batch_id}"
+        columns = [f.name for f in literal_rows(spark, [], self.schema).schema]
+        df.select(*columns, self.bucket.alias("bucket")).repartition("bucket").write.mode(
+            "overwrite"
+        ).partitionBy("bucket").parquet(folder)
+        versions = self._versions(spark, batch_id - 1)
+        written = spark.read.schema(f"{self.schema}, bucket int").parquet(folder)
+        for row in written.select("bucket").distinct().collect():
+            versions[row["bucket"]] = batch_id
+        listed = literal_rows(spark, sorted(versions.items()), "bucket int, batch long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/list/batch={batch_id}")
+
+
+def publish(df: DataFrame, folder: str, batch_id: int) -> None:
+    """A whole result as a new version; readers see the version before until this one is complete."""
+    df.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest complete version of a result."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [
+        int(status.getPath().getName().removeprefix("version="))
+        for status in files.listStatus(path)
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+    ]
+    return spark.read.parquet(f"{folder}/version={max(done)}")
+
+
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     """One batch's rows; running the batch again replaces them."""
     df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")

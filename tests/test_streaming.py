@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bequest.functions import dates
 from bequest.operators import moves, rules
 from bequest.streaming import jobs
-from bequest.streaming.state import SlotState
+from bequest.streaming.state import BucketState, SlotState, published
 
 
 class Feed:
@@ -71,7 +71,7 @@ def test_activity_modes(spark, tmp_path, to):
     ]
     full = str(tmp_path / "full"), str(tmp_path / "full-checkpoint")
     jobs.start_activity(feed.stream(), *full, mode="complete").awaitTermination()
-    assert spark.read.parquet(full[0]).agg(F.sum("count")).first()[0] == 6
+    assert published(spark, full[0]).agg(F.sum("count")).first()[0] == 6
 
 
 def test_status_machine_over_batches(spark, tmp_path, to):
@@ -141,8 +141,36 @@ def test_repeats_and_totals(spark, estate, tmp_path, to):
         feed.add((81, 2, day), (22, 3, day))
     jobs.start_count(feed.stream(), *rows).awaitTermination()
     jobs.start_total(feed.stream(), ["asset_id", "beneficiary_id"], *keys).awaitTermination()
-    assert spark.read.parquet(f"{rows[0]}/total").first().total == 9
-    assert spark.read.parquet(f"{keys[0]}/total").first().total == 4
+    assert published(spark, f"{rows[0]}/total").first().total == 9
+    assert published(spark, f"{keys[0]}/total").first().total == 4
+
+
+def test_repeats_do_not_depend_on_batches_or_dates(spark, estate, tmp_path, to):
+    feed = Feed(spark, tmp_path / "in", "asset_id long, beneficiary_id long, transfer_date timestamp_ntz")
+    day, rnd = datetime(2025, 6, 9, 8), random.Random(3)
+    data = [(rnd.randrange(40), rnd.randrange(3), day - timedelta(days=rnd.randrange(900))) for _ in range(200)]
+    for low in range(0, 200, 50):
+        feed.add(*data[low : low + 50])
+    done = estate["transfers"].where("transfer_status = 'Completed'")
+    jobs.start_repeat_filter(feed.stream(), done, *to).awaitTermination()
+    completed = set(pairs(done, "asset_id", "beneficiary_id"))
+    expected = sorted({r[:2] for r in data} - completed, key=str)
+    assert pairs(spark.read.parquet(to[0]), "asset_id", "beneficiary_id") == expected
+
+
+def test_tables_of_several_files_and_of_one(spark, tmp_path):
+    rows = spark.range(90).withColumn("v", F.col("id") * 2)
+    tables = tmp_path / "tables"
+    rows.repartition(3).write.parquet(str(tables / "many.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tables / "one.parquet")
+    for name in ("many", "one"):
+        out, checkpoint = str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-checkpoint")
+        stream = jobs.stream_table(spark, str(tables), name, files_per_trigger=1)
+        jobs.start_total(stream, ["id"], out, checkpoint).awaitTermination()
+        assert published(spark, f"{out}/total").first().total == 90
+    with pytest.raises(Exception, match="none.parquet"):
+        jobs.stream_table(spark, str(tables), "none")
 
 
 def test_a_batch_run_again_finds_its_input(spark, tmp_path):
@@ -154,3 +182,22 @@ def test_a_batch_run_again_finds_its_input(spark, tmp_path):
         seen = state.before(spark, 1).first().v
         state.after(one(seen + 1), 1)
     assert state.before(spark, 2).first().v == 11
+
+
+def test_buckets_without_changed_keys_stay(spark, tmp_path):
+    state = BucketState(str(tmp_path / "state"), "k long, v long", "k", buckets=4)
+    frame = lambda *data: spark.createDataFrame(list(data), "k long, v long")
+    everything = frame(*((k, 0) for k in range(40)))
+    assert state.before(everything, 0).count() == 0
+    state.after(everything, 0)
+    changed = frame((7, 1))
+    bucket = changed.select(state.bucket).first()[0]
+    for _ in range(2):  # the batch runs again
+        before = state.before(changed, 1)
+        assert {r[0] for r in before.select(state.bucket).distinct().collect()} == {bucket}
+        kept = before.where("k <> 7")
+        state.after(kept.unionByName(changed), 1)
+    written = {p.name for p in (tmp_path / "state" / "batch=1").glob("bucket=*")}
+    assert written == {f"bucket={bucket}"}
+    now = state.before(everything, 2)
+    assert sorted((r.k, r.v) for r in now.collect()) == [(k, int(k == 7)) for k in range(40)]
