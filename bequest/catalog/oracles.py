@@ -21,6 +21,36 @@ AUDIT = "timestamp '2024-01-31 00:00:00'"
 REPORT_TEXT = "'2001-08-01 00:00:00'"
 WORTH = "cast(value * share_percent as decimal(30,4)) * 0.01"
 
+
+
+def deletions(protected: bool) -> str:
+    """Delete requests with code and reason; the first accepted one of a will ends the will."""
+    confirmed = "force and coalesce(confirm_text, '') = 'DELETE-CONFIRM'"
+    last_code, last_reason, may = "", "", confirmed
+    if protected:
+        last_code = "when status <> 'Draft' then -20031"
+        last_reason = "when status <> 'Draft' then 'will is protected'"
+        may = "false"
+    return f"""
+        with judged as (
+          select d.*, w.status, w.will_id is not null as known,
+            min(case when w.status = 'Draft' or ({may} and w.will_id is not null) then seq end)
+              over (partition by d.will_id) as ending
+          from e_deletions d left join e_wills w on w.will_id = d.will_id)
+        select seq, will_id, force, confirm_text, status,
+          case when will_id is null then -26000
+            when not known or coalesce(seq > ending, false) then -26001
+            when status <> 'Draft' and not force then -26002
+            when status <> 'Draft' and not ({confirmed}) then -26004 {last_code} end as code,
+          case when will_id is null then 'will id is missing'
+            when not known or coalesce(seq > ending, false)
+              then 'unknown will ' || cast(will_id as varchar)
+            when status <> 'Draft' and not force then 'will is ' || status
+            when status <> 'Draft' and not ({confirmed}) then 'confirmation text is missing'
+            {last_reason} end as reason
+        from judged"""
+
+
 VIEWS = {
     "e_users": f"""
         select c_custkey as user_id, c_name as full_name,
@@ -80,7 +110,7 @@ VIEWS = {
                when max(l_returnflag) = 'A' then 'Failed' else 'Completed' end
             as transfer_status
         from lineitem join orders on l_orderkey = o_orderkey
-        where o_orderstatus <> 'O' and l_orderkey % 3 = 0
+        where o_orderstatus <> 'O'
         group by l_orderkey, l_linenumber, l_suppkey""",
     "e_requests": f"""
         select {SEQ} as seq, {ASSET} as asset_id,
@@ -140,11 +170,12 @@ VIEWS = {
             as executor_id
         from lineitem""",
     "e_deletions": """
-        select case when o_orderkey % 97 = 0 then null when o_orderkey % 89 = 0
+        select o_orderkey * 2 + i as seq, case when o_orderkey % 97 = 0 then null when o_orderkey % 89 = 0
             then -o_orderkey - 1 else o_orderkey end as will_id,
-          o_orderkey % 3 = 0 as force,
-          case when o_orderkey % 6 = 0 then 'DELETE-CONFIRM' end as confirm_text
-        from orders""",
+          (o_orderkey + i) % 3 = 0 as force,
+          case when (o_orderkey + i) % 6 = 0 then 'DELETE-CONFIRM' end as confirm_text
+        from orders cross join (values (0), (1)) t(i)
+        where i = 0 or o_orderpriority = '1-URGENT'""",
     "e_share_changes": f"""
         select {ASSET} + case when l_partkey % 20 = 0 then 9 else 0 end as asset_id,
           l_suppkey as beneficiary_id, l_shipdate as changed_at from lineitem""",
@@ -323,18 +354,8 @@ VIEWS = {
           (select count(*) from e_executors x where x.will_id = p.will_id
             and is_primary = 'Y') as primaries
         from v_primary p where code is null group by will_id""",
-    "v_deletions": """
-        select d.*, w.status,
-          case when d.will_id is null then -26000 when w.will_id is null then -26001
-            when w.status <> 'Draft' and not force then -26002
-            when w.status <> 'Draft' and coalesce(confirm_text, '') <> 'DELETE-CONFIRM'
-              then -26004 end as code,
-          case when d.will_id is null then 'will id is missing'
-            when w.will_id is null then 'unknown will ' || cast(d.will_id as varchar)
-            when w.status <> 'Draft' and not force then 'will is ' || w.status
-            when w.status <> 'Draft' and coalesce(confirm_text, '') <> 'DELETE-CONFIRM'
-              then 'confirmation text is missing' end as reason
-        from e_deletions d left join e_wills w on w.will_id = d.will_id""",
+    "v_deletions": deletions(protected=False),
+    "v_deletions_protected": deletions(protected=True),
     "v_doomed": "select will_id, status as old_status from v_deletions where code is null",
     "v_gone_assets": "select asset_id, will_id from e_assets where will_id in (select will_id from v_doomed)",
     "v_deleted": """
@@ -354,6 +375,14 @@ VIEWS = {
         union all select will_id, 'history', count(*) from e_changes
           where will_id in (select will_id from v_doomed) group by will_id
         union all select will_id, 'wills', 1 from v_doomed""",
+    "v_related": """
+        select d.will_id, d.old_status, r.* exclude (will_id)
+        from v_doomed d join (
+          select will_id, coalesce(sum(n) filter (part = 'assets'), 0) as assets,
+            coalesce(sum(n) filter (part = 'executors'), 0) as executors,
+            coalesce(sum(n) filter (part = 'shares'), 0) as shares,
+            coalesce(sum(n) filter (part = 'documents'), 0) as documents, sum(n) as everything
+          from v_deleted group by will_id) r on r.will_id = d.will_id""",
     # Replay of status changes, one change of every will per step.
     "v_steps": """
         select *, row_number() over (partition by will_id order by seq) as step from e_changes""",
@@ -557,13 +586,11 @@ oracle(
 oracle(
     "q20_eligible_beneficiaries",
     f"""select a.asset_id, a.name, {dbl('coalesce(a.value, 0)', 'value')}, a.asset_type,
-          cast(0 as bigint) as part,
-          coalesce(string_agg(b.full_name || '/' || cast(b.beneficiary_id as varchar) || '/'
-            || b.relation || '/' || cast(s.share_percent as varchar), ','
-            order by b.full_name, b.beneficiary_id), '') as beneficiaries
-        from e_assets a left join e_shares s on s.asset_id = a.asset_id
-          left join e_beneficiaries b on b.beneficiary_id = s.beneficiary_id
-        group by a.asset_id, a.name, a.value, a.asset_type""",
+          h.full_name, h.beneficiary_id as id, h.relation, {dbl('h.share_percent')}
+        from e_assets a left join (
+          select s.asset_id, s.share_percent, b.* from e_shares s
+            join e_beneficiaries b on b.beneficiary_id = s.beneficiary_id) h
+          on h.asset_id = a.asset_id""",
 )
 oracle(
     "q21_beneficiary_portfolio",
@@ -812,8 +839,8 @@ oracle(
 )
 oracle(
     "s6_csv_export",
-    """select audit_id, user_name, action, action_table, record_id, old_values, new_values,
-         status from e_audit""",
+    f"""select audit_id, user_name, action, action_table, record_id, old_values, new_values,
+         {stamp('timestamp')}, status from e_audit""",
 )
 oracle(
     "p13_facet_filter",
@@ -1041,6 +1068,14 @@ oracle(
              and o.executor_id <> x.executor_id) then -20022 end as reject_code
        from e_executors x""",
 )
+oracle(
+    "r09_primary_in_batch",
+    """select executor_id + 4 as executor_id, 'Y' as is_primary,
+         case when exists (select 1 from e_executors o where o.will_id = x.will_id
+             and (o.is_primary = 'Y' or o.executor_id < x.executor_id)) then -20022 end
+           as reject_code
+       from e_executors x""",
+)
 oracle(
     "r10_documents",
     """select document_id, related_entity, entity_id, title, file_type, code as reject_code,
@@ -1048,14 +1083,12 @@ oracle(
 )
 oracle(
     "r11_deletions",
-    """select will_id, force, confirm_text,
-         case when code is null and status <> 'Draft' then -20031 else code end as reject_code,
-         case when code is null and status <> 'Draft' then 'will is protected' else reason end
-           as reject_reason from v_deletions""",
+    """select seq, will_id, force, confirm_text, code as reject_code, reason as reject_reason
+       from v_deletions_protected""",
 )
 oracle(
     "r11_deletions_unprotected",
-    """select will_id, force, confirm_text, code as reject_code, reason as reject_reason
+    """select seq, will_id, force, confirm_text, code as reject_code, reason as reject_reason
        from v_deletions""",
 )
 DOMAINS = (
@@ -1332,31 +1365,25 @@ oracle(
         where will_id not in {DOOMED}""",
 )
 oracle("m06_delete_deleted_counts", 'select will_id, part as "table", n as rows from v_deleted')
-RELATED = """(select d.will_id, d.old_status,
-    coalesce(sum(n) filter (part = 'assets'), 0) as assets,
-    coalesce(sum(n) filter (part = 'executors'), 0) as executors,
-    coalesce(sum(n) filter (part = 'shares'), 0) as shares,
-    coalesce(sum(n) filter (part = 'documents'), 0) as documents, sum(n) as everything
-  from v_doomed d join v_deleted using (will_id) group by d.will_id, d.old_status)"""
 oracle(
     "m06_delete_audit",
     audit("'DELETE_ATTEMPT'", "'WILLS'", "will_id", "'Status: ' || old_status",
           "'Related counts - Assets: ' || cast(assets as varchar) || ', Executors: ' "
           "|| cast(executors as varchar) || ', Beneficiaries: ' || cast(shares as varchar) "
-          "|| ', Documents: ' || cast(documents as varchar)", "'STARTED'", RELATED)
+          "|| ', Documents: ' || cast(documents as varchar)", "'STARTED'", "v_related")
     + " union all "
     + audit("'DELETE'", "upper(part)", "will_id", "'Deleted ' || cast(n as varchar) || ' rows'",
             "null", "'SUCCESS'", "v_deleted")
     + " union all "
     + audit("'DELETE'", "'WILLS'", "will_id", "'Status before deletion: ' || old_status",
-            "'Deleted records: ' || cast(everything as varchar)", "'SUCCESS'", RELATED)
+            "'Deleted records: ' || cast(everything as varchar)", "'SUCCESS'", "v_related")
     + " union all "
     + refused("WILLS", "will_id", "delete_wills", "code", "reason",
               "v_deletions where code is not null"),
 )
 oracle(
     "m06_delete_rejected",
-    """select will_id, force, confirm_text, code as reject_code, reason as reject_reason
+    """select seq, will_id, force, confirm_text, code as reject_code, reason as reject_reason
        from v_deletions where code is not null""",
 )
 oracle(

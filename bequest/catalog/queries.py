@@ -17,6 +17,7 @@ from bequest.session import fresh_folder
 from bequest.sources import tables, writers
 from bequest.sources.testbed import Testbed, change_columns, email_of
 from bequest.streaming import jobs
+from bequest.streaming.state import published
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -162,15 +163,8 @@ def _(t):
 
 @query("q20_eligible_beneficiaries")
 def _(t):
-    lists = allocations.eligible_beneficiaries(t.assets, t.shares, t.beneficiaries)
-    entry = F.transform(
-        "beneficiaries",
-        lambda b: text.join_text(
-            b["full_name"], F.lit("/"), b["id"], F.lit("/"), b["relation"], F.lit("/"),
-            b["share_percent"],
-        ),
-    )
-    return lists.withColumn("beneficiaries", entry)
+    listed = allocations.eligible_beneficiaries(t.assets, t.shares, t.beneficiaries)
+    return listed.select("asset_id", "name", "value", "asset_type", "beneficiary.*")
 
 
 @query("q21_beneficiary_portfolio")
@@ -384,7 +378,7 @@ def _(t):
 @query("s6_csv_export")
 def _(t):
     folder = fresh_folder(t.spark, "audit-csv")
-    exported = t.audit.drop("timestamp")
+    exported = t.audit
     writers.write_csv(exported, folder)
     schema = exported.schema
     return t.spark.read.schema(schema).option("header", True).option("escape", '"').csv(folder)
@@ -406,13 +400,9 @@ def _(t):
 
 @query("p15_transfer_tabs")
 def _(t):
-    parts = [
-        filters.transfer_tab(t.transfers, tab).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(tab).alias("tab"), "rows"
-        )
-        for tab in ("pending", "completed", "all")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tabs = ("pending", "completed", "all")
+    counted = t.transfers.agg(*(F.count_if(filters.in_tab(tab)).alias(tab) for tab in tabs))
+    return counted.unpivot([], list(tabs), "tab", "rows")
 
 
 @query("p6_in_and_not_in")
@@ -674,6 +664,16 @@ def _(t):
     )
 
 
+@query("r09_primary_in_batch")
+def _(t):
+    arrivals = t.executors.select(
+        (F.col("executor_id") + 4).alias("executor_id"), "will_id", F.lit("Y").alias("is_primary")
+    )
+    return rules.check_primary(arrivals, t.executors).select(
+        "executor_id", "is_primary", "reject_code"
+    )
+
+
 @query("r10_documents")
 def _(t):
     return rules.check_documents(t.documents, t.wills, t.assets)
@@ -809,6 +809,17 @@ def _delete(t: Testbed) -> dict:
     )
 
 
+def _delete_rows(t: Testbed) -> dict:
+    return moves.delete_wills(
+        t.deletions,
+        _tables(t),
+        dates.moment(REPORT_DAY),
+        ACTOR,
+        enforce_protection=False,
+        counts=False,
+    )
+
+
 def _replay(t: Testbed) -> dict:
     return moves.status_history(t.changes, ACTOR)
 
@@ -828,12 +839,11 @@ _moved(
         "transfers",
         "documents",
         "history",
-        "deleted_counts",
-        "audit",
         "rejected",
     ),
-    _delete,
+    _delete_rows,
 )
+_moved("m06_delete", ("deleted_counts", "audit"), _delete)
 _moved("m09_history", ("history", "rejected", "state"), _replay)
 
 
@@ -915,7 +925,7 @@ def _(t):
     out, checkpoint = _folders(t.spark, "activity")
     stream = _Stream(t.spark, t.folder, "events").audit
     jobs.start_activity(stream, out, checkpoint, mode="complete").awaitTermination()
-    return t.spark.read.parquet(out).withColumn("day", F.col("day").cast("date"))
+    return published(t.spark, out).withColumn("day", F.col("day").cast("date"))
 
 
 def _machine(t: Testbed) -> str:
@@ -959,7 +969,7 @@ def _(t):
     line = ["l_orderkey", "l_linenumber"]
     lines = _streamed(t, "lineitem")
     orders = t.table("orders").where(F.col("o_orderstatus") != "O")
-    moved = lines.where(F.col("l_orderkey") % 3 == 0).join(
+    moved = lines.join(
         orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi"
     )
     started = []
@@ -975,7 +985,7 @@ def _(t):
     for _name, _out, running in started:
         running.awaitTermination()
     for name, out, _running in started:
-        total = t.spark.read.parquet(f"{out}/total").select(
+        total = published(t.spark, f"{out}/total").select(
             F.lit(name).alias("name"), F.col("total")
         )
         totals = total if totals is None else totals.unionByName(total)

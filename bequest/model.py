@@ -11,7 +11,6 @@ WILL_STATUSES = ("Draft", "Approved", "Executing", "Executed")
 TRANSFER_STATUSES = ("Initiated", "Completed", "Failed")
 INITIAL_ROLES = ("testator", "executor", "beneficiary", "admin", "user")
 DOCUMENT_ENTITIES = ("WILL", "ASSET")
-FLAGS = ("Y", "N")
 ASSET_TYPES = ("Real Estate", "Financial", "Vehicle", "Personal", "Business", "Investment", "Other")
 RELATIONS = ("Spouse", "Child", "Parent", "Sibling", "Friend", "Charity", "Other")
 FILE_TYPES = ("PDF", "DOC", "JPG", "PNG", "TXT")
@@ -89,7 +88,6 @@ FORM_EMAIL_REPEATED = 3
 FORM_ROLE_UNKNOWN = 4
 FORM_SHARE_INVALID = 5
 FORM_VALUE_INVALID = 6
-FORM_FILE_TYPE_UNKNOWN = 7
 PROFILE_NAME, PROFILE_EMAIL, PROFILE_PHONE, PROFILE_AGE, PROFILE_ADDRESS = 1, 2, 3, 4, 5
 
 # --- table schemas ---------------------------------------------------------------------------
@@ -117,13 +115,3 @@ SCHEMAS = {
     "record_id long, old_values string, new_values string, timestamp timestamp_ntz, "
     "status string",
 }
-AUDIT_COLUMNS = (
-    "user_name",
-    "action",
-    "action_table",
-    "record_id",
-    "old_values",
-    "new_values",
-    "timestamp",
-    "status",
-)

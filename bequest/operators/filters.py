@@ -42,7 +42,12 @@ def search(df: DataFrame, term: str, *columns: str) -> DataFrame:
     return df.where(contains_text(term, *[F.col(c) for c in shown]))
 
 
+def in_tab(tab: str) -> Column:
+    """Whether a transfer is listed as pending, as completed, or at all."""
+    wanted = {"pending": "Initiated", "completed": "Completed"}.get(tab)
+    return F.col("transfer_status") == wanted if wanted else F.lit(True)
+
+
 def transfer_tab(transfers: DataFrame, tab: str) -> DataFrame:
     """The pending, completed or full list of transfers."""
-    wanted = {"pending": "Initiated", "completed": "Completed"}.get(tab)
-    return transfers.where(F.col("transfer_status") == wanted) if wanted else transfers
+    return transfers.where(in_tab(tab))

@@ -103,19 +103,37 @@ def _set_status(wills: DataFrame, moved: DataFrame, status: str, as_of: Column)
     )
 
 
+def _place(requests: DataFrame, *key: str) -> Column:
+    """Total order of the requests of one key: by seq, then by what they ask for.
+
+    The row number `__id` tells only true copies apart, of which it does not matter which is first.
+    """
+    rest = [c for c in sorted(requests.columns) if c not in ("seq", *key)]
+    return F.struct("seq", *rest, "__id")
+
+
 # --- wills -----------------------------------------------------------------------------------
 
 
 def approve_wills(requests: DataFrame, tables: Tables, as_of: Column, actor: str) -> Tables:
     checked = rules.check_approvals(
-        requests,
-        tables["wills"],
-        tables["executors"],
-        tables["assets"],
-        tables["shares"],
-        once=True,
+        requests, tables["wills"], tables["executors"], tables["assets"], tables["shares"]
     )
-    accepted, rejected = split_checked(written(checked, "approvals"))
+    # The written numbers tell copies of a request apart; once written they do not change.
+    checked = written(
+        checked.withColumn("__id", F.monotonically_increasing_id()), "approvals"
+    )
+    place = _place(requests, "will_id")
+    passing = checked.where(F.col("reject_code").isNull())
+    first = passing.groupBy("will_id").agg(F.min(place).alias("__first"))
+    late = F.col("reject_code").isNull() & (place > F.col("__first"))
+    judged = attach(checked, first, ["will_id"]).withColumns(
+        {
+            "reject_code": F.when(late, F.lit(-20092)).otherwise(F.col("reject_code")),
+            "reject_reason": F.when(late, "will is Approved").otherwise(F.col("reject_reason")),
+        }
+    )
+    accepted, rejected = split_checked(judged.drop("__id", "__first"))
     done = _audit(
         accepted,
         actor,
@@ -292,8 +310,13 @@ def delete_wills(
     as_of: Column,
     actor: str,
     enforce_protection: bool = True,
+    counts: bool = True,
 ) -> Tables:
-    """Delete wills with everything that hangs on them."""
+    """Delete wills with everything that hangs on them.
+
+    Without `counts` the rows of each table are not counted, and deleted_counts and audit, which
+    need the counts, are left out.
+    """
     checked = rules.check_deletions(requests, tables["wills"], enforce_protection)
     accepted, rejected = split_checked(written(checked, "deletions"))
     status = tables["wills"].select("will_id", F.col("status").alias("old_status"))
@@ -310,6 +333,18 @@ def delete_wills(
         target("ASSET", gone_assets, "asset_id")
     )
     entity = ["related_entity", "entity_id"]
+    left = {
+        "wills": missing(tables["wills"], doomed, "will_id"),
+        "assets": missing(tables["assets"], doomed, "will_id"),
+        "executors": missing(tables["executors"], doomed, "will_id"),
+        "history": missing(tables["history"], doomed, "will_id"),
+        "shares": missing(tables["shares"], gone_assets, "asset_id"),
+        "transfers": missing(tables["transfers"], gone_assets, "asset_id"),
+        "documents": missing(tables["documents"], gone_targets, *entity),
+        "rejected": rejected,
+    }
+    if not counts:
+        return left
 
     # Rows per will of every table, counted by the nearest key first.
     def by_asset(name: str) -> DataFrame:
@@ -393,17 +428,9 @@ def delete_wills(
         text.join_text(F.lit("Deleted records: "), F.col("all_rows")),
     )
     refused = _refused(rejected, actor, as_of, "WILLS", "delete_wills", F.col("will_id"))
-    return {
-        "wills": missing(tables["wills"], doomed, "will_id"),
-        "assets": missing(tables["assets"], doomed, "will_id"),
-        "executors": missing(tables["executors"], doomed, "will_id"),
-        "history": missing(tables["history"], doomed, "will_id"),
-        "shares": missing(tables["shares"], gone_assets, "asset_id"),
-        "transfers": missing(tables["transfers"], gone_assets, "asset_id"),
-        "documents": missing(tables["documents"], gone_targets, *entity),
+    return left | {
         "deleted_counts": deleted,
         "audit": attempt.unionByName(per_table).unionByName(final).unionByName(refused),
-        "rejected": rejected,
     }
 
 
@@ -420,16 +447,14 @@ def accept_in_order(
 
     Free room only shrinks, so if a request is accepted, all earlier ones of its size were too:
     of one size at most room / size requests can succeed.  Everything behind those is refused
-    without looking at it, which leaves at most sum(10000 / s, s = 1..10000), about 98,000
-    candidates per asset, however many requests there are.  Assets whose requests all fit need
-    no walk at all.
+    without looking at it, which leaves at most sum(room / s, s = 1..room) candidates per asset,
+    about 98,000 where all 10,000 cents are open, however many requests there are.  Assets whose
+    requests all fit need no walk at all.
     """
-    # At most 100 % of an asset is open.
-    open_room = room.select("asset_id", F.least("room", F.lit(10000)).alias("room"))
     known = judged_by_key(
         requests,
         ["asset_id"],
-        lambda keys: keys.join(open_room, "asset_id", "left"),
+        lambda keys: keys.join(room.select("asset_id", "room"), "asset_id", "left"),
         F.sum("cents").alias("__wanted"),
     )
     left = F.coalesce("room", F.lit(10000))
@@ -438,6 +463,8 @@ def accept_in_order(
         "__id", F.monotonically_increasing_id()
     )
     known = written(numbered, "share-requests")
+    tie = F.struct(*[c for c in sorted(requests.columns) if c not in ("asset_id", "seq", "cents")])
+    known = known.withColumn("__tie", tie) if len(requests.columns) > 3 else known.withColumn("__tie", F.lit(0))
     fits = F.col("__wanted") <= F.col("room")
     easy = known.where(fits)
     contested = known.where(~fits)
@@ -445,16 +472,16 @@ def accept_in_order(
     places = F.floor(F.col("room") / F.col("cents"))
     candidates = first_rows(
         contested.where(F.col("cents") <= F.col("room")).select(
-            "asset_id", "seq", "__id", "cents", "room"
+            "asset_id", "seq", "__tie", "__id", "cents", "room"
         ),
         ["asset_id", "cents"],
-        ["seq", "__id"],
+        ["seq", "__tie", "__id"],
         places,
         **({} if salts is None else {"salts": salts}),
     )
     queue = candidates.groupBy("asset_id").agg(
         F.max("room").alias("room"),
-        F.array_sort(F.collect_list(F.struct("seq", "__id", "cents"))).alias("queue"),
+        F.array_sort(F.collect_list(F.struct("seq", "__tie", "__id", "cents"))).alias("queue"),
     )
     nobody = F.array().cast("array<bigint>")
     walked = F.aggregate(

@@ -69,7 +69,10 @@ def first_rows(
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Rows of one page with their overall position; only a bounded top is ever sorted."""
+    """Rows of one page with their overall position.
+
+    What is sorted grows with the page number; deep pages are better reached by `page_after`.
+    """
     offset = (number - 1) * size
     rows = df.orderBy(*order).offset(offset).limit(size)
     place = F.row_number().over(Window.orderBy(*order)) + offset

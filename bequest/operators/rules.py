@@ -288,13 +288,8 @@ def check_approvals(
     executors: DataFrame,
     assets: DataFrame,
     shares: DataFrame,
-    once: bool = False,
 ) -> DataFrame:
-    """Approval requests by will; facts are gathered once per will.
-
-    With `once` only the first request (by seq) of a will can pass: the later ones find the
-    will approved.
-    """
+    """Approval requests by will; facts are gathered once per will."""
 
     def judge(keys: DataFrame) -> DataFrame:
         named = executors.groupBy("will_id").agg(
@@ -313,8 +308,7 @@ def check_approvals(
             .join(low, "will_id", "left")
         )
 
-    first = F.min("seq").alias("__first") if once else F.lit(None).alias("__first")
-    facts = judged_by_key(requests, ["will_id"], judge, first)
+    facts = judged_by_key(requests, ["will_id"], judge)
     none = F.lit(0).cast("long")
     return _checked(
         facts,
@@ -331,8 +325,7 @@ def check_approvals(
             -20095,
             text.join_text(F.col("__low"), F.lit(" assets below 90 %")),
         ),
-        *([(F.col("seq") > F.col("__first"), -20092, "will is Approved")] if once else []),
-    ).drop("__will", "__status", "__executors", "__primaries", "__low", "__first")
+    ).drop("__will", "__status", "__executors", "__primaries", "__low")
 
 
 def status_checks(old: Column, new: Column) -> list[tuple]:
@@ -359,21 +352,31 @@ def check_status_moves(moves: DataFrame) -> DataFrame:
 def check_deletions(
     requests: DataFrame, wills: DataFrame, enforce_protection: bool = True
 ) -> DataFrame:
+    """Delete requests in seq order: once a will's request passes, later ones find no will."""
+
     def judge(keys: DataFrame) -> DataFrame:
         status = wills.select(
             "will_id", F.lit(True).alias("__will"), F.col("status").alias("__status")
         )
         return keys.join(status, "will_id", "left")
 
-    facts = judged_by_key(requests, ["will_id"], judge)
     forced = F.coalesce("force", F.lit(False))
-    not_draft = F.col("__status") != "Draft"
     confirmed = F.coalesce(F.col("confirm_text") == M.DELETE_CONFIRMATION, F.lit(False))
+    facts = judged_by_key(
+        requests,
+        ["will_id"],
+        judge,
+        F.min("seq").alias("__any"),
+        F.min(F.when(forced & confirmed, F.col("seq"))).alias("__forced"),
+    )
+    not_draft = F.col("__status") != "Draft"
     protected = F.lit(enforce_protection) & F.col("__status").isin(*M.PROTECTED_STATUSES)
+    passed = F.when(~not_draft, F.col("__any")).when(~protected, F.col("__forced"))
+    gone = _is_false("__will") | F.coalesce(F.col("seq") > passed, F.lit(False))
     return _checked(
         facts,
         (F.col("will_id").isNull(), -26000, "will id is missing"),
-        (_is_false("__will"), -26001, text.join_text(F.lit("unknown will "), F.col("will_id"))),
+        (gone, -26001, text.join_text(F.lit("unknown will "), F.col("will_id"))),
         (
             not_draft & ~forced,
             -26002,
@@ -381,14 +384,18 @@ def check_deletions(
         ),
         (not_draft & forced & ~confirmed, -26004, "confirmation text is missing"),
         (protected, -20031, "will is protected"),
-    ).drop("__will", "__status")
+    ).drop("__will", "__status", "__any", "__forced")
 
 
 # --- executors -------------------------------------------------------------------------------
 
 
 def check_primary(batch: DataFrame, executors: DataFrame) -> DataFrame:
-    """Executor rows marked primary while another executor of the will is."""
+    """Executor rows marked primary while another executor of the will is.
+
+    A batch is taken in the order of executor_id: its first primary of a will that has none counts
+    for the rows behind it.
+    """
     stored = executors.where(F.col("is_primary") == "Y")
     per_will = stored.groupBy("will_id").agg(
         F.count(F.lit(1)).alias("__primaries"),
@@ -396,15 +403,20 @@ def check_primary(batch: DataFrame, executors: DataFrame) -> DataFrame:
         F.max("executor_id").alias("__high"),
     )
     facts = judged_by_key(
-        batch, ["will_id"], lambda keys: keys.join(per_will, "will_id", "left")
+        batch,
+        ["will_id"],
+        lambda keys: keys.join(per_will, "will_id", "left"),
+        F.min(F.when(F.col("is_primary") == "Y", F.col("executor_id"))).alias("__first"),
     )
     own = F.coalesce(F.col("executor_id"), F.lit(-1))
     # Another id is among the primaries when the smallest or the largest differs.
-    other = (F.col("__low") != own) | (F.col("__high") != own)
+    stored_other = (F.col("__low") != own) | (F.col("__high") != own)
+    before = F.col("__low").isNull() & (F.col("executor_id") > F.col("__first"))
+    other = F.coalesce(stored_other, F.lit(False)) | F.coalesce(before, F.lit(False))
     return _checked(
         facts,
         ((F.col("is_primary") == "Y") & other, -20022, "will has another primary executor"),
-    ).drop("__primaries", "__low", "__high")
+    ).drop("__primaries", "__low", "__high", "__first")
 
 
 def check_primary_requests(requests: DataFrame, executors: DataFrame) -> DataFrame:

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from bequest.functions.money import band, remaining, share_value, zero_if_null
 from bequest.functions.records import next_action
-from bequest.operators.joins import attach
-
-# Longest nested beneficiary list of one row.
-LIST_ROWS = 1000
 
 
 def allocated(shares: DataFrame) -> DataFrame:
@@ -156,38 +152,25 @@ def beneficiary_assets(shares: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def eligible_beneficiaries(
-    assets: DataFrame, shares: DataFrame, beneficiaries: DataFrame, list_rows: int = LIST_ROWS
+    assets: DataFrame, shares: DataFrame, beneficiaries: DataFrame
 ) -> DataFrame:
-    """Assets with the list of their beneficiaries.
+    """Assets with their beneficiaries: a row for each of both, as many as there are.
 
-    An asset with more than `list_rows` beneficiaries comes in several rows, told apart by
-    `part`; together they hold every beneficiary once.
+    An asset without beneficiaries has one row in which `beneficiary` is NULL.
     """
-    # Partial sums per asset first: the number of lists an asset needs.
-    parts = shares.groupBy("asset_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(list_rows)).alias("parts")
-    )
-    heirs = shares.join(
-        beneficiaries.select("beneficiary_id", "full_name", "relation"), "beneficiary_id"
-    )
-    piece = F.pmod(F.xxhash64("beneficiary_id"), F.col("parts"))
     entry = F.struct(
         "full_name", F.col("beneficiary_id").alias("id"), "relation", "share_percent"
     )
-    lists = (
-        attach(heirs, parts, ["asset_id"], "inner")
-        .groupBy("asset_id", piece.alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("beneficiaries"))
+    heirs = shares.join(
+        beneficiaries.select("beneficiary_id", "full_name", "relation"), "beneficiary_id"
     )
-    return assets.join(lists, "asset_id", "left").select(
+    listed = heirs.select("asset_id", entry.alias("beneficiary"))
+    return assets.join(listed, "asset_id", "left").select(
         "asset_id",
         "name",
         F.coalesce("value", F.lit(0)).alias("value"),
         "asset_type",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("beneficiaries", F.array().cast(lists.schema["beneficiaries"].dataType)).alias(
-            "beneficiaries"
-        ),
+        "beneficiary",
     )
 
 

@@ -175,7 +175,7 @@ def will_beneficiary_summary(
 ) -> DataFrame:
     """Inheritance per will and beneficiary with its percentage of the estate.
 
-    Heirs and estates are summed from the same joined rows, whose shuffles are shared.
+    Estates are summed from the heirs, which are exact decimals.
     """
     total = zero_if_null(F.sum(share_value(F.col("value"), F.col("share_percent"))))
     worth = shares.select("asset_id", "beneficiary_id", "share_percent").join(
@@ -184,14 +184,10 @@ def will_beneficiary_summary(
     per_heir = worth.groupBy("will_id", "beneficiary_id").agg(
         F.count("asset_id").alias("assigned_assets"), total.alias("total_inheritance")
     )
-    estates = (
-        matching(worth, beneficiaries, "beneficiary_id")
-        .groupBy("will_id")
-        .agg(total.alias("estate"))
-    )
     named = per_heir.join(
         beneficiaries.select("beneficiary_id", "full_name", "relation"), "beneficiary_id"
     )
+    estates = named.groupBy("will_id").agg(F.sum("total_inheritance").alias("estate"))
     joined = attach(named, estates, ["will_id"], "inner")
     return joined.select(
         "will_id",

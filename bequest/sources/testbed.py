@@ -199,10 +199,10 @@ class Testbed:
 
     @property
     def transfers(self) -> DataFrame:
+        """Of all lines whose order is not open; the shares of open orders are not transferred."""
         orders = self.table("orders").where(F.col("o_orderstatus") != "O").select("o_orderkey")
-        lines = self.table("lineitem").where(F.col("l_orderkey") % 3 == 0)
         grouped = (
-            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+            self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
             .groupBy("l_orderkey", "l_linenumber", "l_suppkey")
             .agg(
                 F.max("l_shipdate").alias("transfer_date"),
@@ -339,14 +339,20 @@ class Testbed:
 
     @property
     def deletions(self) -> DataFrame:
+        """One delete request per order, and a second one for urgent orders."""
         key = F.col("o_orderkey")
-        return self.table("orders").select(
+        again = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1)).otherwise(F.lit(0))
+        asked = self.table("orders").select(
+            key, F.explode(F.sequence(F.lit(0), again)).alias("i")
+        )
+        return asked.select(
+            (key * 2 + F.col("i")).cast("long").alias("seq"),
             F.when(key % 97 == 0, F.lit(None).cast("long"))
             .when(key % 89 == 0, -key - 1)
             .otherwise(key)
             .alias("will_id"),
-            (key % 3 == 0).alias("force"),
-            F.when(key % 6 == 0, "DELETE-CONFIRM").alias("confirm_text"),
+            ((key + F.col("i")) % 3 == 0).alias("force"),
+            F.when((key + F.col("i")) % 6 == 0, "DELETE-CONFIRM").alias("confirm_text"),
         )
 
     @property

@@ -87,6 +87,27 @@ def test_assign_against_a_walk(spark, seed, salts):
     } - expected
 
 
+def test_equal_places_do_not_depend_on_the_layout(spark, estate):
+    """Requests with one seq: what they ask for decides, whatever order the rows come in."""
+    schema = "seq long, asset_id long, beneficiary_id long, share_percent decimal(7,2)"
+    data = [(1, 12, b, Decimal("12.00")) for b in (3, 1, 2)] + [(1, 12, 1, Decimal("12.00"))]
+    for order in (data, data[::-1], data[2:] + data[:2]):
+        requests = rows(spark, schema, *order).repartition(3)
+        out = moves.assign_shares(requests, estate, dates.moment(NOW), WHO)
+        assert pairs(out["added"], "beneficiary_id") == [(1,)]
+        twice = rows(spark, "seq long, will_id long", (5, 4), (5, 4), (5, 8), (4, 8))
+        out = moves.approve_wills(twice.repartition(2), estate, dates.moment(NOW), WHO)
+        assert pairs(out["rejected"], "seq", "will_id", "reject_code") == [(5, 4, -20092), (5, 8, -20092)]
+        assert out["history"].count() == 2
+
+
+def test_stored_negative_shares_leave_more_room(spark):
+    requests = rows(spark, "asset_id long, seq long, cents long", (1, 1, 10000), (1, 2, 500), (1, 3, 1))
+    free = rows(spark, "asset_id long, room long", (1, 10500))
+    accepted, refused = moves.accept_in_order(requests, free)
+    assert pairs(accepted, "seq") == [(1,), (2,)] and pairs(refused, "seq") == [(3,)]
+
+
 def test_transfer(spark, estate):
     day = "2025-06-11 09:00:00"
     requests = rows(
@@ -148,15 +169,17 @@ def test_set_primary(spark, estate):
 def test_delete_leaves_no_orphans(spark, estate):
     requests = rows(
         spark,
-        "will_id long, force boolean, confirm_text string",
-        (1, False, None),
-        (2, True, "DELETE-CONFIRM"),
-        (99, False, None),
+        "seq long, will_id long, force boolean, confirm_text string",
+        (1, 1, False, None),
+        (2, 2, True, "DELETE-CONFIRM"),
+        (3, 99, False, None),
+        (4, 1, False, None),
     )
     kept = moves.delete_wills(requests, estate, dates.moment(NOW), WHO)
     assert sorted(statuses(kept["wills"])) == [2, 3, 4, 5, 6, 7, 8]
     out = moves.delete_wills(requests, estate, dates.moment(NOW), WHO, enforce_protection=False)
     assert sorted(statuses(out["wills"])) == [3, 4, 5, 6, 7, 8]
+    assert codes(out["rejected"], "seq") == {3: -26001, 4: -26001}
     assert pairs(out["deleted_counts"], "will_id", "table", "rows") == [
         (1, "assets", 2), (1, "documents", 2), (1, "executors", 2), (1, "history", 1),
         (1, "shares", 3), (1, "wills", 1), (2, "assets", 2), (2, "documents", 1),

@@ -259,6 +259,20 @@ def test_primary(spark, estate):
     )
 
 
+def test_second_primary_of_a_batch(spark, estate):
+    batch = rows(
+        spark,
+        "executor_id long, will_id long, is_primary string",
+        (203, 6, "Y"),
+        (201, 6, "N"),
+        (202, 6, "Y"),
+        (204, 1, "Y"),  # will 1 has a stored primary
+        (205, 1, "Y"),
+    )
+    checked = rules.check_primary(batch, estate["executors"])
+    assert codes(checked, "executor_id") == {201: None, 202: None, 203: -20022, 204: -20022, 205: -20022}
+
+
 def test_documents(spark, estate):
     batch = rows(
         spark,
@@ -284,7 +298,7 @@ def test_documents(spark, estate):
 def test_deletions(spark, estate):
     batch = rows(
         spark,
-        "k int, will_id long, force boolean, confirm_text string",
+        "seq long, will_id long, force boolean, confirm_text string",
         (1, None, True, None),
         (2, 99, True, None),
         (3, 1, False, None),
@@ -292,11 +306,12 @@ def test_deletions(spark, estate):
         (5, 2, True, "delete"),
         (6, 2, True, "DELETE-CONFIRM"),
         (7, 2, None, "DELETE-CONFIRM"),
+        (8, 1, True, None),
     )
-    expected = {1: -26000, 2: -26001, 3: None, 4: -26002, 5: -26004, 6: -20031, 7: -26002}
-    assert codes(rules.check_deletions(batch, estate["wills"]), "k") == expected
+    expected = {1: -26000, 2: -26001, 3: None, 4: -26002, 5: -26004, 6: -20031, 7: -26002, 8: -26001}
+    assert codes(rules.check_deletions(batch, estate["wills"]), "seq") == expected
     free = rules.check_deletions(batch, estate["wills"], enforce_protection=False)
-    assert codes(free, "k") == expected | {6: None}
+    assert codes(free, "seq") == expected | {6: None, 7: -26001}
 
 
 def test_profile(spark, estate):
