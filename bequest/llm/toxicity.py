@@ -19,6 +19,8 @@ from .words import chunks, cut
 TRAIN_DOCS = 20_000
 #: Terms considered and terms of a lexicon, at most.
 SUSPECTS, TERMS = 50_000, 1_000
+#: Log-odds a term counts for, at most.
+HEAVIEST = 6.0
 #: Shortest term, shortest term that may be misspelled, and shortest stem that stands for its inflections.
 SHORTEST, SHORTEST_FUZZY, SHORTEST_STEM, LONGEST_STEM = 4, 5, 4, 8
 #: Words on either side of a hit that tell quotation and address.
@@ -79,28 +81,31 @@ class LexiconTrie:
         return best or self._fuzzy(token)
 
     def _fuzzy(self, token: str) -> tuple[int, int] | None:
-        """Depth-first walk of the trie; a row holds the automaton's edits for each token prefix."""
-        size = len(token)
+        """Depth-first walk of the trie together with the token's Levenshtein automaton.
+
+        Bit j of `none` and `one`: the path can stand for the first j letters of the token, with no
+        edit or with at most one (a letter left out, put in, changed, or swapped with the next).
+        """
+        places: dict[str, int] = {}
+        for j, letter in enumerate(token):
+            places[letter] = places.get(letter, 0) | 1 << j
+        whole = 1 << len(token)
         found: tuple[int, int] | None = None
-        stack = [(0, list(range(size + 1)), "", None)]
+        stack = [(0, 1, 3, 0, 0)]
         while stack:
-            state, row, last, above = stack.pop()
+            state, none, one, before, last = stack.pop()
             end = self.end[state]
-            if end and len(self.terms[end[0]][0]) >= SHORTEST_FUZZY:
-                edits = min(row) if end[1] else row[size]
-                if edits <= 1 and (found is None or end[0] < found[0]):
+            if end and len(self.terms[end[0]][0]) >= SHORTEST_FUZZY and (end[1] or one & whole):
+                if found is None or end[0] < found[0]:
                     found = (end[0], 1)
-            if min(row) > 1:
-                continue
             for letter, below in self.next[state].items():
-                new = [row[0] + 1]
-                for j in range(1, size + 1):
-                    cost = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (token[j - 1] != letter))
-                    if above and j > 1 and token[j - 1] == last and token[j - 2] == letter:
-                        cost = min(cost, above[j - 2] + 1)  # two letters swapped
-                    new.append(cost)
-                if min(new) <= 1:
-                    stack.append((below, new, letter, row))
+                here = places.get(letter, 0)
+                same = (none & here) << 1
+                edited = ((one & here) << 1) | none | (none << 1) | same | (same << 1)
+                edited |= (((before & here) << 1) & last) << 1
+                edited &= 2 * whole - 1
+                if edited:
+                    stack.append((below, same, edited, none, here))
         return found
 
 
@@ -112,32 +117,38 @@ def _pair(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Terms behind a first filter over pairs of bytes, so that few words reach the trie.
 
-    One edit leaves a word's first or last pair in place.  A stem's end may lie anywhere, so its
-    third and fourth byte are looked for near their place.
+    One edit leaves a word's first or last two bytes in place and its length nearly so.  A stem's end
+    may lie anywhere, so its third and fourth byte are looked for near their place.  Terms that are
+    too short to be misspelled have both pairs in place.
     """
 
     def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
         self.trie = LexiconTrie([t[:2] for t in terms])
         self.weights = [t[2] for t in terms]
-        self.begin, self.close, self.middle = (np.zeros(1 << 16, bool) for _ in range(3))
-        self.known: dict[str, tuple[int, int] | None] = {}
+        # Lengths at which a word with this first or last pair may be a term, as bits.
+        self.begin, self.close = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        self.middle = np.zeros(1 << 16, bool)
+        self.first, self.second = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        self.known: dict[bytes, tuple[int, int] | None] = {}
         self.longest = max((len(t[0]) for t in terms), default=0) + 2
+        self.any_stem = any(stem and len(t) >= SHORTEST_FUZZY for t, stem, _ in terms)
         for term, stem, _ in terms:
             folded = _FOLD[np.frombuffer(term.encode(), np.uint8)]
-            self.begin[_pair(folded, np.array([0]))] = True
-            if stem:
+            head, tail = _pair(folded, np.array([0])), _pair(folded, np.array([len(folded) - 2]))
+            if len(term) < SHORTEST_FUZZY:
+                self.first[head] = self.second[_pair(folded, np.array([2]))] = True
+            elif stem:
+                self.begin[head] = ~np.uint64(0)
                 self.middle[_pair(folded, np.array([2]))] = True
             else:
-                self.close[_pair(folded, np.array([len(folded) - 2]))] = True
+                # a letter may take up to three bytes more or less
+                for length in range(max(1, len(folded) - 3), min(62, len(folded) + 3) + 1):
+                    self.begin[head] |= np.uint64(1 << length)
+                    self.close[tail] |= np.uint64(1 << length)
 
     def look_up(self, word: str) -> tuple[int, int] | None:
         # No term looks further than this, whatever follows.
-        folded = word.lower().translate(_DISGUISE)[: self.longest]
-        if folded not in self.known:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[folded] = self.trie.find(folded)
-        return self.known[folded]
+        return self.trie.find(word.lower().translate(_DISGUISE)[: self.longest])
 
     def hits(self, data: np.ndarray, offsets: np.ndarray):
         """(text, word, term, edits) of every hit, and where the words are."""
@@ -145,15 +156,24 @@ class Lexicon:
         if not len(starts):
             return [], starts, ends, at
         folded = np.r_[_FOLD[data], np.zeros(8, np.uint8)]
-        maybe = self.begin[_pair(folded, starts)] | self.close[_pair(folded, np.maximum(ends - 2, 0))]
-        for place in range(1, 5):
-            maybe |= self.middle[_pair(folded, starts + place)]
+        length = np.minimum(ends - starts, 63).astype(np.uint64)
+        head, next_pair = _pair(folded, starts), _pair(folded, starts + 2)
+        lengths = self.begin[head] | self.close[_pair(folded, np.maximum(ends - 2, 0))]
+        maybe = (lengths >> length & np.uint64(1)).astype(bool) | (self.first[head] & self.second[next_pair])
+        if self.any_stem:
+            maybe |= self.middle[next_pair]
+            for place in (1, 3, 4):
+                maybe |= self.middle[_pair(folded, starts + place)]
         words = np.flatnonzero(maybe & (ends - starts >= SHORTEST - 1))
-        raw, found = data.tobytes(), []
+        raw, found, known, reach = data.tobytes(), [], self.known, 4 * self.longest
         for word, a, b in zip(words.tolist(), starts[words].tolist(), ends[words].tolist()):
-            hit = self.look_up(raw[a:b].decode("utf-8", "replace"))
-            if hit:
-                found.append((int(np.searchsorted(at, word, "right")) - 1, word, *hit))
+            key = raw[a : min(b, a + reach)]
+            if key not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[key] = self.look_up(key.decode("utf-8", "replace"))
+            if known[key]:
+                found.append((int(np.searchsorted(at, word, "right")) - 1, word, *known[key]))
         return found, starts, ends, at
 
 
@@ -279,13 +299,13 @@ def _chosen(suspects: dict[str, tuple[int, int]], texts: list[str], bad: int, go
         support = min(in_bad, len(contexts[term]))
         if support < 3 or (term in endings and len(endings[term]) < 3):
             continue
-        weight = math.log(((support + 0.5) / (bad + 1)) / ((in_good + 0.5) / (good + 1)))
+        weight = min(HEAVIEST, math.log(((support + 0.5) / (bad + 1)) / ((in_good + 0.5) / (good + 1))))
         if weight < 1.5 or _chance(support, in_good, rate) > 1e-4:
             continue
         word = term.rstrip("*")
         above = max((w for t, stem, w, _ in found if stem and word.startswith(t)), default=0.0)
         if weight > above + 0.7 * (above > 0):
-            found.append((word, term.endswith("*"), min(weight, 6.0), support))
+            found.append((word, term.endswith("*"), weight, support))
     found.sort(key=lambda t: (-t[3], t[0]))
     return [t[:3] for t in found[:TERMS]]
 
