@@ -55,24 +55,26 @@ def _anchored(window: int) -> Callable:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for begin, _, hashed, at in word_hashes(batch.column("text"), False):
-                first, _, anchor, text, owner = _passages(hashed, at, window)
-                counts = np.bincount(owner, minlength=len(at) - 1)
-                number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                for a in range(0, len(owner), 65536):
-                    z = slice(a, a + 65536)
+                _, _, anchor, text, owner = _passages(hashed, at, window)
+                # A passage that repeats within its document is one row.
+                order = np.lexsort((text, owner))
+                new = np.ones(len(order), bool)
+                new[1:] = (text[order][1:] != text[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                once = order[new]
+                for a in range(0, len(once), 65536):
+                    z = once[a : a + 65536]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "anchor": anchor[z].view(np.int64),
                             "passage": text[z].view(np.int64),
                             "id": ids[begin + owner[z]],
-                            "number": number[z].astype(np.int32),
                         }
                     )
 
     return run
 
 
-_MARKS = "id long, number int, passage long, anchor long, block int"
+_MARKS = "id long, passage long, anchor long, block int"
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,6 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict(
             {
                 "id": rows["id"],
-                "number": rows["number"],
                 "passage": rows["passage"],
                 "anchor": rows["anchor"],
                 "block": block if block is not None else pa.nulls(len(rows["id"]), pa.int32()),
@@ -97,7 +98,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        rows = {name: batch.column(name).to_numpy() for name in ("id", "number", "passage", "anchor")}
+        rows = {name: batch.column(name).to_numpy() for name in ("id", "passage", "anchor")}
         n = len(rows["id"])
         if not n:
             continue
@@ -140,13 +141,13 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor_now, passage_now, first_now = anchor[-1], passage[-1], firsts[-1]
 
 
-_LOOKUP = "anchor long, shard int, visiting boolean, id long, number int, passage long, words array<long>"
+_LOOKUP = "anchor long, shard int, visiting boolean, id long, passage long, words array<long>"
 
 
 def _looked_up(window: int) -> Callable:
     """The words of the passages to look up, once for each shard they meet."""
-    names = ("anchor", "shard", "visiting", "id", "number", "passage", "words")
-    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    names = ("anchor", "shard", "visiting", "id", "passage", "words")
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +158,10 @@ def _looked_up(window: int) -> Callable:
                 bounds = np.searchsorted(owner, np.arange(end - begin + 1))
                 for row in range(begin, end):
                     a, b = bounds[row - begin], bounds[row - begin + 1]
+                    place = dict(zip(text[a:b].view(np.int64).tolist(), range(a, b)))
                     for mark in marks[row].as_py():
-                        p = a + mark["number"]
-                        if p >= b or text[p].view(np.int64) != mark["passage"]:
+                        p = place.get(mark["passage"])
+                        if p is None:
                             continue
                         words = hashed[first[p] : first[p] + count[p] + window - 1].view(np.int64)
                         for shard in range(mark["last"] + 1):
@@ -168,7 +170,6 @@ def _looked_up(window: int) -> Callable:
                                 shard,
                                 shard != mark["block"],
                                 ids[row],
-                                mark["number"],
                                 mark["passage"],
                                 words,
                             )
@@ -256,13 +257,13 @@ def _streamed(window: int) -> Callable:
         shard, own, automaton = None, [], SuffixAutomaton()
         out: list[tuple] = []
 
-        def look(number: int, count: int, passage: int, words: list[int]) -> None:
+        def look(number: int, passage: int, words: list[int]) -> None:
             gone = 0
             for end, holder in automaton.matches(words, window):
                 if holder < number:
                     gone |= 1 << (end - window)
             if gone:
-                out.append((number, count, passage, gone))
+                out.append((number, passage, gone))
 
         def look_at_own() -> None:
             for row in own:
@@ -270,7 +271,7 @@ def _streamed(window: int) -> Callable:
             own.clear()
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("anchor", "shard", "visiting", "id", "number", "passage")]
+            columns = [batch.column(n).to_pylist() for n in ("anchor", "shard", "visiting", "id", "passage")]
             words = batch.column("words")
             offsets, values = words.offsets.to_numpy(), words.values.to_numpy()
             for r, (anchor, part, visiting, *row) in enumerate(zip(*columns)):
@@ -295,8 +296,8 @@ def _streamed(window: int) -> Callable:
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    names = ["id", "number", "passage", "windows"]
+    kinds = [pa.int64()] * 3
+    names = ["id", "passage", "windows"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
@@ -312,12 +313,14 @@ def _cleaned(window: int, with_text: bool) -> Callable:
         starts, ends, at = cut(data, offsets)
         first, count, _, text, _ = _passages(hashes(data, starts, ends, False), at, window)
         gone = np.zeros(len(starts) + 1, np.int64)
+        held: dict[int, int] = {}
         for mark in marks:
-            p = mark["number"]
-            if p >= len(first) or text[p].view(np.int64) != mark["passage"]:
-                continue
+            held[mark["passage"]] = held.get(mark["passage"], 0) | mark["windows"]
+        text = text.view(np.int64)
+        for p in np.flatnonzero(np.isin(text, list(held))).tolist():
+            windows = held[int(text[p])]
             for j in range(count[p]):
-                if mark["windows"] >> j & 1:
+                if windows >> j & 1:
                     gone[first[p] + j] += 1
                     gone[first[p] + j + window] -= 1
         return np.cumsum(gone[:-1]) > 0
@@ -372,7 +375,7 @@ def remove_repeated_passages(
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = read.filter("id is not null")
-    anchored = known.mapInArrow(_anchored(window), "anchor long, passage long, id long, number int")
+    anchored = known.mapInArrow(_anchored(window), "anchor long, passage long, id long")
     marks = kept(
         anchored.repartition("anchor")
         .sortWithinPartitions("anchor", "passage", "id")
@@ -382,18 +385,18 @@ def remove_repeated_passages(
     shards = marks.filter("block > 0").groupBy("anchor").agg(F.max("block").alias("last"))
     lookups = marks.filter("block is not null").join(shards, "anchor", "left").fillna(0, ["last"])
     lookups = lookups.groupBy("id").agg(
-        F.collect_list(F.struct("number", "passage", "anchor", "block", "last")).alias("marks")
+        F.collect_list(F.struct("passage", "anchor", "block", "last")).alias("marks")
     )
     partial = (
         known.join(lookups, "id")
         .mapInArrow(_looked_up(window), _LOOKUP)
         .repartition("anchor", "shard")
-        .sortWithinPartitions("anchor", "shard", "visiting", "id", "number")
-        .mapInArrow(_streamed(window), "id long, number int, passage long, windows long")
+        .sortWithinPartitions("anchor", "shard", "visiting", "id")
+        .mapInArrow(_streamed(window), "id long, passage long, windows long")
     )
-    whole = marks.filter("block is null").select("id", "number", "passage", F.lit(-1).cast("long").alias("windows"))
+    whole = marks.filter("block is null").select("id", "passage", F.lit(-1).cast("long").alias("windows"))
     gone = whole.unionByName(partial).groupBy("id").agg(
-        F.collect_list(F.struct("number", "passage", "windows")).alias("marks")
+        F.collect_list(F.struct("passage", "windows")).alias("marks")
     )
     rows = known.join(gone, "id", "left").unionByName(
         read.filter("id is null").withColumn("marks", F.lit(None).cast(gone.schema["marks"].dataType))
