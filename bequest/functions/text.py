@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from bequest.model import EMAIL_PATTERN, LOOSE_EMAIL_PATTERN, PHONE_PATTERN
 
 
+def filled(template: str, *values: Column) -> Column:
+    """A text with the values in the places of {}; a NULL leaves its place empty."""
+    parts = [F.lit(part) for part in template.split("{}")]
+    return join_text(parts[0], *(c for pair in zip(values, parts[1:]) for c in pair))
+
+
 def join_text(*parts: Column) -> Column:
     """Concatenation in which a missing part counts as empty."""
     return F.concat_ws("", *[p.cast("string") for p in parts])

@@ -29,6 +29,23 @@ AUDIT_DAYS = 7
 ADULT_AGE = 18
 DELETE_CONFIRMATION = "DELETE-CONFIRM"
 
+# --- fixed values: texts of history, audit and calendar rows ({} stands for a value) -----------
+TEXT_STATUS = "Status: {}"
+TEXT_RELATED = (
+    "Related counts - Assets: {}, Executors: {}, Beneficiaries: {}, Documents: {}"
+)
+TEXT_STATUS_BEFORE = "Status before deletion: {}"
+TEXT_DELETED = "Deleted records: {}"
+TEXT_INITIATED = "Transfer initiated by {} on {}"
+TEXT_TRANSFER = "Transfer from asset {} to Beneficiary #{}"
+TEXT_DOCUMENT = 'Added document "{}" to {} ID {}'
+TEXT_PRIMARY_BEFORE = "Previous primary executor: ID {}"
+TEXT_NO_PRIMARY = "No previous primary executor"
+TEXT_RESET = "All reset to non-primary"
+TEXT_PRIMARY = "Set executor {} as primary for will {}"
+TEXT_WEEKEND = "Weekend transfers blocked"
+TEXT_WEEKDAY = "Weekday transfers allowed"
+
 # --- fixed values: patterns ------------------------------------------------------------------
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,4}$"
 LOOSE_EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"

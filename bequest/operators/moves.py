@@ -395,16 +395,9 @@ def delete_wills(
         "DELETE_ATTEMPT",
         "WILLS",
         F.col("will_id"),
-        text.join_text(F.lit("Status: "), F.col("old_status")),
-        text.join_text(
-            F.lit("Related counts - Assets: "),
-            F.col("assets"),
-            F.lit(", Executors: "),
-            F.col("executors"),
-            F.lit(", Beneficiaries: "),
-            F.col("shares"),
-            F.lit(", Documents: "),
-            F.col("documents"),
+        text.filled(M.TEXT_STATUS, F.col("old_status")),
+        text.filled(
+            M.TEXT_RELATED, *(F.col(c) for c in ("assets", "executors", "shares", "documents"))
         ),
         "STARTED",
     )
@@ -424,8 +417,8 @@ def delete_wills(
         "DELETE",
         "WILLS",
         F.col("will_id"),
-        text.join_text(F.lit("Status before deletion: "), F.col("old_status")),
-        text.join_text(F.lit("Deleted records: "), F.col("all_rows")),
+        text.filled(M.TEXT_STATUS_BEFORE, F.col("old_status")),
+        text.filled(M.TEXT_DELETED, F.col("all_rows")),
     )
     refused = _refused(rejected, actor, as_of, "WILLS", "delete_wills", F.col("will_id"))
     return left | {
@@ -603,9 +596,7 @@ def transfer_assets(
         when.alias("transfer_date"),
         F.lit(actor).alias("approved_by"),
         F.lit("Initiated").alias("transfer_status"),
-        text.join_text(
-            F.lit(f"Transfer initiated by {actor} on "), dates.date_time_text(when)
-        ).alias("notes"),
+        text.filled(M.TEXT_INITIATED, F.lit(actor), dates.date_time_text(when)).alias("notes"),
     )
     done = _audit(
         accepted,
@@ -613,12 +604,7 @@ def transfer_assets(
         as_of,
         "INSERT",
         "TRANSFER_LOGS",
-        new=text.join_text(
-            F.lit("Transfer from asset "),
-            F.col("asset_id"),
-            F.lit(" to Beneficiary #"),
-            F.col("beneficiary_id"),
-        ),
+        new=text.filled(M.TEXT_TRANSFER, F.col("asset_id"), F.col("beneficiary_id")),
     )
     failed = _refused(rejected, actor, as_of, "TRANSFER_LOGS", "transfer_assets")
     return {
@@ -652,14 +638,7 @@ def attach_documents(
         as_of,
         "INSERT",
         "DOCUMENTS",
-        new=text.join_text(
-            F.lit('Added document "'),
-            F.col("title"),
-            F.lit('" to '),
-            kind,
-            F.lit(" ID "),
-            F.col("entity_id"),
-        ),
+        new=text.filled(M.TEXT_DOCUMENT, F.col("title"), kind, F.col("entity_id")),
     )
     failed = _refused(rejected, actor, as_of, "DOCUMENTS", "attach_documents")
     return {
@@ -715,12 +694,12 @@ def set_primary_executors(
         "EXECUTORS",
         F.col("will_id"),
         text.join_text(F.lit("Several primary executors of will "), F.col("will_id")),
-        F.lit("All reset to non-primary"),
+        F.lit(M.TEXT_RESET),
     )
     previous = F.when(
         F.col("__old").isNotNull() & ~several,
-        text.join_text(F.lit("Previous primary executor: ID "), F.col("__old")),
-    ).otherwise("No previous primary executor")
+        text.filled(M.TEXT_PRIMARY_BEFORE, F.col("__old")),
+    ).otherwise(M.TEXT_NO_PRIMARY)
     done = _audit(
         touched,
         actor,
@@ -729,12 +708,7 @@ def set_primary_executors(
         "EXECUTORS",
         F.col("__chosen"),
         previous,
-        text.join_text(
-            F.lit("Set executor "),
-            F.col("__chosen"),
-            F.lit(" as primary for will "),
-            F.col("will_id"),
-        ),
+        text.filled(M.TEXT_PRIMARY, F.col("__chosen"), F.col("will_id")),
     )
     failed = _refused(
         rejected, actor, as_of, "EXECUTORS", "set_primary_executors", F.col("executor_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bequest.functions.dates import date_text, day_name, day_number, is_weekend, since
-from bequest.model import AUDIT_DAYS, PAGE_SIZE
+from bequest.model import AUDIT_DAYS, PAGE_SIZE, TEXT_WEEKDAY, TEXT_WEEKEND
 from bequest.operators.filters import facets
 from bequest.operators.ordered import page
 
@@ -53,7 +53,7 @@ def calendar_status(dates: DataFrame, day: str = "d") -> DataFrame:
         day_name(F.col(day)).alias("day_name"),
         date_text(F.col(day)).alias("date_text"),
         closed.alias("is_weekend"),
-        F.when(closed, "Weekend transfers blocked")
-        .otherwise("Weekday transfers allowed")
+        F.when(closed, TEXT_WEEKEND)
+        .otherwise(TEXT_WEEKDAY)
         .alias("status"),
     )
