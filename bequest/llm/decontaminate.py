@@ -21,6 +21,8 @@ from .words import chunks, cut, hashes
 K1, B = 1.2, 0.75
 #: Postings of one block of a list, whose largest weight is kept.
 BLOCK = 32
+#: Groups of items for which a passage's bound is taken before the lists are walked.
+GROUPS = 64
 #: Characters of the test items of one index; more items make several indexes, one pass each.
 INDEX_CHARS = 4_000_000
 #: Shortest passage, in words; longer test items make longer passages.
@@ -91,6 +93,14 @@ class ItemIndex:
             [max(weights[a : a + BLOCK]) for a in range(0, len(weights), BLOCK)] for weights in self.weights
         ]
         self.most = np.array([max(w) for w in self.weights]) if lists else np.empty(0)
+        # The largest weight of each term in each group of neighbouring items; the last row is no term.
+        self.per_group = per_group = max(1, -(-len(bags) // GROUPS))
+        self.group_max = np.zeros((len(lists) + 1, max(1, -(-len(bags) // per_group))), np.float32)
+        for t, postings in enumerate(lists):
+            for doc, weight in postings:
+                # rounded up, so that a bound is never too low
+                weight = np.nextafter(np.float32(weight), np.float32(2))
+                self.group_max[t, doc // per_group] = max(self.group_max[t, doc // per_group], weight)
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -104,10 +114,38 @@ class ItemIndex:
             out[maybe[known]] = at[known]
         return out
 
-    def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose score reaches the threshold, by WAND with block maxima."""
+    def hopeful(
+        self, term: np.ndarray, text: np.ndarray, first: np.ndarray, end: np.ndarray, step: int, threshold: float
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, group of items) wherever the passage's bound reaches the threshold.
+
+        Passages of a text half overlap, so each half is summed once: a passage is its first half
+        and that of the next one, or, for the last, what is left of it.
+        """
+        if not len(text):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        last = np.r_[text[1:] != text[:-1], True]
+        place = np.arange(len(text)) + np.cumsum(np.r_[0, last[:-1]])
+        begins = np.empty(len(text) + int(last.sum()), np.int64)
+        begins[place] = first
+        begins[place[last] + 1] = np.minimum(first + step, end)[last]
+        known = np.flatnonzero(term >= 0)
+        at = np.searchsorted(known, begins)
+        weights = np.vstack([self.group_max[term[known]], self.group_max[-1:]])
+        sums = np.add.reduceat(weights, at, axis=0)
+        sums[np.r_[at[1:], len(known)] <= at] = 0
+        bound = sums[place] + sums[place + 1]
+        return np.nonzero(bound >= threshold * (1 - 1e-4))
+
+    def above(self, terms: list[int], threshold: float, group: int | None = None) -> list[tuple[int, float]]:
+        """All items (of a group) whose score reaches the threshold, by WAND with block maxima."""
         found = []
-        cursors = [[self.docs[t][0], t, 0] for t in terms]
+        low, high = (0, len(self.items)) if group is None else (group * self.per_group, (group + 1) * self.per_group)
+        cursors = []
+        for t in terms:
+            place = bisect_left(self.docs[t], low)
+            if place < len(self.docs[t]) and self.docs[t][place] < high:
+                cursors.append([self.docs[t][place], t, place])
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, -1
@@ -145,13 +183,13 @@ class ItemIndex:
                 docs = self.docs[cursor[1]]
                 cursor[2] = bisect_left(docs, target, cursor[2]) if target < math.inf else len(docs)
                 cursor[0] = docs[cursor[2]] if cursor[2] < len(docs) else math.inf
-            cursors = [c for c in cursors if c[0] < math.inf]
+            cursors = [c for c in cursors if c[0] < high]
         return found
 
 
-def _windows(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end word) of passages of `size` words, half of which overlap."""
-    step = max(1, size // 2)
+def _windows(at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end word) of passages of two steps, the second of which begins the next."""
+    size = 2 * step
     lengths = np.diff(at)
     counts = np.where(lengths > 0, np.maximum(1, -(-(lengths - size) // step) + 1), 0)
     text = np.repeat(np.arange(len(lengths)), counts)
@@ -170,18 +208,17 @@ def _overlap(pieces: set[tuple[int, ...]], words: list[int]) -> float:
 
 def _found(index: ItemIndex, texts: pa.Array, threshold: float) -> Iterator[tuple]:
     """(row, item, score, question, answer, question words, first word, end word) of every hit."""
-    size = max(PASSAGE, index.longest)
-    most = np.append(index.most, 0.0)
+    step = -(-max(PASSAGE, index.longest) // 2)
     for begin, _, data, offsets in chunks(texts):
         starts, ends, at = cut(data, offsets, _OTHER)
         hashed = hashes(data, starts, ends, True)
         term = index.look_up(hashed)
-        bound = np.r_[0.0, np.cumsum(most[term])]
-        text, first, end = _windows(at, size)
-        hopeful = np.flatnonzero(bound[end] - bound[first] >= threshold - 1e-9)
-        for row, a, b in zip(text[hopeful].tolist(), first[hopeful].tolist(), end[hopeful].tolist()):
+        text, first, end = _windows(at, step)
+        passage, group = index.hopeful(term, text, first, end, step, threshold)
+        places = (column[passage].tolist() for column in (text, first, end))
+        for row, a, b, items in zip(*places, group.tolist()):
             terms = np.unique(term[a:b])
-            for doc, score in index.above(terms[terms >= 0].tolist(), threshold):
+            for doc, score in index.above(terms[terms >= 0].tolist(), threshold, items):
                 item, length, asked, question, answer = index.items[doc]
                 near = hashed[max(at[row], a - length) : min(at[row + 1], b + length)].tolist()
                 overlaps = _overlap(question, near), _overlap(answer, near)

@@ -262,6 +262,30 @@ def test_block_max_wand(monkeypatch):
             assert all(found[d] == pytest.approx(s) for d, s in expected.items())
 
 
+def test_bounds_of_passages():
+    """No passage is passed over whose words reach the threshold, whatever its place in a text."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    index = ItemIndex([(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(2, 12)))) for i in range(150)])
+    for step in (3, 4, 9):
+        texts = [" ".join(rnd.choice([*words, "zz", "yy"]) for _ in range(rnd.randrange(40))) for _ in range(60)]
+        for _, _, data, offsets in decontaminate.chunks(pa.array(texts)):
+            starts, ends, at = decontaminate.cut(data, offsets, decontaminate._OTHER)
+            term = index.look_up(decontaminate.hashes(data, starts, ends, True))
+            text, first, end = decontaminate._windows(at, step)
+            passage, group = index.hopeful(term, text, first, end, step, 0.7)
+            hopeful = set(zip(passage.tolist(), group.tolist()))
+            covered = np.zeros(at[-1], bool)
+            for i, (a, b) in enumerate(zip(first, end)):
+                covered[a:b] = True
+                terms = np.unique(term[a:b][term[a:b] >= 0]).tolist()
+                whole = index.above(terms, 0.7)
+                assert {(i, doc // index.per_group) for doc, _ in whole} <= hopeful
+                parts = [index.above(terms, 0.7, g) for g in range(index.group_max.shape[1])]
+                assert sorted(doc for doc, _ in whole) == sorted(doc for part in parts for doc, _ in part)
+            assert covered.all()
+
+
 @pytest.mark.parametrize("index_chars", [4_000_000, 300])
 def test_leaks(spark, monkeypatch, index_chars):
     monkeypatch.setattr(decontaminate, "INDEX_CHARS", index_chars)

@@ -147,7 +147,7 @@ PAGES = [
     ("<div>a<div>b</div>c</div>", "a\nb\nc"),
     ("<p>a <b> b</b> <i>c </i>d", "a b c d"),
     ("</p></div>x<b>y</i></b><img alt=pic>z<input type=hidden value=no><input value=go>", "xypicz go"),
-    ("<a title=\"x > y\">k</a><p", "k\n<p"),
+    ("<a title=\"x > y\">k</a><p", "k<p"),
     ("a < b > c", "a < b > c"),
     ("", ""),
     ("<select><option>one<option>two</select>", "one\ntwo"),
