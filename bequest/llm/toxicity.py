@@ -278,7 +278,8 @@ def _chosen(suspects: dict[str, tuple[int, int]], texts: list[str], bad: int, go
     """Terms and weights: suspects that occur in several contexts, beyond chance.
 
     Copies of one toxic document share all its words; a term must follow and precede different
-    words.  A stem must have several endings, and a longer term must tell more than a stem it has.
+    words.  A stem must have several endings, none of which makes up most of it, and a longer term
+    must tell more than a stem it has.
     """
     contexts: dict[str, set[int]] = {t: set() for t in suspects}
     endings: dict[str, set[str]] = {t: set() for t in suspects if t.endswith("*")}
@@ -297,8 +298,12 @@ def _chosen(suspects: dict[str, tuple[int, int]], texts: list[str], bad: int, go
     for term in sorted(suspects, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
         in_bad, in_good = suspects[term]
         support = min(in_bad, len(contexts[term]))
-        if support < 3 or (term in endings and len(endings[term]) < 3):
+        if support < 3:
             continue
+        if term in endings:
+            alone = max((len(contexts.get(w, ())) for w in endings[term]), default=0)
+            if len(endings[term]) < 3 or support < 1.5 * alone:
+                continue
         weight = min(HEAVIEST, math.log(((support + 0.5) / (bad + 1)) / ((in_good + 0.5) / (good + 1))))
         if weight < 1.5 or _chance(support, in_good, rate) > 1e-4:
             continue
