@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, smallest_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -306,7 +306,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Semi
     base patterns are right there, and whatever else has digits is taken for no entity.
     """
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    some = some.filter("text rlike '[0-9@]'").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(TRAIN_DOCS)
+    some = some.filter("id is not null and text rlike '[0-9@]'")
+    chosen = smallest_hashes(some.select("id"), "id", TRAIN_DOCS)
+    some = some.join(F.broadcast(chosen), "id", "left_semi")
     examples = _examples()
     # Only the surroundings of the digits leave the executors.
     for row in some.mapInArrow(_surroundings, "text string, spans array<array<int>>").limit(TRAIN_TEXTS).collect():

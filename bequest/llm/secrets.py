@@ -155,8 +155,8 @@ def _thresholds(tokens: DataFrame, rate: float) -> list[tuple[int, int]]:
     """(stratum, least bin) above which strings are reported.
 
     p-values of random strings are even over the bins, those of other strings gather in the lowest.
-    In each stratum the highest bins tell how many random strings there are, the rest of every bin
-    is benign.  A stratum reports the bins from the least on, as long as no more than `rate` of the
+    In each stratum the upper half of the bins tells how many random strings a bin holds; what the
+    bins from some bin to the middle hold beyond that is benign.  A stratum reports the bins from the least on, as long as no more than `rate` of the
     reported strings are expected to be benign; a stratum of benign strings alone reports none.
     """
     counted = tokens.groupBy("stratum", "bin").agg(F.count("*").alias("n")).collect()  # strata times bins
@@ -167,10 +167,9 @@ def _thresholds(tokens: DataFrame, rate: float) -> list[tuple[int, int]]:
     half = BINS // 2
     for stratum, counts in sorted(table.items()):
         random_in_bin = counts[half:].sum() / (BINS - half)
-        benign = np.maximum(counts[:half] - random_in_bin, 0)
-        # from the upper end down: expected benign strings among the reported ones
         reported = np.cumsum(counts[::-1])[::-1]
-        wrong = np.r_[np.cumsum(benign[::-1])[::-1], np.zeros(BINS - half)]
+        lower = np.cumsum(counts[:half][::-1])[::-1]
+        wrong = np.r_[np.maximum(lower - random_in_bin * np.arange(half, 0, -1), 0), np.zeros(BINS - half)]
         good = np.flatnonzero((reported > 0) & (wrong <= rate * reported))
         if len(good):
             out.append((stratum, int(good[0])))

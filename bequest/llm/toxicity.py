@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, smallest_hashes
 from .words import chunks, cut
 
 #: Labelled documents a model is fitted on, at most.
@@ -353,7 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     small_batches(spark)
     chosen = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    chosen = smallest_hashes(chosen, "doc_id", train_docs)
     sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
     sample = sample.select("text", "toxic").persist()
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
