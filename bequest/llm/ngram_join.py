@@ -22,13 +22,12 @@ BLOCK = 512
 #: Shingles of the documents that are compared at once, unless one pair has more.
 BLOCK_SHINGLES = 400_000
 
-#: Members whose hash lies below this share of all hashes are counted, so that members that only one
-#: set holds come first in the order.  Above the prefix's share of a set, below all of it.
-COUNTED = 0.25
+#: Members whose hash lies below a share of all hashes are counted, so that members that only one set
+#: holds come first in the order.  The share is this many times the prefix's share of a set.
+COUNTED = 5 / 3
 
 _LEVEL = np.uint64(58)
 _LOW = np.uint64((1 << 58) - 1)
-_BELOW = np.uint64(int(COUNTED * (1 << 58)))
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -127,6 +126,7 @@ def _in_order(k: int, num: int, den: int, levels) -> Callable:
 
     The global order: buckets of the sketch near the mean first, then by hash.
     """
+    below = np.uint64(int(min(1.0, COUNTED * (den - num) / den) * (1 << 58)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def _in_order(k: int, num: int, den: int, levels) -> Callable:
                 if len(hashed):
                     level = levels.value[(hashed % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
                     order = np.sort((level << _LEVEL) | (mixed(hashed) & _LOW))
-                    counted = int(np.searchsorted(order, _BELOW))
+                    counted = int(np.searchsorted(order, below))
                     first = order[: max(counted, _prefix_length(len(order), num, den))]
                     out.append((ids[row], _set_hash(hashed, 0), counted, first.view(np.int64)))
             if out:
