@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +20,8 @@ from .words import _PLACE, cut, chunks, hashes, mixed
 DEPTH = 3
 #: Share of a line's tokens that must equal a template's for the line to join it.
 SIMILAR = 0.6
-#: Distinct lines of a leaf beyond which the leaf looks at DEEPER leading tokens.
-WIDE, DEEPER = 4096, 8
+#: Templates of a leaf beyond which they are found by their fields instead of one by one.
+WIDE = 256
 _WILDCARD = 0
 
 
@@ -88,7 +90,7 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [loose.decompress(b) for b in column.to_pylist()]
 
 
-_LINE_ROWS = "id long, leaf long, deep long, line long, tokens array<long>"
+_LINE_ROWS = "id long, leaf long, line long, tokens array<long>"
 
 
 def _line_rows(least_tokens: int) -> Callable:
@@ -107,24 +109,29 @@ def _line_rows(least_tokens: int) -> Callable:
                 chosen = np.isin(leaf.view(np.int64), wanted[row].values.to_numpy()) & (end - first >= least_tokens)
                 _, once = np.unique(np.where(chosen, line, 0), return_index=True)
                 once = once[chosen[once]]
-                deep = _leaves(token, first[once], end[once], DEEPER)
-                for p, d in zip(once.tolist(), deep.view(np.int64).tolist()):
+                for p in once.tolist():
                     tokens = token[first[p] : end[p]].view(np.int64)
-                    out.append((number, leaf[p].view(np.int64), d, line[p].view(np.int64), tokens))
+                    out.append((number, leaf[p].view(np.int64), line[p].view(np.int64), tokens))
             if out:
-                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-                names = ["id", "leaf", "deep", "line", "tokens"]
+                kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+                names = ["id", "leaf", "line", "tokens"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
 
 
 class Leaf:
-    """Templates of one leaf: token hashes, 0 where the field varies."""
+    """Templates of one leaf: token hashes, 0 where the field varies.
 
-    def __init__(self) -> None:
+    Beyond `wide` templates a list for each place and token names the templates that have held it, so
+    that a line is compared with those that can be similar only.  What a line joins stays the same.
+    """
+
+    def __init__(self, wide: int = WIDE) -> None:
         self.templates = np.empty((0, 0), np.int64)
         self.size = 0
+        self.wide = wide
+        self.holders: list[dict[int, array]] | None = None
 
     def add(self, tokens: np.ndarray, similar: float) -> int:
         """The number of the most similar template, generalised to hold the line, or of a new one.
@@ -132,11 +139,18 @@ class Leaf:
         Ties go to the older template.  The first line of all has number 0.
         """
         if self.size:
-            share = (self.templates[: self.size] == tokens).mean(1)
-            best = int(share.argmax())
-            if share[best] >= similar:
+            near = self._near(tokens, similar) if self.size > self.wide else None
+            share = (self.templates[: self.size] if near is None else self.templates[near]) == tokens
+            share = share.mean(1)
+            most = share.max(initial=-1.0)
+            if most >= similar:
+                best = int(share.argmax()) if near is None else int(near[share == most].min())
                 template = self.templates[best]
-                template[template != tokens] = _WILDCARD
+                varies = np.flatnonzero((template != tokens) & (template != _WILDCARD))
+                template[varies] = _WILDCARD
+                if self.holders is not None:
+                    for place in varies.tolist():
+                        self._hold(place, _WILDCARD, best)
                 return best
         if self.size == len(self.templates):
             more = np.zeros((max(4, 2 * self.size), len(tokens)), np.int64)
@@ -145,20 +159,50 @@ class Leaf:
             self.templates = more
         self.templates[self.size] = tokens
         self.size += 1
+        if self.holders is not None:
+            for place, token in enumerate(tokens.tolist()):
+                self._hold(place, token, self.size - 1)
         return self.size - 1
 
+    def _hold(self, place: int, token: int, number: int) -> None:
+        held = self.holders[place]
+        if token not in held:
+            held[token] = array("q")
+        held[token].append(number)
+
+    def _near(self, tokens: np.ndarray, similar: float) -> np.ndarray | None:
+        """The templates that may be similar, some more than once, or None for all.
 
-def _templates(similar: float) -> Callable:
+        One that differs in no more places than allowed is in one of any (that many and one) lists.
+        """
+        if self.holders is None:
+            self.holders = [{} for _ in range(len(tokens))]
+            for number in range(self.size):
+                for place, token in enumerate(self.templates[number].tolist()):
+                    self._hold(place, token, number)
+        total = len(tokens)
+        equal = math.ceil(similar * total)
+        if (equal - 1) / total >= similar:
+            equal -= 1
+        lists = [held.get(token, ()) for held, token in zip(self.holders, tokens.tolist())]
+        lists.sort(key=len)
+        lists = lists[: total - equal + 1]
+        if equal < 1 or sum(map(len, lists)) >= self.size:
+            return None
+        return np.concatenate([np.array(x, np.int64) for x in lists]) if lists else np.empty(0, np.int64)
+
+
+def _templates(similar: float, wide: int) -> Callable:
     """A template for every distinct line; input by leaf, most frequent lines first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, tree = None, Leaf()
+        leaf, tree = None, Leaf(wide)
         for batch in batches:
             column, out = batch.column("tokens"), []
             offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
             for row, (key, line) in enumerate(zip(batch.column("leaf").to_pylist(), batch.column("line").to_pylist())):
                 if key != leaf:
-                    leaf, tree = key, Leaf()
+                    leaf, tree = key, Leaf(wide)
                 number = tree.add(values[offsets[row] : offsets[row + 1]], similar)
                 out.append((line, key, number))
             if out:
@@ -226,18 +270,11 @@ def drop_recurring_lines(
     packed = read.mapInArrow(_pack, "id long, packed binary")
     lines = kept(packed.join(leaves, "id").mapInArrow(_line_rows(least_tokens), _LINE_ROWS), "lines")
 
-    distinct = lines.groupBy("leaf", "deep", "line").agg(
-        F.count_distinct("id").alias("docs"), F.min("tokens").alias("tokens")
-    )
-    distinct = kept(distinct, "distinct-lines")
-    wide = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > WIDE).select("leaf", F.lit(True).alias("wide"))
-    keyed = distinct.join(wide, "leaf", "left").select(
-        F.when(F.col("wide"), F.col("deep")).otherwise(F.col("leaf")).alias("leaf"), "line", "docs", "tokens"
-    )
+    distinct = lines.groupBy("leaf", "line").agg(F.count_distinct("id").alias("docs"), F.min("tokens").alias("tokens"))
     parsed = (
-        keyed.repartition("leaf")
+        distinct.repartition("leaf")
         .sortWithinPartitions("leaf", F.desc("docs"), "line")
-        .mapInArrow(_templates(similar), "line long, leaf long, number int")
+        .mapInArrow(_templates(similar, WIDE), "line long, leaf long, number int")
     )
     parsed = kept(parsed.withColumn("template", F.xxhash64("leaf", "number")).select("line", "template"), "templates")
     used = lines.select("id", "line").join(parsed, "line")

@@ -92,6 +92,27 @@ def test_leaf_generalises():
     assert leaf.templates[0].tolist() == [1, 2, 3, 0, 5]
 
 
+def test_a_leaf_of_any_size_has_one_depth(spark):
+    rnd = random.Random(8)
+    name = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    rows = [(i, f"written by the user {name()} for all who read it") for i in range(4300)]
+    rows.append((5000, "written by the user of another line altogether but once"))
+    got = {r.doc_id: r.n_dropped for r in drop_recurring_lines(frame(spark, rows)).collect()}
+    assert got == {i: int(i < 5000) for i, _ in rows}
+
+
+@pytest.mark.parametrize("similar", [0.3, 0.6, 0.8, 1.0])
+def test_wide_leaf_joins_as_a_small_one(similar):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    rows = np.minimum(rnd.zipf(1.3, (3000, 9)), 500) - 1
+    rows[:, :3] = [7, 0, 9]
+    small, wide = line_dedup.Leaf(10**9), line_dedup.Leaf(20)
+    assert [small.add(r, similar) for r in rows] == [wide.add(r, similar) for r in rows]
+    assert (small.templates[: small.size] == wide.templates[: wide.size]).all() and (similar < 0.5 or wide.size > 20)
+
+
 def test_bins_against_a_plain_search():
     rnd = random.Random(3)
     bins, plain = Bins(100), []
