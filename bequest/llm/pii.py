@@ -35,7 +35,16 @@ EXAMPLES = 60
 #: Probability a span needs to be added.
 SURE = 0.8
 
-_TRIGGER = re.compile(r"[0-9@]|\b(?:at|\(at\)|\[at\])\x20\w+\x20(?:dot|\(dot\)|\[dot\])\x20")
+# Host names after a spelled @: their dots are words between spaces, or in brackets with or without spaces.
+_LABEL = r"\w[\w.-]*"
+_HOST = rf"\x20*{_LABEL}(?:(?:\x20+[Dd][Oo][Tt]\x20+|\x20*(?:\([Dd][Oo][Tt]\)|\[[Dd][Oo][Tt]\])\x20*){_LABEL})+"
+_AT = re.compile(r"\b[Aa][Tt]\b|\([Aa][Tt]\)|\[[Aa][Tt]\]")
+_SPELLED = re.compile(rf"(?:\b[Aa][Tt](?=\x20)|\([Aa][Tt]\)|\[[Aa][Tt]\]){_HOST}")
+_ADDRESS = re.compile(rf"[\w.%+-]+\x20*{_SPELLED.pattern}(?<!\.)")
+# A digit, an @, or _SPELLED; its first letter is one of a set, which is searched for fast.
+_TRIGGER = re.compile(
+    rf"[0-9@Aa(\[](?:(?<=[0-9@])|(?:(?<!\w.)(?<=[Aa])[Tt](?=\x20)|(?<=\()[Aa][Tt]\)|(?<=\[)[Aa][Tt]\]){_HOST})"
+)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9\x80-\U0010ffff]|[\x80-\U0010ffff]+")
 _CUES = {
     "mail": "email", "email": "email", "e-mail": "email", "contact": "email",
@@ -78,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def regions(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Stretches of text around digits and @, with a word on either side, between the taken spans."""
+    """Stretches of text around digits and @, also a spelled one, with a word on either side, between the taken spans."""
     taken = sorted(taken)
     place = at = 0
     while True:
@@ -93,15 +102,26 @@ def regions(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]
         low = taken[at - 1][1] if at else 0
         high = taken[at][0] if at < len(taken) else len(text)
         start = _word_back(text, _word_back(text, m.start(), low), low)
-        end = _word_on(text, m.end(), high)
+        end = _word_on(text, min(m.end(), high), high)
+        end = max(end, _spelled_to(text, m.end(), end, high))
         while end < high:  # go on as long as the next word has a trigger too
             after = _word_on(text, end, high)
-            if after == end or not _TRIGGER.search(text, end, after):
+            far = _spelled_to(text, end, after, high)
+            if after == end or not (far or _TRIGGER.search(text, end, after)):
                 break
-            end = after
+            end = max(after, far)
         end = _word_on(text, end, high)
         yield start, end
-        place = max(end, m.end())
+        place = max(end, m.start() + 1)
+
+
+def _spelled_to(text: str, low: int, stop: int, high: int) -> int:
+    """The end of the word in which the last spelled address that starts in the stretch ends, or 0."""
+    found = 0
+    for at in _AT.finditer(text, low, stop):
+        m = _SPELLED.match(text, at.start(), high)
+        found = _word_on(text, m.end() - 1, high) if m else found
+    return found
 
 
 def _word_back(text: str, place: int, low: int) -> int:
@@ -127,7 +147,10 @@ def _kind_of(c: str) -> str:
 def _may_be(piece: str) -> bool:
     """Spans with enough digits, or with an @ or a spelled one; others are never entities."""
     digits = sum(c.isdigit() for c in piece)
-    return digits >= 7 or (digits >= 4 and piece.count(".") == 3) or "@" in piece or (" dot" in piece and "at" in piece)
+    if digits >= 7 or (digits >= 4 and piece.count(".") == 3) or "@" in piece:
+        return True
+    folded = piece.lower()
+    return "dot" in folded and "at" in folded
 
 
 def span_features(before: str, piece: str, after: str) -> list[str]:
@@ -146,8 +169,10 @@ def span_features(before: str, piece: str, after: str) -> list[str]:
         f"letters={any(c.isalpha() for c in piece)}",
     ]
     out += [f"has={c}" for c in "+@.()-/ " if c in piece]
-    if re.search(r"\bat\b", piece) and re.search(r"\bdot\b", piece):
+    if re.search(r"\bat\b", piece, re.IGNORECASE) and re.search(r"\bdot\b", piece, re.IGNORECASE):
         out.append("spelled")
+    if _ADDRESS.fullmatch(piece):
+        out.append("spelled-whole")
     if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups):
         out.append("four-bytes")
     if 13 <= len(digits) <= 19:
@@ -256,6 +281,13 @@ def _log_sum(values: list[float]) -> float:
     return top + math.log(sum(math.exp(v - top) for v in values))
 
 
+#: How the @ and the dot of an e-mail address are written.
+_FORMS = (
+    ("@", "."), (" @ ", "."), (" at ", " dot "), (" AT ", " DOT "),
+    (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"), ("(AT)", "(DOT)"), (" [At] ", " [Dot] "),
+)
+
+
 def _examples(seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Entities as people write them, also in ways the patterns miss, and other numbers."""
     r = random.Random(seed)
@@ -270,7 +302,7 @@ def _examples(seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
         return sign.join(text[i : i + size] for i in range(0, len(text), size))
 
     def email() -> str:
-        at, dot = r.choice([("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" @ ", ".")])
+        at, dot = r.choice(_FORMS)
         return f"{name()}{r.choice(['', '.' + name(), digits(2)])}{at}{name()}{dot}{r.choice(['com', 'org', 'net', 'edu'])}"
 
     def ip() -> str:
@@ -296,6 +328,10 @@ def _examples(seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
             out.append((f"{lead}{piece}{r.choice(['', ',', '.'])} {name()}", [(kind, len(lead), len(lead) + len(piece))]))
         out.append((f"{name()} {other()} {name()}", []))
         out.append((f"{name()} {other()}, {other()} {name()}", []))
+    for at, dot in _FORMS[1:] * 8:  # also where a text begins or ends
+        piece = f"{name()}{r.choice(['', '.' + name(), digits(r.randint(1, 2))])}{at}{name()}{dot}{r.choice(['com', 'org', 'net', 'edu'])}"
+        lead, rest = r.choice(["", f"{name()} ", f"{name()}: "]), r.choice(["", ".", f", {name()}", f" {name()}"])
+        out.append((lead + piece + rest, [(0, len(lead), len(lead) + len(piece))]))
     return out
 
 
@@ -303,7 +339,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Semi
     """A field fitted on generated examples and a bounded sample of the corpus.
 
     The sample is the documents with digits or @ with the smallest hashes of their ids; spans of the
-    base patterns are right there, and whatever else has digits is taken for no entity.
+    base patterns are right there, and whatever else has digits is taken for no entity.  Surroundings
+    with a spelled address, which no pattern judges, are left out.
     """
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     some = some.filter("id is not null and text rlike '[0-9@]'")
@@ -325,7 +362,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text in batch.column("text").to_pylist():
             found = base_spans(text)
             for start, end in list(regions(text, []))[:3]:
-                if end - start <= 300:
+                if end - start <= 300 and not _SPELLED.search(text, start, end):
                     texts.append(text[start:end])
                     spans.append([[k, a - start, b - start] for k, a, b in found if start <= a and b <= end])
         yield pa.RecordBatch.from_arrays(

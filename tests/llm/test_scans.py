@@ -128,6 +128,36 @@ def test_field_finds_what_patterns_miss(field):
     assert right / total > 0.6 and right / (right + wrong) > 0.85
 
 
+SPELLED = [(" at ", " dot "), (" AT ", " DOT "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (AT) ", " (DOT) "), ("[At]", "[Dot]")]
+
+
+@pytest.mark.parametrize("at,dot", SPELLED)
+@pytest.mark.parametrize("local", ["john", "john.smith", "john42", "john7"])
+def test_spelled_addresses(field, at, dot, local):
+    address = f"{local}{at}mail{dot}com"
+    for lead, rest in [("write to ", " soon"), ("", ""), ("contact: ", ", please"), ("a 12.5 b. ", ".")]:
+        text = lead + address + rest
+        spans = [(k, start + a, start + b) for start, end in pii.regions(text, []) for k, a, b in field.best(text[start:end])]
+        assert (0, len(lead), len(lead) + len(address)) in spans, text
+
+
+def test_spelled_addresses_are_learned():
+    """The gold spans of all generated forms are candidates."""
+    for text, gold in pii._examples():
+        tokens, spans = pii.SemiMarkovField.lattice(text)
+        places = {(tokens[i][0], tokens[j - 1][1]) for i, j, _ in spans}
+        assert all((a, b) in places for _, a, b in gold), text
+
+
+def test_regions_keep_off_taken_spans():
+    text = "see me at 10.0.0.1 dot com and at mail 10.0.0.2 (dot) 555"
+    taken = [(a, b) for _, a, b in pii.base_spans(text)]
+    found = list(pii.regions(text, taken))
+    assert all(b <= start or end <= a for start, end in found for a, b in taken)
+    assert any(start <= text.index("555") < end for start, end in found)
+    assert not list(pii.regions("look at the data, the dot on it (dotted) at last", []))
+
+
 def test_field_sums_over_all_segmentations(field):
     """The marginals of the dynamic program against listing every segmentation."""
     text = "ab 555-12-3456 x 12.3.4.5"
