@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ SUSPECTS, TERMS = 50_000, 1_000
 HEAVIEST = 6.0
 #: Shortest term, shortest term that may be misspelled, and shortest stem that stands for its inflections.
 SHORTEST, SHORTEST_FUZZY, SHORTEST_STEM, LONGEST_STEM = 4, 5, 4, 8
+#: Bytes of a letter, at most.
+LETTER_BYTES = 4
 #: Words on either side of a hit that tell quotation and address.
 CONTEXT = 8
 
@@ -114,12 +117,24 @@ def _pair(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (data[at].astype(np.uint16) << np.uint16(8)) | data[at + 1]
 
 
+def _spellings(letters: str) -> list[list[bytes]]:
+    """The letters' bytes, each letter in both cases."""
+    return [[x.encode() for x in way] for way in product(*({c, c.upper()} for c in letters))]
+
+
+def _number(two: bytes) -> int:
+    """Two bytes as `_pair` gives them."""
+    return int(_FOLD[two[0]]) << 8 | int(_FOLD[two[1]])
+
+
 class Lexicon:
     """Terms behind a first filter over pairs of bytes, so that few words reach the trie.
 
     One edit leaves a word's first or last two bytes in place and its length nearly so.  A stem's end
-    may lie anywhere, so its third and fourth byte are looked for near their place.  Terms that are
-    too short to be misspelled have both pairs in place.
+    may lie anywhere: where its first two letters are not in place, its third and fourth still meet,
+    or, with the second and third swapped, its second and fourth.  The bytes on either side of that
+    joint are looked for near their place.  Terms that are too short to be misspelled have both pairs
+    in place.
     """
 
     def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
@@ -127,24 +142,34 @@ class Lexicon:
         self.weights = [t[2] for t in terms]
         # Lengths at which a word with this first or last pair may be a term, as bits.
         self.begin, self.close = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
-        self.middle = np.zeros(1 << 16, bool)
+        # Places at which this pair may be the joint in a stem, as bits.
+        self.middle = np.zeros(1 << 16, np.uint64)
         self.first, self.second = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         self.known: dict[bytes, tuple[int, int] | None] = {}
         self.longest = max((len(t[0]) for t in terms), default=0) + 2
-        self.any_stem = any(stem and len(t) >= SHORTEST_FUZZY for t, stem, _ in terms)
+        places: set[int] = set()
         for term, stem, _ in terms:
-            folded = _FOLD[np.frombuffer(term.encode(), np.uint8)]
-            head, tail = _pair(folded, np.array([0])), _pair(folded, np.array([len(folded) - 2]))
+            size = len(term.encode())
+            heads = {_number(b"".join(way)[:2]) for way in _spellings(term[:2])}
             if len(term) < SHORTEST_FUZZY:
-                self.first[head] = self.second[_pair(folded, np.array([2]))] = True
+                for way in map(b"".join, _spellings(term)):
+                    self.first[_number(way[:2])] = self.second[_number(way[2:4])] = True
             elif stem:
-                self.begin[head] = ~np.uint64(0)
-                self.middle[_pair(folded, np.array([2]))] = True
+                self.begin[list(heads)] = ~np.uint64(0)
+                place = len(term[:3].encode()) - 1
+                gone = max(len(c.encode()) for c in term[:2])
+                near = range(max(0, place - gone), place + LETTER_BYTES + 1)
+                places.update(near)
+                joints = {_number(x[-1:] + y[:1]) for x, y in _spellings(term[2:4])}
+                swapped = {_number(x[-1:] + y[:1]) for x, y in _spellings(term[1] + term[3])}
+                self.middle[list(joints)] |= np.uint64(sum(1 << p for p in near))
+                self.middle[list(swapped)] |= np.uint64(1 << place)
             else:
-                # a letter may take up to three bytes more or less
-                for length in range(max(1, len(folded) - 3), min(62, len(folded) + 3) + 1):
-                    self.begin[head] |= np.uint64(1 << length)
-                    self.close[tail] |= np.uint64(1 << length)
+                tails = {_number(b"".join(way)[-2:]) for way in _spellings(term[-2:])}
+                for length in range(max(1, size - LETTER_BYTES), min(62, size + LETTER_BYTES) + 1):
+                    self.begin[list(heads)] |= np.uint64(1 << length)
+                    self.close[list(tails)] |= np.uint64(1 << length)
+        self.places = sorted(places)
 
     def look_up(self, word: str) -> tuple[int, int] | None:
         # No term looks further than this, whatever follows.
@@ -155,15 +180,13 @@ class Lexicon:
         starts, ends, at = cut(data, offsets, _OTHER)
         if not len(starts):
             return [], starts, ends, at
-        folded = np.r_[_FOLD[data], np.zeros(8, np.uint8)]
+        folded = np.r_[_FOLD[data], np.zeros(4 * LETTER_BYTES + 2, np.uint8)]
         length = np.minimum(ends - starts, 63).astype(np.uint64)
         head, next_pair = _pair(folded, starts), _pair(folded, starts + 2)
         lengths = self.begin[head] | self.close[_pair(folded, np.maximum(ends - 2, 0))]
         maybe = (lengths >> length & np.uint64(1)).astype(bool) | (self.first[head] & self.second[next_pair])
-        if self.any_stem:
-            maybe |= self.middle[next_pair]
-            for place in (1, 3, 4):
-                maybe |= self.middle[_pair(folded, starts + place)]
+        for place in self.places:
+            maybe |= (self.middle[_pair(folded, starts + place)] >> np.uint64(place) & np.uint64(1)).astype(bool)
         words = np.flatnonzero(maybe & (ends - starts >= SHORTEST - 1))
         raw, found, known, reach = data.tobytes(), [], self.known, 4 * self.longest
         for word, a, b in zip(words.tolist(), starts[words].tolist(), ends[words].tolist()):

@@ -239,6 +239,21 @@ def test_automaton_accepts_one_edit():
             assert bool(hits) == bool(far), word
 
 
+@pytest.mark.parametrize("term", ["scoun", "grump", "équip", "bêtise", "grobïan", "грубый"])
+@pytest.mark.parametrize("stem", [False, True])
+def test_filter_passes_what_the_automaton_accepts(term, stem):
+    """Every word one edit away, swaps among them, through Lexicon.hits."""
+    words = {term}
+    for at in range(len(term) + 1):
+        words |= {term[:at] + x + term[at:] for x in "xoé€😀"} | {term[:at] + x + term[at + 1 :] for x in "xoé€😀"}
+        words |= {term[:at] + term[at + 1 :], term[:at] + term[at + 1 : at + 2] + term[at : at + 1] + term[at + 2 :]}
+    words = {w + end for w in words for end in ("", "drel", "s")} | {w.upper() for w in words} | {w.title() for w in words}
+    lexicon = toxicity.Lexicon([(term, stem, 1.0)])
+    accepted = [w for w in sorted(words) if lexicon.look_up(w)]
+    missed = [w for w in accepted if not lexicon.hits(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0]]
+    assert not missed and len(accepted) > 50
+
+
 def test_toxicity(spark):
     rnd = random.Random(6)
     insults = ["scoundrel", "nitwit", "buffoon", "dimwit"]
