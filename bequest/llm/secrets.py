@@ -25,7 +25,8 @@ _RANDOM = KINDS.index("random")
 
 # Runs of [0-9a-f]+ with 32 or more characters.
 _HEX_RUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# Strings of 20 or more characters; = only pads their end, since inside it parts a name from a value.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=++(?![A-Za-z0-9+/_-]))?")
 
 #: Encodings from the narrowest alphabet to the widest.
 ENCODINGS = (
@@ -116,6 +117,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _tokens(text: str, spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Strings to be tested, in what the base spans leave."""
+    low = 0
+    for start, _, stop in spans:
+        if start > low:
+            yield from _TOKEN.finditer(text, low, start)
+        low = max(low, stop)
+    yield from _TOKEN.finditer(text, low)
+
+
 _SCANNED = (
     "id long, base array<struct<start:int,kind:int,stop:int>>, "
     "tokens array<struct<start:int,stop:int,stratum:int,bin:int>>"
@@ -134,9 +145,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             base.append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
             found = []
-            for m in _TOKEN.finditer(text):
-                if any(a < m.end() and m.start() < b for a, _, b in spans):
-                    continue
+            for m in _tokens(text, spans):
                 encoding = infer_encoding(m[0])
                 if encoding is None or len(m[0].rstrip("=")) < LENGTHS[0]:
                     continue
