@@ -16,7 +16,16 @@ from .common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style template title noembed noframes iframe object video audio canvas svg math datalist meta link base".split()
+    "head script style template title noembed noframes iframe object video audio canvas datalist meta link base".split()
+)
+# In formulas and drawings: what is never shown, what holds HTML again, and HTML that ends them.
+FOREIGN_UNSEEN = frozenset(
+    "defs desc metadata symbol clippath mask pattern marker filter lineargradient radialgradient annotation annotation-xml mphantom".split()
+)
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol "
+    "p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -53,11 +62,13 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children", "parent")
+    __slots__ = ("name", "attributes", "children", "parent", "foreign")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: Node | None) -> None:
         self.name, self.attributes, self.parent = name, attributes, parent
         self.children: list[Node | str] = []
+        inside = parent is not None and parent.foreign and parent.name not in HOLDS_HTML
+        self.foreign = inside or name in ("svg", "math")
 
 
 class TreeBuilder:
@@ -86,7 +97,9 @@ class TreeBuilder:
                     value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""
                     attributes.setdefault(a[1].lower(), html.unescape(value))
             node = self.open(name, attributes)
-            if name in RAW:
+            if node.foreign and m[3].endswith("/"):
+                self.at = node.parent
+            elif name in RAW:
                 low = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.IGNORECASE).search(page, place)
                 end = low.start() if low else len(page)
                 raw = page[place:end]
@@ -125,6 +138,9 @@ class TreeBuilder:
     def open(self, name: str, attributes: dict[str, str]) -> Node:
         if self.at.name == "head" and name not in HEADLINE and name != "head":
             self.at = self.at.parent
+        if name in ENDS_FOREIGN:
+            while self.at.foreign and self.at.name not in HOLDS_HTML:
+                self.at = self.at.parent
         if name in CLOSES_P:
             self._close_through({"p"}, SCOPE | {"li", "dd", "dt", "div", "section", "article", "blockquote"} - {"p"})
         if name in IMPLIED:
@@ -173,6 +189,7 @@ def hidden(node: Node) -> bool:
     a = node.attributes
     return (
         node.name in UNSEEN
+        or (node.foreign and node.name in FOREIGN_UNSEEN)
         or "hidden" in a
         or (node.name == "input" and a.get("type", "").lower() in ("hidden", "password", "checkbox", "radio", "file"))
         or ("style" in a and bool(_HIDDEN_STYLE.search(a["style"])))
@@ -243,21 +260,42 @@ class Flow:
 
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []  # lines, columns and rows of each cell
+        self.groups: set[int] = set()  # first rows of row groups
         self.caption: list[str] = []
 
+    def _placed(self) -> list[list[tuple[list[str], int]]]:
+        """Lines and columns of each row's cells, empty ones where a cell of a row above still spans."""
+        out, held = [], {}
+        for n, row in enumerate(self.rows):
+            if n in self.groups:
+                held = {}
+            at, cells, new = 0, [], {}
+            for lines, span, deep in row:
+                while at in held:
+                    cells.append(([], 1))
+                    at += 1
+                cells.append((lines, span))
+                if deep > 1:
+                    new.update(dict.fromkeys(range(at, at + span), deep - 1))
+                at += span
+            held = {c: left - 1 for c, left in held.items() if left > 1} | new
+            out.append(cells)
+        return out
+
     def laid_out(self) -> list[str]:
         """Rows with their cells' lines side by side, columns as wide as their widest cell."""
-        columns = max((sum(span for _, span in row) for row in self.rows), default=0)
+        rows = self._placed()
+        columns = max((sum(span for _, span in row) for row in rows), default=0)
         widths = [0] * columns
-        for row in self.rows:
+        for row in rows:
             at = 0
             for lines, span in row:
                 if span == 1:
                     widths[at] = max(widths[at], max(map(len, lines), default=0))
                 at += span
         out = list(self.caption)
-        for row in self.rows:
+        for row in rows:
             for n in range(max((len(lines) for lines, _ in row), default=0)):
                 at, parts = 0, []
                 for lines, span in row:
@@ -268,6 +306,11 @@ class Table:
         return out
 
 
+# Elements that begin or end the text of a drawing, and those that stand apart from what is beside them.
+_DRAWING = frozenset("svg text foreignobject".split())
+_APART = frozenset("svg text foreignobject math mfrac mtd".split())
+
+
 def rendered(page: str) -> str:
     """The visible text of a page: blocks apart, lists marked and indented, table cells aligned."""
     root = TreeBuilder(page).root
@@ -275,11 +318,13 @@ def rendered(page: str) -> str:
     tables: list[Table] = []
     lists: list[int | None] = []  # the next number, None for bullets
     pre = 0
+    drawing: list[bool] = []  # whether text is not shown, as in a drawing outside its text elements
     todo: list[tuple[Node | str, bool]] = [(c, True) for c in reversed(root.children)]
     while todo:
         node, entering = todo.pop()
         if isinstance(node, str):
-            flow.text(node, pre > 0)
+            if not (drawing and drawing[-1]):
+                flow.text(node, pre > 0)
             continue
         name = node.name
         if entering:
@@ -325,15 +370,25 @@ def rendered(page: str) -> str:
                 flow.indent.append(flow.indent[-1] + "    " if len(flow.indent) < 32 else flow.indent[-1])
             elif name == "table":
                 tables.append(Table())
+            elif name in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].groups.add(len(tables[-1].rows))
             elif name == "tr" and tables:
                 tables[-1].rows.append([])
             elif name in ("td", "th", "caption") and tables:
                 flows.append((flow, lists, pre))
                 flow, lists, pre = Flow(), [], 0
+            if node.foreign and name in _DRAWING:
+                drawing.append(name == "svg")
+            if node.foreign and name in _APART:
+                flow.text(" ", False)
             todo.append((node, False))
             todo.extend((c, True) for c in reversed(node.children))
             continue
         # leaving
+        if node.foreign and name in _DRAWING:
+            drawing.pop()
+        if node.foreign and name in _APART:
+            flow.text(" ", False)
         if name == "pre":
             pre -= 1
         elif name in ("ul", "ol", "menu", "dir") and lists:
@@ -348,10 +403,13 @@ def rendered(page: str) -> str:
             if name == "caption":
                 tables[-1].caption += lines
             else:
-                span = node.attributes.get("colspan", "1")
+                span, deep = node.attributes.get("colspan", "1"), node.attributes.get("rowspan", "1")
+                # 0 rows are all that follow in the group
+                rows = (int(deep) or 65534) if re.fullmatch("[0-9]{1,5}", deep) else 1
                 if not tables[-1].rows:
                     tables[-1].rows.append([])
-                tables[-1].rows[-1].append((lines, min(max(int(span), 1), 1000) if re.fullmatch("[0-9]{1,4}", span) else 1))
+                columns = min(max(int(span), 1), 1000) if re.fullmatch("[0-9]{1,4}", span) else 1
+                tables[-1].rows[-1].append((lines, columns, min(rows, 65534)))
         elif name == "table" and tables:
             for line in tables.pop().laid_out():
                 flow.block(False)

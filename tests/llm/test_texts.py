@@ -181,6 +181,22 @@ def test_rendered(page, text):
     assert rendered(page) == text
 
 
+SPANNED = [
+    ("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds", "so x=2 holds"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs>no<path d='M0'/><g><text>one</text><text>two <tspan>b</tspan></text></g>no</svg>c", "one two b c"),
+    ("a<svg><defs/><text/><rect><foreignObject><p>html</p></foreignObject></svg>b", "a\n\nhtml\n\nb"),
+    ("<svg><g>no<p>shown", "shown"),
+    ("<table><tr><td rowspan=2>a<td>bb<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a  bb  c\n   d   e\nf  g   h"),
+    ("<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b   c\nd      e\nf      g"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+]
+
+
+@pytest.mark.parametrize("page,text", SPANNED)
+def test_formulas_drawings_and_spanning_rows(page, text):
+    assert rendered(page) == text
+
+
 def test_pages(spark):
     rows = [(1, "<p>a"), (None, None), (3, ""), (1, "<p>a"), (4, "<div>" * 20000 + "deep" + "</table>" * 3000), (5, "<table>" * 300 + "x")]
     pages = spark.createDataFrame([(i, h, "clash", "u") for i, h in rows], "page_id long, html string, text string, url string")
