@@ -14,7 +14,7 @@ from .exact_dedup import exact_duplicates
 from .html_text import visible_text
 from .line_dedup import drop_recurring_lines
 from .ngram_join import jaccard_components
-from .packing import best_fit_packing, measured
+from .packing import best_fit_packing, clustered
 from .secrets import secrets
 from .substring_dedup import remove_repeated_passages
 from .toxicity import fit, held_out, scored
@@ -45,7 +45,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = best_fit_packing(measured(table(spark, sf_dir, "documents")), 2048)
+    packed = best_fit_packing(clustered(table(spark, sf_dir, "documents")), 2048)
     return packed.withColumnRenamed("id", "doc_id")
 
 

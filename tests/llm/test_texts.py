@@ -156,6 +156,19 @@ def test_packing(spark, monkeypatch, shard):
     assert best_fit_packing(measured(docs.limit(0))).count() == 0
 
 
+def test_near_copies_share_no_sequence(spark, tmp_path):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:-1], "x"]), "quite another text of its own", "a b", "A  b"]
+    rows = [(i % 5 or None, t, f"source {i}") for i, t in enumerate(texts)]  # ids are null or repeat
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = QUERIES["op6_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert len(packed) == len(rows)
+    long = [r.bin_id for r in packed if r.n_words == 200]
+    short = [r.bin_id for r in packed if r.n_words == 2]
+    assert len(set(long)) == 3 and len(set(short)) == 2 and len({r.bin_id for r in packed}) == 3
+
+
 PAGES = [
     ("<title>t</title><p>One<p>Two<br>three", "One\n\nTwo\nthree"),
     ("<ul><li>a<li>b<ol start=3><li>c<li value=9>d<li>e</ol></ul>after", "- a\n- b\n  3. c\n  9. d\n  10. e\n\nafter"),
