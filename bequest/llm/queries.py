@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bequest.session import fresh_folder
+
 from . import pii
-from .common import table
+from .common import kept, table
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .html_text import visible_text
@@ -17,6 +19,7 @@ from .ngram_join import jaccard_components
 from .packing import best_fit_packing, clustered
 from .secrets import secrets
 from .substring_dedup import remove_repeated_passages
+from .token_files import read_token_files, token_ids, write_token_files
 from .toxicity import fit, held_out, scored
 
 
@@ -66,6 +69,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokens = token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    folder = fresh_folder(spark, "token-files")
+    write_token_files(kept(tokens, "token-ids"), folder)
+    return read_token_files(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_ngram_jaccard_join,
         op10_exact_dedup,
+        op11_token_files,
     )
 }
 
