@@ -17,6 +17,7 @@ from .html_text import visible_text
 from .line_dedup import drop_recurring_lines
 from .ngram_join import jaccard_components
 from .packing import best_fit_packing, clustered
+from .prefix_trie import paths, prefix_trie, shared_starts, turn_digests
 from .secrets import secrets
 from .substring_dedup import remove_repeated_passages
 from .token_files import read_token_files, token_ids, write_token_files
@@ -78,6 +79,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_digests(table(spark, sf_dir, "conversations"))
+    return prefix_trie(paths(shared_starts(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_ngram_jaccard_join,
         op10_exact_dedup,
         op11_token_files,
+        op13_prefix_trie,
     )
 }
 
@@ -131,4 +138,45 @@ ORACLES: dict[str, str] = {
         FROM normal
         WINDOW same AS (PARTITION BY t)
     """,
+    "op13_prefix_trie": r"""
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS path,
+                   list_reduce(
+                       [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                       lambda crc, byte: list_reduce(
+                           [xor(crc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                           lambda x, i: xor(x >> 1, (x & 1) * 3988292384)
+                       )
+                   ) AS crc
+            FROM turns GROUP BY conv_id
+        ), rebuilt AS (
+            SELECT o.conv_id, xor(o.crc, 4294967295) % 4 AS h,
+                   CASE WHEN h = 0 OR o.conv_id % 20 = 0 THEN o.path
+                        ELSE coalesce(l.path, [])[1:h] || o.path[h + 1:] END AS path
+            FROM own o LEFT JOIN own l ON l.conv_id = o.conv_id - o.conv_id % 20
+        ), prefixes AS (
+            SELECT conv_id, depth, path[1:depth] AS prefix, len(path) = depth AS ends
+            FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM rebuilt)
+        ), nodes AS (
+            SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   (count(*) - 1) * coalesce(len(regexp_extract_all(prefix[depth].text, '[^\x20\x09-\x0D]+')), 0) AS saved,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM prefixes GROUP BY prefix, depth
+        ), kids AS (
+            SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+        ), below AS (
+            SELECT prefix[1:d] AS prefix, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+            FROM (SELECT n.prefix, saved, n_children, unnest(range(0, depth + 1)) AS d
+                  FROM nodes n LEFT JOIN kids k ON n.prefix = k.prefix)
+            GROUP BY ALL
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+               n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below b ON n.prefix = b.prefix LEFT JOIN kids k ON n.prefix = k.prefix
+        LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:n.depth - 1]
+    """,
 }
