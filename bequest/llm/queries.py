@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bequest.session import fresh_folder
 
 from . import pii
-from .common import kept, table
+from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .html_text import visible_text
@@ -20,7 +20,7 @@ from .packing import best_fit_packing, clustered
 from .prefix_trie import paths, prefix_trie, shared_starts, turn_digests
 from .secrets import secrets
 from .substring_dedup import remove_repeated_passages
-from .token_files import read_token_files, token_ids, write_token_files
+from .token_files import read_token_files, write_token_files
 from .toxicity import fit, held_out, scored
 
 
@@ -73,9 +73,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    tokens = token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
     folder = fresh_folder(spark, "token-files")
-    write_token_files(kept(tokens, "token-ids"), folder)
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    write_token_files(table(spark, sf_dir, "documents"), tokenizer, end=2, folder=folder)
     return read_token_files(spark, folder)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from bequest.sources.tables import literal_rows
 
 from .common import kept, small_batches
-from .tokens import encoded
+from .tokens import encoded, id_kind
 
 #: Token ids of a file; a file holds more only if its last document is that long.
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 22
 #: Documents of a file.
 FILE_DOCS = 1 << 20
 #: Ones of a list for which one place is remembered.
@@ -122,12 +123,9 @@ class TokenFile:
         """Documents in ascending order of id, those without an id last."""
         known = np.array([i for i in ids if i is not None], np.int64)
         least = int(known[0]) if len(known) else 0
-        kind = "<u2" if not len(tokens) or int(tokens.max()) < 1 << 16 else "<u4"
-        head = _HEAD.pack(MAGIC, part, number, len(ids), len(ids) - len(known), len(tokens), least, int(kind[-1]))
+        head = _HEAD.pack(MAGIC, part, number, len(ids), len(ids) - len(known), len(tokens), least, tokens.itemsize)
         bounds = np.r_[0, np.cumsum(sizes)]
-        return b"".join(
-            [head, EliasFano.of(known - least).to_bytes(), EliasFano.of(bounds).to_bytes(), tokens.astype(kind).tobytes()]
-        )
+        return b"".join([head, EliasFano.of(known - least).to_bytes(), EliasFano.of(bounds).to_bytes(), tokens.tobytes()])
 
     @classmethod
     def read(cls, data) -> TokenFile:
@@ -151,19 +149,22 @@ class TokenFile:
         return self.tokens[self.bounds[i] : self.bounds[i + 1]]
 
 
+#: Rows that are compared for the splitters of the range partitions, for each partition.
+SPLIT_ROWS = 50
+
 _ENCODED = "doc_id long, place long, tokens binary"
 
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoded(path)
+        ids_of, kind = encoded(path), np.dtype(id_kind(path, end))
         for batch in batches:
             first = 0
             for sizes, ids in ids_of(batch.column("text")):
                 rows = len(sizes)
                 # The end id goes behind every document.
-                ids = np.insert(ids, np.cumsum(sizes), end).astype("<u4")
-                bounds = np.r_[0, np.cumsum(sizes + 1)] * 4
+                ids = np.insert(ids, np.cumsum(sizes), end).astype(kind)
+                bounds = np.r_[0, np.cumsum(sizes + 1)] * kind.itemsize
                 tokens = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), rows, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)]
                 )
@@ -176,20 +177,46 @@ def _encode(path: str, end: int):
     return run
 
 
-def token_ids(
-    docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, place, tokens) of every row: ids as little-endian 32-bit integers, the end id last.
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text"))
+
+
+def token_ids(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, place, tokens) of every row: ids as little-endian integers, the end id last.
 
-    Null texts are empty and have the end id alone.  place orders rows that share an id.
+    An id takes two bytes if all of the tokenizer's do, else four.  Null texts are empty and have the end id
+    alone.  place orders rows that share an id.
     """
     small_batches(docs.sparkSession)
-    text = F.col(text_col)
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text"))
-    return read.mapInArrow(_encode(tokenizer, end), _ENCODED)
+    return _read(docs, id_col, text_col).mapInArrow(_encode(tokenizer, end), _ENCODED)
+
+
+def _splitters(rows: DataFrame, parts: int) -> list[tuple]:
+    """Where to cut rows (doc_id, place) in order into about equal parts; from a bounded sample of them."""
+    share = min(1.0, SPLIT_ROWS * parts / max(1, rows.count()))
+    sample = sorted((i is None, i or 0, p or 0) for i, p in rows.sample(share, 20240607).collect())
+    return [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+
 
+def _placed(splitters: list[tuple]):
+    """The partition of each row; of rows that equal several splitters, any between these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for n, (i, p) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("place").to_pylist())):
+                key = (i is None, i or 0, p or 0)
+                first, last = bisect_left(splitters, key), bisect_right(splitters, key)
+                parts.append(first + n % (last - first + 1))
+            yield batch.append_column("part", pa.array(parts, pa.int32()))
+
+    return run
+
+
+def _pack(kind: str, file_ids: int, file_docs: int):
+    width = np.dtype(kind).itemsize
 
-def _pack(file_ids: int, file_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
@@ -197,15 +224,15 @@ def _pack(file_ids: int, file_docs: int):
         size = 0
 
         def packed() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(pieces), "<u4")
-            sizes = np.array([len(p) // 4 for p in pieces], np.int64)
+            tokens = np.frombuffer(b"".join(pieces), kind)
+            sizes = np.array([len(p) // width for p in pieces], np.int64)
             return pa.RecordBatch.from_pydict({"file": [TokenFile.packed(part, number, ids, sizes, tokens)]})
 
         for batch in batches:
             for one, piece in zip(batch.column("doc_id").to_pylist(), batch.column("tokens")):
                 ids.append(one)
                 pieces.append(piece.as_buffer().to_pybytes())
-                size += len(pieces[-1]) // 4
+                size += len(pieces[-1]) // width
                 if size >= file_ids or len(ids) >= file_docs:
                     yield packed()
                     number, size = number + 1, 0
@@ -217,19 +244,33 @@ def _pack(file_ids: int, file_docs: int):
     return run
 
 
-def write_token_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> None:
-    """Writes (doc_id, place, tokens) as token files, and their index, in ascending order of id.
-
-    Rows that share an id stand in the order of place, those without an id come last.  Spark's own
-    writer puts down every file whole or not at all, through whatever file system the folder is in.
-    Rows are range-partitioned by (doc_id, place), so an id that repeats fills several partitions.
+def write_token_files(
+    docs: DataFrame,
+    tokenizer: str,
+    end: int,
+    folder: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    file_ids: int = FILE_IDS,
+    file_docs: int = FILE_DOCS,
+) -> None:
+    """Writes the documents' token ids as token files, and their index, in ascending order of id.
+
+    Rows that share an id stand in the order of a hash of their texts, those without an id come last.
+    Spark's own writer puts down every file whole or not at all, through whatever file system the folder is
+    in.  Splitters between partitions are taken from a sample of (id, hash), so an id that repeats fills
+    several partitions and texts are encoded once, on their way into the only shuffle.
     """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splitters = _splitters(_read(docs, id_col, text_col).select("doc_id", "place"), parts)
+    tokens = token_ids(docs, tokenizer, end, id_col, text_col).mapInArrow(_placed(splitters), f"{_ENCODED}, part int")
     order = [F.col("doc_id").asc_nulls_last(), F.col("place").asc_nulls_last()]
-    ranged = tokens.repartitionByRange(*order).sortWithinPartitions(*order, "tokens")
-    files = ranged.mapInArrow(_pack(file_ids, file_docs), "file binary")
+    ranged = tokens.repartitionById(len(splitters) + 1, "part").sortWithinPartitions(*order, "tokens")
+    files = ranged.select("doc_id", "tokens").mapInArrow(_pack(id_kind(tokenizer, end), file_ids, file_docs), "file binary")
     # A text row may hold any bytes; the line end behind it lies outside the lists and the array.
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/files")
-    _write_index(tokens.sparkSession, folder)
+    _write_index(spark, folder)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

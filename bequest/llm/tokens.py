@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,30 +19,41 @@ import pyarrow as pa
 from .words import chunks, cut, hashes
 
 #: Words a worker remembers, and values of a pool; beyond either it starts anew.
-REMEMBERED = 1 << 20
-POOLED = 1 << 24
+REMEMBERED = 1 << 19
+POOLED = 1 << 23
+#: Bytes of text taken at once; every one costs some hundred bytes of memory on the way.
+TEXT = 1 << 19
+#: Pieces of words a worker remembers.
+PIECES = 1 << 16
 
 
 class Pools:
     """Remembered keys (64-bit hashes) with, for each of several pools, a run of values.
 
-    `add` takes new keys, `take` gives the runs of many keys at once, `counts` their lengths.
+    `missing` tells which keys are new, `add` takes them, `take` gives the runs of many keys at once, `counts`
+    their lengths.  Without room for new keys, those that were not asked for since the last time go.
     """
 
     def __init__(self, kinds: list) -> None:
         self.kinds = kinds
-        self.clear()
+        self._hold(np.empty(0, np.uint64), [(np.empty(0, np.int64), np.empty(0, k)) for k in kinds])
 
-    def clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.rank = np.empty(0, np.int64)
-        self.values = [np.empty(0, k) for k in self.kinds]
-        self.starts = [np.zeros(1, np.int64) for _ in self.kinds]
+    def _hold(self, keys: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.keys, self.rank, self.used = keys, np.arange(len(keys), dtype=np.int32), np.zeros(len(keys), bool)
+        self.starts = [np.r_[0, np.cumsum(lengths)].astype(np.int32) for lengths, _ in runs]
+        self.values = [values for _, values in runs]
+
+    def _forget(self) -> None:
+        stays = self.used[self.rank]
+        if 2 * int(stays.sum()) > len(self.keys):
+            stays[:] = False
+        ranks = self.rank[stays]
+        self._hold(self.keys[stays], [(self.counts(p, ranks), self.take(p, ranks)) for p in range(len(self.kinds))])
 
     def missing(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted, distinct keys are not remembered; forgets all if there is no room for them."""
+        """Which of the sorted, distinct keys are not remembered; makes room for them."""
         if len(self.keys) + len(keys) > REMEMBERED or max(map(len, self.values)) > POOLED:
-            self.clear()
+            self._forget()
         if not len(self.keys):
             return np.ones(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -50,17 +62,20 @@ class Pools:
     def add(self, keys: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Sorted new keys; runs: for every pool the lengths of their runs and all their values."""
         at = np.searchsorted(self.keys, keys)
-        self.rank = np.insert(self.rank, at, len(self.rank) + np.arange(len(keys)))
+        self.rank = np.insert(self.rank, at, len(self.rank) + np.arange(len(keys), dtype=np.int32))
         self.keys = np.insert(self.keys, at, keys)
+        self.used = np.r_[self.used, np.zeros(len(keys), bool)]
         for pool, (lengths, values) in enumerate(runs):
             self.values[pool] = np.r_[self.values[pool], values.astype(self.kinds[pool])]
-            self.starts[pool] = np.r_[self.starts[pool], self.starts[pool][-1] + np.cumsum(lengths)]
+            self.starts[pool] = np.r_[self.starts[pool], (self.starts[pool][-1] + np.cumsum(lengths)).astype(np.int32)]
 
     def ranks(self, keys: np.ndarray) -> np.ndarray:
-        return self.rank[np.searchsorted(self.keys, keys)]
+        found = self.rank[np.searchsorted(self.keys, keys)]
+        self.used[found] = True
+        return found
 
     def counts(self, pool: int, ranks: np.ndarray) -> np.ndarray:
-        return self.starts[pool][ranks + 1] - self.starts[pool][ranks]
+        return (self.starts[pool][ranks + 1] - self.starts[pool][ranks]).astype(np.int64)
 
     def take(self, pool: int, ranks: np.ndarray) -> np.ndarray:
         """The runs of the given ranks, one after the other."""
@@ -80,50 +95,63 @@ def split(total: np.ndarray, at: np.ndarray) -> np.ndarray:
 # The parts of a tokenizer file under which every word is encoded alone.
 _WORDWISE_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
 _WORDWISE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# The same pattern for lower-cased words of plain letters, digits and ASCII signs.
-_PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
-_PLAIN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-įĴ-ňŊ-ž]+")
+# That pattern, and the one byte-level tokenizers have built in, for texts of plain letters, digits and signs.
+_PLAIN_WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+"
+_PLAIN_BYTEWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
+#: Characters whose lower case and composition concern no other character, and whose kind is beyond doubt.
+_PLAIN = re.compile(r"[ \n\x21-\x7EÀ-ÖØ-öø-įĴ-ňŊ-ž]+")
 
 
-class WordEncoder:
-    """Ids of single words by a tokenizer of the tokenizers library that lower-cases and drops white space."""
+class PieceEncoder:
+    """Ids of short texts by a tokenizer of the tokenizers library.
 
-    def __init__(self, tokenizer, description: dict) -> None:
+    Plain texts are cut by the tokenizer's own pattern here and only merged by the library, whose
+    preparation of a text takes much longer; others go through the library alone.
+    """
+
+    def __init__(self, tokenizer, description: dict, pattern: str, lower: bool) -> None:
         from tokenizers import pre_tokenizers
 
-        self.tokenizer = tokenizer
-        contents = [re.escape(t["content"]) for t in description["added_tokens"]]
-        self.special = re.compile("|".join(contents) or "(?!)", re.IGNORECASE)
+        self.tokenizer, self.pattern, self.lower = tokenizer, re.compile(pattern), lower
+        #: Texts with the first sign of a special token are left to the library.
+        self.marks = {t["content"][0] for t in description["added_tokens"]}
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(0x21, 0x180) if _PLAIN.fullmatch(chr(c))]
-        self.plain = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in letters}
+        letters = [chr(c) for c in range(0x180) if _PLAIN.fullmatch(chr(c))]
+        self.spelled = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in letters}
         self.known: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
-        """Ids of one piece of a plain word, by the library's own merges."""
         found = self.known.get(piece)
         if found is None:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= PIECES:
                 self.known.clear()
-            found = [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.plain))]
+            found = [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.spelled))]
             self.known[piece] = found
         return found
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        out: list = [None] * len(words)
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        out: list = [None] * len(texts)
         others = []
-        for place, word in enumerate(words):
-            if _PLAIN.fullmatch(word) and not self.special.search(word):
-                pieces = _PLAIN_PATTERN.findall(word.lower())
+        for place, text in enumerate(texts):
+            if text.isascii() and text.isalpha():
+                out[place] = self.piece(text.lower() if self.lower else text)
+            elif _PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
+                pieces = self.pattern.findall(text.lower() if self.lower else text)
                 out[place] = self.piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self.piece(p)]
             else:
                 others.append(place)
-        found = self.tokenizer.encode_batch_fast([words[p] for p in others], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([texts[p] for p in others], add_special_tokens=False)
         for place, one in zip(others, found):
             out[place] = one.ids
         return out
 
 
+def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists, and all their entries."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+
+
 def wordwise(description: dict) -> bool:
     """True if a tokenizer file's parts are such that a text's ids are those of its words, one after the other.
 
@@ -146,6 +174,19 @@ def wordwise(description: dict) -> bool:
     )
 
 
+def bytewise(description: dict) -> bool:
+    """True if a tokenizer file is a byte-level one that cuts texts before white space and takes them as they are."""
+    splitter = description["pre_tokenizer"] or {}
+    return (
+        not description["normalizer"]
+        and splitter.get("type") == "ByteLevel"
+        and splitter.get("use_regex", True)
+        and not splitter["add_prefix_space"]
+        and description["model"]["type"] == "BPE"
+        and not (description["truncation"] or description["padding"])
+    )
+
+
 @lru_cache(maxsize=2)
 def _opened(path: str):
     from tokenizers import Tokenizer
@@ -156,11 +197,11 @@ def _opened(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         return tokenizer, None, None
-    return tokenizer, WordEncoder(tokenizer, description), Pools([np.uint32])
+    return tokenizer, PieceEncoder(tokenizer, description, _PLAIN_WORDWISE, True), Pools([np.uint32])
 
 
-def _word_ids(texts: pa.Array, encoder: WordEncoder, pools: Pools) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, _, data, offsets in chunks(texts):
+def _word_ids(texts: pa.Array, encoder: PieceEncoder, pools: Pools) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for _, _, data, offsets in chunks(texts, TEXT):
         starts, ends, at = cut(data, offsets)
         if not len(starts):
             yield np.zeros(len(offsets) - 1, np.int64), np.empty(0, np.uint32)
@@ -170,10 +211,7 @@ def _word_ids(texts: pa.Array, encoder: WordEncoder, pools: Pools) -> Iterator[t
         new = pools.missing(distinct)
         places = first[new]
         words = [data[a:b].tobytes().decode() for a, b in zip(starts[places].tolist(), ends[places].tolist())]
-        found = encoder(words)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        values = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        pools.add(distinct[new], [(lengths, values)])
+        pools.add(distinct[new], [flat(encoder(words))])
         ranks = pools.ranks(distinct)[which]
         yield split(pools.counts(0, ranks), at), pools.take(0, ranks)
 
@@ -190,7 +228,7 @@ def encoded(path: str) -> Callable[[pa.Array], Iterator[tuple[np.ndarray, np.nda
         if encoder is not None:
             yield from _word_ids(texts, encoder, pools)
             return
-        for _, _, data, offsets in chunks(texts):
+        for _, _, data, offsets in chunks(texts, TEXT):
             whole = data.tobytes()
             cuts = offsets.tolist()
             found = tokenizer.encode_batch_fast(
@@ -200,3 +238,21 @@ def encoded(path: str) -> Callable[[pa.Array], Iterator[tuple[np.ndarray, np.nda
             yield np.array([len(i) for i in ids], np.int64), np.concatenate(ids) if ids else np.empty(0, np.uint32)
 
     return run
+
+
+def id_kind(path: str, *others: int) -> str:
+    """The integers, little-endian, that hold every id of a tokenizer and the others given."""
+    largest = max(_opened(path)[0].get_vocab_size(with_added_tokens=True) - 1, *others)
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
+def byte_encoder(path: str) -> PieceEncoder:
+    """The encoder of a byte-level tokenizer file, to which special tokens in a text are ordinary text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    description = json.loads(tokenizer.to_str())
+    if not bytewise(description):
+        raise ValueError(f"{path} is no byte-level tokenizer")
+    tokenizer.encode_special_tokens = True
+    return PieceEncoder(tokenizer, description | {"added_tokens": []}, _PLAIN_BYTEWISE, False)

@@ -34,7 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into them) of parts of a column; nulls are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     rows = len(texts)
@@ -45,7 +45,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     first = 0
     while first < rows:
-        end = int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         end = min(rows, max(end, first + 1))
         at = offsets[first : end + 1]
         yield first, end, data[at[0] : at[-1]], at - at[0]

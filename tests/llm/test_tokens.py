@@ -14,7 +14,6 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from bequest.llm import token_files
-from bequest.llm.common import kept
 from bequest.llm.token_files import EliasFano, TokenFile, read_document, read_token_files, token_ids, write_token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,16 +57,16 @@ def token_truth(rows):
 
 
 @pytest.fixture
-def shares(monkeypatch):
-    def small(df, folder):
-        write_token_files(df, folder, file_ids=900, file_docs=40)
+def shares():
+    def small(docs, folder):
+        write_token_files(docs, WORD_BPE, 2, folder, file_ids=900, file_docs=40)
 
     return small
 
 
 def test_files_of_a_corpus(spark, tmp_path, shares):
     rows = corpus(4) + [(100_000 + i, t) for i, t in enumerate(ODD)]
-    shares(kept(token_ids(frame(spark, rows), WORD_BPE, 2), "ids"), str(tmp_path / "t"))
+    shares(frame(spark, rows), str(tmp_path / "t"))
     read = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in read_token_files(spark, str(tmp_path / "t")).collect()}
     truth = token_truth(rows)
     assert read == truth
@@ -85,7 +84,7 @@ def test_files_of_a_corpus(spark, tmp_path, shares):
 def test_null_and_repeated_ids(spark, tmp_path, shares):
     rnd = random.Random(5)
     rows = [(rnd.choice([None, 7, -3, i]), sentence(rnd, rnd.randrange(40))) for i in range(300)]
-    shares(kept(token_ids(frame(spark, rows), WORD_BPE, 2), "ids"), str(tmp_path / "t"))
+    shares(frame(spark, rows), str(tmp_path / "t"))
     read = read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
     assert [r.doc_id for r in read] == sorted((i for i, _ in rows), key=lambda i: (i is None, i or 0))
     begins = np.cumsum([0] + [r.n_tokens for r in read])
@@ -96,12 +95,12 @@ def test_null_and_repeated_ids(spark, tmp_path, shares):
 
 
 def test_no_documents(spark, tmp_path, shares):
-    shares(kept(token_ids(frame(spark, [(1, "x")]).limit(0), WORD_BPE, 2), "ids"), str(tmp_path / "t"))
+    shares(frame(spark, [(1, "x")]).limit(0), str(tmp_path / "t"))
     assert read_token_files(spark, str(tmp_path / "t")).count() == 0
 
 
 def test_wide_ids_take_four_bytes():
-    data = TokenFile.packed(1, 2, [5, 9, None], np.array([2, 0, 1]), np.array([70_000, 1, 3], np.uint32))
+    data = TokenFile.packed(1, 2, [5, 9, None], np.array([2, 0, 1]), np.array([70_000, 1, 3], "<u4"))
     file = TokenFile.read(data + b"\n")
     assert [file.doc_id(i) for i in range(3)] == [5, 9, None]
     assert [file.document(i).tolist() for i in range(3)] == [[70_000, 1], [], [3]]
@@ -110,6 +109,15 @@ def test_wide_ids_take_four_bytes():
 def test_other_tokenizers_encode_whole_texts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = list(enumerate(ODD))
-    found = {r.doc_id: np.frombuffer(r.tokens, "<u4").tolist() for r in token_ids(frame(spark, rows), path, 9).collect()}
+    found = {r.doc_id: np.frombuffer(r.tokens, "<u2").tolist() for r in token_ids(frame(spark, rows), path, 9).collect()}
     tokenizer = Tokenizer.from_file(path)
     assert found == {i: tokenizer.encode(t, add_special_tokens=False).ids + [9] for i, t in rows}
+
+
+def test_a_row_repeated_without_end(spark, tmp_path, shares):
+    rows = [(5, "same words again")] * 400 + [(i, f"word {i}") for i in range(100)]
+    shares(frame(spark, rows), str(tmp_path / "t"))
+    read = read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r.doc_id for r in read] == sorted(i for i, _ in rows)
+    parts = token_files.token_index(spark, str(tmp_path / "t")).groupBy("part").sum("n_docs").collect()
+    assert max(r[1] for r in parts) < 250
