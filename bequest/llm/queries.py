@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bequest.session import fresh_folder
 
 from . import pii
+from .alignment import alignment
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
@@ -79,6 +80,13 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment(table(spark, sf_dir, "documents"), a, b)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turn_digests(table(spark, sf_dir, "conversations"))
     return prefix_trie(paths(shared_starts(turns)))
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_ngram_jaccard_join,
         op10_exact_dedup,
         op11_token_files,
+        op12_tokenizer_alignment,
         op13_prefix_trie,
     )
 }

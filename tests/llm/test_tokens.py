@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from bequest.llm import token_files
+from bequest.llm.alignment import Csr, Tokenizers, alignment, group_links, overlap_links, product
 from bequest.llm.token_files import EliasFano, TokenFile, read_document, read_token_files, token_ids, write_token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -121,3 +124,135 @@ def test_a_row_repeated_without_end(spark, tmp_path, shares):
     assert [r.doc_id for r in read] == sorted(i for i, _ in rows)
     parts = token_files.token_index(spark, str(tmp_path / "t")).groupBy("part").sum("n_docs").collect()
     assert max(r[1] for r in parts) < 250
+
+
+BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+STRANGE = ODD + [
+    "  two  spaces\n\n lines \n end  ",
+    " ",
+    "\n",
+    "\nfirst",
+    "a\u2581b is lost",
+    "\u2581",
+    "x\u00a0 y\u00a0z\t q \t\n r\u3000 s\x1c t\x85 u\ufeff v\u200b w",
+    "it's 'llama'll we'd 12 345.67 a_b __c",
+    "<s> </s><unk> <0x0A> <|endoftext|>",
+    "日本 語\n日本語 \U0001f469\u200d\U0001f467 x",
+]
+
+
+@pytest.fixture(scope="module")
+def known():
+    return Tokenizers(BYTE_BPE, PIECES)
+
+
+def whole(text, known):
+    """Ids of both tokenizers by their libraries on the whole text."""
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    tokenizer.encode_special_tokens = True
+    a = tokenizer.encode(" " + text, add_special_tokens=False).ids
+    b = known.model.encode(text, num_threads=1)
+    lost = not text or any(
+        b"".join(v[i] for i in ids) != (" " + text).encode() for v, ids in ((known.a_bytes, a), (known.b_bytes, b))
+    )
+    return ([], []) if lost else (a, b)
+
+
+def spans(ids, vocabulary):
+    ends = np.cumsum([len(vocabulary[i]) for i in ids]).tolist()
+    return list(zip([0] + ends, ends))
+
+
+def alignment_truth(rows, known):
+    tokens = [(i, *whole(t or "", known)) for i, t in rows]
+    linked = []
+    for _, a, b in tokens:
+        ends = {e: n for n, (_, e) in enumerate(spans(b, known.b_bytes))}
+        linked.append([(n, ends[e]) for n, (_, e) in enumerate(spans(a, known.a_bytes)) if e in ends])
+    counts = Counter((a[x], b[y]) for (_, a, b), links in zip(tokens, linked) for x, y in links)
+    highest = defaultdict(int)
+    for (_, b), n in counts.items():
+        highest[b] = max(highest[b], n)
+    out = []
+    for (i, a, b), links in zip(tokens, linked):
+        groups, x0, y0 = [], 0, 0
+        for x, y in links:
+            groups.append(",".join(map(str, a[x0 : x + 1])) + "|" + ",".join(map(str, b[y0 : y + 1])))
+            x0, y0 = x + 1, y + 1
+        seen = [counts[a[x], b[y]] for x, y in links]
+        best = sum(n == highest[b[y]] for n, (_, y) in zip(seen, links))
+        sha = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+        out.append((i, len(a), len(b), len(groups), len(links), best, sum(seen), sha))
+    return sorted(out, key=str)
+
+
+def test_alignment(spark, known):
+    rows = corpus(6) + [(100_000 + i, t) for i, t in enumerate(STRANGE)] + [(None, "no id"), (7, "twice"), (7, "twice")]
+    found = alignment(frame(spark, rows), BYTE_BPE, PIECES)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == alignment_truth(rows, known)
+    assert alignment(frame(spark, [(1, "x")]).limit(0), BYTE_BPE, PIECES).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("aB é\n \t'.1_\u00a0\u2581\u3000\u200b\x1c漢\U0001f600s"), max_size=40))
+def test_units_are_encoded_as_in_the_text(known, text):
+    import pyarrow as pa
+
+    from bequest.llm.alignment import _tokens
+
+    ((_, a, n_a, b, n_b),) = _tokens(pa.array(["x", text, "y z"]), known)
+    one, two = whole(text, known)
+    assert a[n_a[0] : n_a[0] + n_a[1]].tolist() == one
+    assert b[n_b[0] : n_b[0] + n_b[1]].tolist() == two
+
+
+def test_links(spark, known):
+    rows = [(1, "straße naïvely\n tokenized — 日本語"), (2, None), (3, "unbelievable"), (None, "a b")]
+    docs = frame(spark, rows)
+    overlaps, shared = set(), set()
+    for i, t in rows:
+        a, b = whole(t or "", known)
+        group = lambda end, cuts: sum(c < end for c in cuts)
+        one, two = spans(a, known.a_bytes), spans(b, known.b_bytes)
+        cuts = {e for _, e in one} & {e for _, e in two}
+        for x, (s, e) in enumerate(one):
+            for y, (u, v) in enumerate(two):
+                both = min(e, v) - max(s, u)
+                if both > 0:
+                    overlaps.add((i, x, y, a[x], b[y], both, e == v))
+                if group(e, cuts) == group(v, cuts):
+                    shared.add((i, x, y, a[x], b[y], None, e == v))
+    assert {tuple(r) for r in overlap_links(docs, BYTE_BPE, PIECES).collect()} == overlaps
+    assert {tuple(r) for r in group_links(docs, BYTE_BPE, PIECES).collect()} == shared
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_product_of_sparse_matrices(seed, monkeypatch):
+    monkeypatch.setattr("bequest.llm.alignment.BLOCK", 7)
+    rnd = np.random.default_rng(seed)
+    dense = [rnd.integers(0, 3, shape) * (rnd.random(shape) < 0.4) for shape in ((9, 12), (12, 8))]
+    sparse = []
+    for m in dense:
+        row, column = np.nonzero(m)
+        indptr = np.r_[0, np.cumsum(np.bincount(row, minlength=len(m)))]
+        sparse.append(Csr(indptr, column, m[row, column], m.shape[1]))
+    got = np.zeros((9, 8), np.int64)
+    row, column, value = product(*sparse)
+    assert len(set(zip(row.tolist(), column.tolist()))) == len(row)
+    got[row, column] = value
+    assert (got == dense[0] @ dense[1]).all()
+    back = sparse[0].transposed()
+    assert (back.rows() == np.repeat(np.arange(12), np.diff(back.indptr))).all()
+    flipped = np.zeros((12, 9), np.int64)
+    flipped[back.rows(), back.indices] = back.values
+    assert (flipped == dense[0].T).all()
+
+
+def test_every_linked_pair_is_among_those_that_can_end_together(known):
+    pairs, width = set(known.pairs().tolist()), len(known.b_bytes)
+    assert len(pairs) < 1_000_000
+    rnd = random.Random(2)
+    for _ in range(40):
+        a, b = whole(sentence(rnd, 30) + rnd.choice(STRANGE), known)
+        ends = {e: i for i, (_, e) in zip(b, spans(b, known.b_bytes))}
+        assert all(i * width + ends[e] in pairs for i, (_, e) in zip(a, spans(a, known.a_bytes)) if e in ends)
