@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,31 +41,58 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     return near.orderBy(F.pmod(F.xxhash64(key), F.lit(wide)), key).limit(most)
 
 
+#: Edges whose components a task finds at once, and pairs it hands on in a round.
+EDGES = 1 << 19
+PAIRS = 1 << 16
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a task's edges with the smallest one that these edges connect it to."""
+    up: dict[int, int] = {}
+    edges = 0
+
+    def root(node: int) -> int:
+        while (above := up.setdefault(node, node)) != node:
+            up[node] = node = up[above]
+        return node
+
+    def found() -> pa.RecordBatch:
+        nodes = [(n, r) for n in list(up) if (r := root(n)) != n]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in nodes], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        edges += batch.num_rows
+        if edges >= EDGES:
+            edges = 0
+            yield found()
+    yield found()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b): a row (node, component) for every node.
 
-    component is the smallest node of the component.  Alternates two steps until nothing changes:
-    every node hands its larger neighbours to its smallest neighbour, then its smaller ones.  The
-    number of edges never grows; each round is written to the shared folder.
+    component is the smallest node of the component.  Tasks first replace their own edges by stars.  Then
+    rounds until every node hangs on a root: a node hangs on the smallest node it is paired with, its other
+    pairs become pairs of that one, and it moves up to what its smallest hangs on.  The number of pairs never
+    grows; each round is written to the shared folder, in few files where it is small.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = kept(pairs.filter("a <> b").distinct(), f"{name}-edges")
-    before = None
+    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    pairs = kept(pairs.mapInArrow(_stars, "a long, b long"), f"{name}-edges")
     while True:
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        few = -(-pairs.count() // PAIRS) or 1
+        lows = pairs.groupBy("a").agg(F.min("b").alias("m"), (F.max("b") > F.min("b")).alias("several"))
+        tops = lows.select(F.col("a").alias("m"), F.col("m").alias("top"))
+        hung = kept(lows.join(tops, "m", "left").coalesce(few), f"{name}-hung")
+        if not hung.filter("several or top is not null").limit(1).count():
             break
-        before = now
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = kept(large.distinct(), f"{name}-large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(
-            least.select("a", F.col("m").alias("b"))
-        )
-        pairs = kept(small.distinct(), f"{name}-small")
-    nodes = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    roots = pairs.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return nodes.unionByName(roots)
+        up = hung.select("a", F.coalesce("top", "m").alias("b"))
+        other = pairs.join(hung.filter("several").select("a", "m"), "a").filter("b <> m")
+        other = other.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).distinct()
+        pairs = kept(up.unionByName(other).coalesce(few), f"{name}-pairs")
+    nodes = hung.select(F.col("a").alias("node"), F.col("m").alias("component"))
+    return nodes.unionByName(hung.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())

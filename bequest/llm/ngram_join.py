@@ -44,12 +44,16 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield row, np.empty(0, np.uint64)
 
 
+#: A filled bucket of a slice of the sketch.
+_FILLED = np.dtype([("bucket", "<u2"), ("n", "<i8")])
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            now = np.frombuffer(counts, np.int64)
-            total[part] = total[part] + now if part in total else now
+            now = np.frombuffer(counts, _FILLED)
+            total.setdefault(part, np.zeros(_SLICE, np.int64))[now["bucket"]] += now["n"]
     if total:
         yield pa.RecordBatch.from_pydict(
             {
@@ -61,7 +65,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _levels(parts: DataFrame) -> np.ndarray:
     """How far each bucket's count lies above the mean, in powers of two; 0 for most."""
-    parts = parts.repartition(SKETCH // _SLICE, "slice").mapInArrow(_summed, "slice int, counts binary")
+    slices = SKETCH // _SLICE
+    parts = parts.repartition(slices, "slice").coalesce(slices).mapInArrow(_summed, "slice int, counts binary")
     counts = np.zeros(SKETCH, np.int64)
     for part, blob in parts.collect():  # SKETCH numbers
         counts[part * _SLICE : (part + 1) * _SLICE] += np.frombuffer(blob, np.int64)
@@ -113,9 +118,13 @@ def _signed(k: int) -> Callable:
                 nothing = {"slice": [None] * len(found), "counts": [None] * len(found)}
                 yield pa.RecordBatch.from_pydict(out | nothing, _SIGNED_ARROW)
         if counts.any():
-            parts = counts.reshape(-1, _SLICE)
+            filled = np.flatnonzero(counts)
+            cells = np.empty(len(filled), _FILLED)
+            cells["bucket"], cells["n"] = filled % _SLICE, counts[filled]
+            cuts = np.searchsorted(filled, np.arange(0, SKETCH + 1, _SLICE))
+            parts = [(i, cells[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
             out = {name: [None] * len(parts) for name in _SIGNED_ARROW.names}
-            out |= {"slice": range(len(parts)), "counts": [p.tobytes() for p in parts]}
+            out |= {"slice": [i for i, _ in parts], "counts": [c for _, c in parts]}
             yield pa.RecordBatch.from_pydict(out, _SIGNED_ARROW)
 
     return run
@@ -124,21 +133,24 @@ def _signed(k: int) -> Callable:
 def _in_order(k: int, num: int, den: int, levels) -> Callable:
     """The first members of every set: all that are counted, and a prefix's length at least.
 
-    The global order: buckets of the sketch near the mean first, then by hash.
+    A set that repeats under one id is told once by each task.  The global order: buckets of the sketch near the mean first, then by hash.
     """
     below = np.uint64(int(min(1.0, COUNTED * (den - num) / den) * (1 << 58)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column("id").to_pylist()
             out: list[tuple] = []
             for row, hashed in _sets(batch.column("text"), k):
-                if len(hashed):
+                key = (ids[row], _set_hash(hashed, 0))
+                if len(hashed) and key not in seen:
+                    seen.add(key)
                     level = levels.value[(hashed % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
                     order = np.sort((level << _LEVEL) | (mixed(hashed) & _LOW))
                     counted = int(np.searchsorted(order, below))
                     first = order[: max(counted, _prefix_length(len(order), num, den))]
-                    out.append((ids[row], _set_hash(hashed, 0), counted, first.view(np.int64)))
+                    out.append((*key, counted, first.view(np.int64)))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
@@ -321,12 +333,24 @@ def _placed(clusters: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _members(k: int) -> Callable:
+    """The sets of the members of clusters; one that repeats under one id is told once by each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            sets = [hashed.view(np.int64) for _, hashed in _sets(batch.column("text"), k)]
+            rows, ones, sets = [], [], []
+            places = list(zip(batch.column("id").to_pylist(), batch.column("block").to_pylist()))
+            for row, hashed in _sets(batch.column("text"), k):
+                one = _set_hash(hashed, 0)
+                if (*places[row], one) not in seen:
+                    seen.add((*places[row], one))
+                    rows.append(row)
+                    ones.append(one)
+                    sets.append(hashed.view(np.int64))
+            batch = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in _PLACE), pa.array(sets, pa.list_(pa.int64()))],
-                [*_PLACE, "shingles"],
+                [*(batch.column(c) for c in _PLACE), pa.array(ones, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                [*_PLACE, "one", "shingles"],
             )
 
     return run
@@ -407,7 +431,7 @@ def jaccard_components(
     included).  Null texts are empty; a null id links with nothing.  Other columns are not read.
     Shingles are told apart by 58 bits of a hash.
 
-    Equal sets are one class, and classes with equal size and equal prefix (the first members in a
+    Equal sets are one class, rows that repeat an id with its set are one row, and classes with equal size and equal prefix (the first members in a
     global order, rare first) are one group.  A class whose whole prefix no other class holds drops
     out.  Groups that share a prefix member and have fitting sizes and bitmaps are candidates; the
     members of connected candidates are compared in full.  Long posting lists and large clusters
@@ -431,9 +455,12 @@ def jaccard_components(
         read.filter("id is not null")
         .mapInArrow(_in_order(k, num, den, levels), "id long, one long, counted int, members array<long>")
         .join(classes.select(F.col("rep").alias("id"), "one", "n"), ["id", "one"])
-        .select("id", "n", "counted", "members"),
+        .select("id", "one", "n", "counted", "members"),
         "first-members",
     )
+    repeats = first.count() > classes.count()  # several tasks told a set that repeats under its id
+    if repeats:
+        first = kept(first.dropDuplicates(["id", "one"]), "first-members")
     counted = first.select("id", F.explode(F.slice("members", F.lit(1), F.col("counted"))).alias("token"))
     shared = (
         counted.repartition("token")
@@ -446,7 +473,7 @@ def jaccard_components(
     wanted = F.expr(f"n - int((n * {num} + {den - 1}) div {den}) + 1 - (counted - size(shared))")
     nothing = F.array().cast("array<long>")
     rest = F.slice("members", F.col("counted") + 1, F.greatest(F.size("members") - F.col("counted"), F.lit(0)))
-    prefixes = first.withColumn("rest", rest).drop("members").join(shared, "id", "left")
+    prefixes = first.withColumn("rest", rest).drop("members", "one").join(shared, "id", "left")
     prefixes = prefixes.withColumn("shared", F.coalesce("shared", nothing)).withColumn("wanted", wanted)
     prefixes = prefixes.filter("wanted > 0").select(
         "id", "n", F.slice(F.concat("shared", "rest"), F.lit(1), F.col("wanted")).alias("prefix")
@@ -491,11 +518,12 @@ def jaccard_components(
     within = within.select(F.col("id").alias("a"), F.col("gid").alias("b"))
     clusters = kept(components(near.unionByName(within), "candidates"), "clusters")
 
-    compared = _block_pairs(
+    sets = (
         read.join(_placed(clusters, classes), "id")
         .select(*_PLACE, "text")
-        .mapInArrow(_members(k), "cluster long, id long, block int, last int, shingles array<long>")
+        .mapInArrow(_members(k), "cluster long, id long, block int, last int, one long, shingles array<long>")
     )
+    compared = _block_pairs((sets.dropDuplicates([*_PLACE, "one"]) if repeats else sets).drop("one"))
     links = (
         compared.repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j")
