@@ -103,15 +103,6 @@ def _set_status(wills: DataFrame, moved: DataFrame, status: str, as_of: Column)
     )
 
 
-def _place(requests: DataFrame, *key: str) -> Column:
-    """Total order of the requests of one key: by seq, then by what they ask for.
-
-    The row number `__id` tells only true copies apart, of which it does not matter which is first.
-    """
-    rest = [c for c in sorted(requests.columns) if c not in ("seq", *key)]
-    return F.struct("seq", *rest, "__id")
-
-
 # --- wills -----------------------------------------------------------------------------------
 
 
@@ -123,7 +114,7 @@ def approve_wills(requests: DataFrame, tables: Tables, as_of: Column, actor: str
     checked = written(
         checked.withColumn("__id", F.monotonically_increasing_id()), "approvals"
     )
-    place = _place(requests, "will_id")
+    place = rules.request_place(requests, "will_id")
     passing = checked.where(F.col("reject_code").isNull())
     first = passing.groupBy("will_id").agg(F.min(place).alias("__first"))
     late = F.col("reject_code").isNull() & (place > F.col("__first"))

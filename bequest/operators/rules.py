@@ -21,6 +21,7 @@ from bequest.operators.joins import (
     with_flag,
 )
 from bequest.plans.allocations import allocated
+from bequest.session import written
 from bequest.sources.tables import literal_rows
 
 
@@ -349,10 +350,25 @@ def check_status_moves(moves: DataFrame) -> DataFrame:
     return _checked(moves, *status_checks(F.col("old_status"), F.col("new_status")))
 
 
+def request_place(requests: DataFrame, *key: str) -> Column:
+    """Total order of the requests of one key: by seq, then by what they ask for.
+
+    The row number `__id` tells only true copies apart, of which it does not matter which is first.
+    """
+    rest = [c for c in sorted(requests.columns) if c not in ("seq", "__id", *key)]
+    return F.struct("seq", *rest, "__id")
+
+
 def check_deletions(
     requests: DataFrame, wills: DataFrame, enforce_protection: bool = True
 ) -> DataFrame:
-    """Delete requests in seq order: once a will's request passes, later ones find no will."""
+    """Delete requests in order: once a will's request passes, later ones find no will.
+
+    Their order is that of seq, then of what they ask for; of true copies one is first.
+    """
+    # The written numbers tell copies of a request apart; once written they do not change.
+    place = request_place(requests, "will_id")
+    requests = written(requests.withColumn("__id", F.monotonically_increasing_id()), "delete-requests")
 
     def judge(keys: DataFrame) -> DataFrame:
         status = wills.select(
@@ -366,13 +382,13 @@ def check_deletions(
         requests,
         ["will_id"],
         judge,
-        F.min("seq").alias("__any"),
-        F.min(F.when(forced & confirmed, F.col("seq"))).alias("__forced"),
+        F.min(place).alias("__any"),
+        F.min(F.when(forced & confirmed, place)).alias("__forced"),
     )
     not_draft = F.col("__status") != "Draft"
     protected = F.lit(enforce_protection) & F.col("__status").isin(*M.PROTECTED_STATUSES)
     passed = F.when(~not_draft, F.col("__any")).when(~protected, F.col("__forced"))
-    gone = _is_false("__will") | F.coalesce(F.col("seq") > passed, F.lit(False))
+    gone = _is_false("__will") | F.coalesce(place > passed, F.lit(False))
     return _checked(
         facts,
         (F.col("will_id").isNull(), -26000, "will id is missing"),
@@ -384,7 +400,7 @@ def check_deletions(
         ),
         (not_draft & forced & ~confirmed, -26004, "confirmation text is missing"),
         (protected, -20031, "will is protected"),
-    ).drop("__will", "__status", "__any", "__forced")
+    ).drop("__will", "__status", "__any", "__forced", "__id")
 
 
 # --- executors -------------------------------------------------------------------------------

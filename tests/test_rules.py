@@ -314,6 +314,30 @@ def test_deletions(spark, estate):
     assert codes(free, "seq") == expected | {6: None, 7: -26001}
 
 
+def test_deletions_of_equal_seq(spark, estate):
+    """One of the requests for a will passes, the first by what they ask for; of true copies any one."""
+    schema = "seq long, will_id long, force boolean, confirm_text string"
+    data = [
+        (5, 1, False, None), (5, 1, True, "DELETE-CONFIRM"),
+        (3, 4, True, None), (3, 4, True, None), (3, 4, True, None),
+        (None, 5, False, None), (None, 5, False, None), (7, 5, False, None),
+        (9, 2, True, "DELETE-CONFIRM"), (9, 2, True, "DELETE-CONFIRM"), (9, 2, False, "DELETE-CONFIRM"),
+    ]
+    for parts in (1, 4):
+        batch = rows(spark, schema, *data).repartition(parts)
+        found = rules.check_deletions(batch, estate["wills"], enforce_protection=False).collect()
+        seen = sorted(((r.will_id, r.seq, r.force, r.reject_code) for r in found), key=str)
+        assert seen == sorted(
+            [
+                (1, 5, False, None), (1, 5, True, -26001),
+                (4, 3, True, None), (4, 3, True, -26001), (4, 3, True, -26001),
+                (5, None, False, None), (5, None, False, -26001), (5, 7, False, -26001),
+                (2, 9, False, -26002), (2, 9, True, None), (2, 9, True, -26001),
+            ],
+            key=str,
+        )
+
+
 def test_profile(spark, estate):
     checked = rules.check_profile(estate["users"], dates.moment(AS_OF))
     # 4 turns 18 a day later; 5 has a bad phone; 6 has no e-mail.
