@@ -1494,3 +1494,13 @@ oracle(
        union all select 'total_assets', (select count(*) from e_assets)
        union all select 'total_transfers', (select count(*) from e_transfers)""",
 )
+oracle(
+    "t06_live_system_totals",
+    f"""select name, total, {dbl('amount')} from (
+          select 'total_users' as name, (select count(*) from e_users) as total, 0 as amount
+          union all select 'total_wills', (select count(*) from e_wills), 0
+          union all select 'total_assets', (select count(*) from e_assets), (select coalesce(sum(value), 0) from e_assets)
+          union all select 'total_beneficiaries', (select count(*) from e_beneficiaries), 0
+          union all select 'total_executors', (select count(*) from e_executors), 0
+          union all select 'total_transfers', (select count(*) from e_transfers), 0)""",
+)

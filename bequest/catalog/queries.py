@@ -959,34 +959,44 @@ def _(t):
 def _(t):
     out, checkpoint = _folders(t.spark, "repeats")
     requests = _Stream(t.spark, t.folder, "lineitem").requests
-    done = t.transfers.where(F.col("transfer_status") == "Completed")
+    completed = t.transfers.where(F.col("transfer_status") == "Completed").select(*jobs.PAIR)
+    arrived = fresh_folder(t.spark, "completions")
+    completed.write.parquet(arrived)
+    done = t.spark.readStream.schema(completed.schema).parquet(arrived)
     jobs.start_repeat_filter(requests, done, out, checkpoint).awaitTermination()
-    return t.spark.read.parquet(out)
+    return t.spark.read.parquet(out).drop("batch")
 
 
-@query("t06_live_totals")
-def _(t):
+def _live(t: Testbed, **figures: jobs.Figure) -> DataFrame:
+    out, checkpoint = _folders(t.spark, "totals")
+    jobs.start_live_totals(figures, out, checkpoint).awaitTermination()
+    return published(t.spark, f"{out}/total")
+
+
+def _live_figures(t: Testbed) -> dict[str, jobs.Figure]:
     line = ["l_orderkey", "l_linenumber"]
     lines = _streamed(t, "lineitem")
     orders = t.table("orders").where(F.col("o_orderstatus") != "O")
-    moved = lines.join(
-        orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi"
-    )
-    started = []
-    totals = None
-    for name, start in (
-        ("total_users", lambda *to: jobs.start_count(_streamed(t, "customer"), *to)),
-        ("total_wills", lambda *to: jobs.start_count(_streamed(t, "orders"), *to)),
-        ("total_assets", lambda *to: jobs.start_total(lines, line, *to)),
-        ("total_transfers", lambda *to: jobs.start_total(moved, line + ["l_suppkey"], *to)),
-    ):
-        out, checkpoint = _folders(t.spark, name)
-        started.append((name, out, start(out, checkpoint)))
-    for _name, _out, running in started:
-        running.awaitTermination()
-    for name, out, _running in started:
-        total = published(t.spark, f"{out}/total").select(
-            F.lit(name).alias("name"), F.col("total")
-        )
-        totals = total if totals is None else totals.unionByName(total)
-    return totals
+    moved = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return {
+        "total_users": jobs.Figure(_streamed(t, "customer")),
+        "total_wills": jobs.Figure(_streamed(t, "orders")),
+        "total_assets": jobs.Figure(lines, line, F.col("l_extendedprice").cast(M.MONEY)),
+        "total_transfers": jobs.Figure(moved, line + ["l_suppkey"]),
+    }
+
+
+@query("t06_live_totals")
+def _(t):
+    return _live(t, **_live_figures(t)).select("name", "total")
+
+
+@query("t06_live_system_totals")
+def _(t):
+    executors = _streamed(t, "orders").select((F.col("o_orderkey") % 4).alias("many"))
+    more = {
+        "total_beneficiaries": jobs.Figure(_streamed(t, "supplier")),
+        "total_executors": jobs.Figure(executors, change=F.col("many")),
+    }
+    found = _live(t, **_live_figures(t), **more)
+    return found.select("name", "total", F.col("amount").cast("double").alias("amount"))

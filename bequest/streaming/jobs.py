@@ -7,16 +7,20 @@ operators as the batch transitions, so a hot key is split within a micro-batch t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bequest.operators import rules
-from bequest.operators.joins import matching, missing
+from bequest.operators.joins import matching
 from bequest.operators.moves import accept_in_order, status_history
-from bequest.sources.tables import file_status, schema_of
-from bequest.streaming.state import BucketState, SlotState, publish, write_batch
-
+from bequest.sources.tables import file_status, literal_rows, schema_of
+from bequest.streaming.state import KEEP, KeyedState, SlotState, publish, write_batch
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,9 +41,16 @@ def stream_table(
     return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def _keep_state_on_disk(spark: SparkSession) -> None:
-    """Keys that have to be known for good stay out of the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep the keys they know in RocksDB, out of the heap; others are as before."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKS_DB)
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
 
 
 def _trigger(writer, every: str | None):
@@ -111,7 +122,7 @@ def start_status_machine(
     Within a micro-batch changes are put in seq order; a change that arrives with an older
     batch's seq is judged against the status known by then.
     """
-    state = BucketState(f"{out}/state", "will_id long, status string", "will_id")
+    state = KeyedState(f"{out}/state", "will_id long, status string", "will_id")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         changed = batch.persist()
@@ -119,8 +130,7 @@ def start_status_machine(
         result = status_history(changed, actor, before)
         write_batch(result["history"], f"{out}/history", batch_id)
         write_batch(result["rejected"], f"{out}/rejected", batch_id)
-        untouched = missing(before, changed, "will_id")
-        state.after(untouched.unionByName(result["state"]), batch_id)
+        state.after(result["state"], batch_id)
         changed.unpersist()
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -138,7 +148,7 @@ def start_share_guard(
     every: str | None = None,
 ) -> StreamingQuery:
     """Accept share requests while their asset stays within 100 %; accepted cents are kept."""
-    state = BucketState(f"{out}/state", "asset_id long, cents long", "asset_id")
+    state = KeyedState(f"{out}/state", "asset_id long, cents long", "asset_id")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -171,17 +181,27 @@ def start_share_guard(
     return _trigger(writer, every).start()
 
 
-def fresh_transfers(requests: DataFrame, completed: DataFrame) -> DataFrame:
-    """Requested (asset, beneficiary) pairs, each once and none that is completed already.
+PAIR = ["asset_id", "beneficiary_id"]
+
 
-    A pair is remembered for good, so it makes no difference how rows are cut into batches or in
-    which order their dates come.
+def first_requests(requests: DataFrame, completed: DataFrame) -> DataFrame:
+    """Streams of requested and of completed (asset, beneficiary) pairs as one row per pair and micro-batch.
+
+    asked_at, done_at: when the pair was first asked for and first completed; latest: this micro-batch.  A
+    pair is remembered for good.  Rows of a pair are taken together before they are shuffled, so one that is
+    asked for without end costs no more than others.
     """
-    pair = ["asset_id", "beneficiary_id"]
+    asked = requests.select(*PAIR, F.lit(False).alias("done"))
+    rows = asked.unionByName(completed.select(*PAIR, F.lit(True).alias("done")))
+    # In a stream this is the time of the micro-batch, the same for all its rows and when it runs again.
     return (
-        requests.select(*pair)
-        .dropDuplicates(pair)
-        .join(completed.select(*pair), pair, "left_anti")
+        rows.withColumn("at", F.current_timestamp())
+        .groupBy(*PAIR)
+        .agg(
+            F.min(F.when(~F.col("done"), F.col("at"))).alias("asked_at"),
+            F.min(F.when(F.col("done"), F.col("at"))).alias("done_at"),
+            F.max("at").alias("latest"),
+        )
     )
 
 
@@ -192,14 +212,86 @@ def start_repeat_filter(
     checkpoint: str,
     every: str | None = None,
 ) -> StreamingQuery:
-    _keep_state_on_disk(requests.sparkSession)
-    writer = (
-        fresh_transfers(requests, completed)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-    )
-    return _trigger(writer, every).start()
+    """Requested (asset, beneficiary) pairs, each once and none whose transfer is completed.
+
+    `completed` is a table of what is completed at the start, or a stream of completions: a pair counts as
+    completed from the micro-batch on in which its completion comes.  How rows of a micro-batch are ordered
+    makes no difference.
+    """
+    if completed.isStreaming:
+        seen = first_requests(requests, completed)
+    else:
+        known = completed.select(*PAIR)
+        open_ = requests.select(*PAIR).join(known, PAIR, "left_anti")
+        seen = first_requests(open_, open_.where(F.lit(False)))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.where(F.col("done_at").isNull() & (F.col("asked_at") == F.col("latest")))
+        write_batch(fresh.select(*PAIR), out, batch_id)
+
+    with _state_on_disk(requests.sparkSession):
+        writer = seen.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint)
+        return _trigger(writer, every).start()
+
+
+class Figure(NamedTuple):
+    """A live figure: changes of a table as a stream, and what they change.
+
+    A row adds `change` (a number, -1 for a row that goes) to the table's rows and `amount` to its amount.
+    With `keys`, rows that repeat a key add nothing to the number of rows; the keys are remembered.
+    """
+
+    rows: DataFrame
+    keys: list[str] | None = None
+    amount: Column | None = None
+    change: Column | None = None
+
+
+LIVE_AMOUNT = "decimal(38,2)"
+
+
+def live_changes(figures: dict[str, Figure]) -> DataFrame:
+    """(name, total, amount): what each row of the streams adds to the figures."""
+    none = F.lit(0).cast(LIVE_AMOUNT)
+    parts = []
+    for name, figure in figures.items():
+        amount = none if figure.amount is None else F.coalesce(figure.amount.cast(LIVE_AMOUNT), none)
+        change = F.lit(1) if figure.change is None else figure.change
+        label = F.lit(name).alias("name")
+        one = change.cast("long").alias("total")
+        if figure.keys is None:
+            parts.append(figure.rows.select(label, one, amount.alias("amount")))
+            continue
+        parts.append(figure.rows.dropDuplicates(figure.keys).select(label, one, none.alias("amount")))
+        if figure.amount is not None:
+            parts.append(figure.rows.select(label, F.lit(0).cast("long").alias("total"), amount.alias("amount")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def start_live_totals(
+    figures: dict[str, Figure], out: str, checkpoint: str, every: str | None = None, keep: int = KEEP
+) -> StreamingQuery:
+    """All figures (name, total, amount), kept up to date by the rows that come; one version after each batch.
+
+    One query reads all streams, so a version's figures belong together.  Only the sums of a batch are added
+    to the kept ones.  Read the newest version with `state.published`; the newest `keep` stay.
+    """
+    spark = next(iter(figures.values())).rows.sparkSession
+    state = SlotState(f"{out}/state", f"name string, total long, amount {LIVE_AMOUNT}")
+    start = literal_rows(spark, [(name, 0, None) for name in figures], state.schema).fillna(0, ["total"])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        kept = state.before(session, batch_id) if batch_id else start
+        total = kept.unionByName(batch).groupBy("name").agg(
+            F.sum("total").alias("total"), F.coalesce(F.sum("amount"), F.lit(0)).cast(LIVE_AMOUNT).alias("amount")
+        )
+        state.after(total, batch_id)
+        publish(state.before(session, batch_id + 1), f"{out}/total", batch_id, keep)
+
+    with _state_on_disk(spark):
+        writer = live_changes(figures).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        return _trigger(writer, every).start()
 
 
 def start_total(
@@ -209,18 +301,7 @@ def start_total(
 
     Read the newest version with `state.published`.
     """
-    _keep_state_on_disk(rows.sparkSession)
-    state = SlotState(f"{out}/state", "total long")
-    distinct = rows.select(*keys).dropDuplicates(keys)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.agg(F.count(F.lit(1)).alias("total"))
-        total = state.before(batch.sparkSession, batch_id).unionByName(seen)
-        state.after(total.agg(F.sum("total").alias("total")), batch_id)
-        publish(state.before(batch.sparkSession, batch_id + 1), f"{out}/total", batch_id)
-
-    writer = distinct.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return _trigger(writer, every).start()
+    return start_live_totals({"total": Figure(rows, keys)}, out, checkpoint, every)
 
 
 def start_count(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bequest.functions import dates
 from bequest.operators import moves, rules
 from bequest.streaming import jobs
-from bequest.streaming.state import BucketState, SlotState, published
+from bequest.streaming.state import KeyedState, SlotState, published, publish
 
 
 class Feed:
@@ -184,20 +184,137 @@ def test_a_batch_run_again_finds_its_input(spark, tmp_path):
     assert state.before(spark, 2).first().v == 11
 
 
-def test_buckets_without_changed_keys_stay(spark, tmp_path):
-    state = BucketState(str(tmp_path / "state"), "k long, v long", "k", buckets=4)
-    frame = lambda *data: spark.createDataFrame(list(data), "k long, v long")
-    everything = frame(*((k, 0) for k in range(40)))
+def _changes(spark, *data):
+    return spark.createDataFrame(list(data), "k long, v long")
+
+
+def test_keyed_state_of_the_batch_before(spark, tmp_path):
+    state = KeyedState(str(tmp_path / "state"), "k long, v long", "k", buckets=4)
+    everything = _changes(spark, *((k, 0) for k in range(40)))
     assert state.before(everything, 0).count() == 0
     state.after(everything, 0)
-    changed = frame((7, 1))
-    bucket = changed.select(state.bucket).first()[0]
     for _ in range(2):  # the batch runs again
-        before = state.before(changed, 1)
-        assert {r[0] for r in before.select(state.bucket).distinct().collect()} == {bucket}
-        kept = before.where("k <> 7")
-        state.after(kept.unionByName(changed), 1)
-    written = {p.name for p in (tmp_path / "state" / "batch=1").glob("bucket=*")}
-    assert written == {f"bucket={bucket}"}
-    now = state.before(everything, 2)
+        assert [tuple(r) for r in state.before(_changes(spark, (7, 9), (99, 9)), 1).collect()] == [(7, 0)]
+        state.after(_changes(spark, (7, 1)), 1)
+    state.after(_changes(spark).limit(0), 2)
+    now = state.before(everything, 3)
     assert sorted((r.k, r.v) for r in now.collect()) == [(k, int(k == 7)) for k in range(40)]
+
+
+def test_keyed_state_does_not_grow_with_batches(spark, tmp_path):
+    """Against a dictionary, with one batch in three run twice; parts, lists and files stay few."""
+    state, rnd, truth = KeyedState(str(tmp_path / "state"), "k long, v long", "k", buckets=8), random.Random(6), {}
+    sizes = []
+    for batch_id in range(30):
+        changed = {rnd.randrange(60): batch_id for _ in range(rnd.randrange(0, 6))}
+        asked = _changes(spark, *((k, 0) for k in [*changed, 3]))
+        for _ in range(1 + (batch_id % 3 == 0)):
+            before = {r.k: r.v for r in state.before(asked, batch_id).collect()}
+            assert before == {k: truth[k] for k in [*changed, 3] if k in truth}
+            state.after(_changes(spark, *changed.items()) if changed else asked.limit(0), batch_id)
+        truth |= changed
+        found = list((tmp_path / "state").glob("part=*/*.parquet"))
+        sizes.append(sum(len(spark.read.parquet(str(f)).collect()) for f in found) if batch_id % 10 == 9 else 0)
+    assert len(list((tmp_path / "state").glob("list=*"))) == 2
+    assert len(list((tmp_path / "state").glob("part=*"))) < 12
+    assert max(sizes) < 5 * 60
+    everything = state.before(_changes(spark, *((k, 0) for k in range(60))), 30)
+    assert {r.k: r.v for r in everything.collect()} == truth
+
+
+def test_versions_for_readers(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for version in range(7):
+        publish(_changes(spark, (1, version)), out, version, keep=2)
+        assert published(spark, out).first().v == version
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["version=5", "version=6"]
+
+
+def test_completions_while_the_filter_runs(spark, estate, tmp_path, to):
+    schema = "asset_id long, beneficiary_id long"
+    asked = Feed(spark, tmp_path / "asked", schema)
+    done = Feed(spark, tmp_path / "done", schema)
+    run = lambda: jobs.start_repeat_filter(asked.stream(), done.stream(), *to).awaitTermination()
+    asked.add((1, 1), (1, 1), (2, 1))
+    done.add((2, 1), (9, 9))  # completed in the micro-batch in which it is asked for
+    run()
+    assert pairs(spark.read.parquet(to[0]), "asset_id", "beneficiary_id") == [(1, 1)]
+    done.add((3, 1), (1, 1))  # completed between two micro-batches
+    run()
+    asked.add((3, 1), (4, 1), (1, 1), (9, 9))
+    run()
+    asked.add((4, 1), (3, 1))
+    done.add((4, 1))
+    run()
+    assert pairs(spark.read.parquet(to[0]), "asset_id", "beneficiary_id") == [(1, 1), (4, 1)]
+
+
+def test_filter_equals_its_twin_over_batches(spark, tmp_path, to):
+    """A request counts if its pair was not asked for before and not completed up to its micro-batch."""
+    schema = "asset_id long, beneficiary_id long"
+    asked, done = (Feed(spark, tmp_path / name, schema) for name in ("asked", "done"))
+    rnd, known, finished, expected = random.Random(8), set(), set(), set()
+    for _ in range(4):
+        requests = [(rnd.randrange(12), rnd.randrange(2)) for _ in range(12)]
+        completions = [(rnd.randrange(12), rnd.randrange(2)) for _ in range(4)]
+        asked.add(*requests)
+        done.add(*completions)
+        finished |= set(completions)
+        expected |= set(requests) - known - finished
+        known |= set(requests)
+        jobs.start_repeat_filter(asked.stream(), done.stream(), *to).awaitTermination()
+    assert pairs(spark.read.parquet(to[0]), "asset_id", "beneficiary_id") == sorted(expected, key=str)
+
+
+def test_provider_of_other_streams_stays(spark, tmp_path, to):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    feed = Feed(spark, tmp_path / "in", "k long")
+    feed.add((1,), (1,), (2,))
+    jobs.start_total(feed.stream(), ["k"], *to).awaitTermination()
+    assert spark.conf.get(provider) == before and before != jobs.ROCKS_DB
+    assert published(spark, f"{to[0]}/total").first().total == 2
+
+
+def test_live_figures_from_changes(spark, tmp_path, to):
+    """Counts of keys, of rows that come and go, and an amount, after each batch."""
+    assets = Feed(spark, tmp_path / "assets", "asset_id long, value decimal(15,2)")
+    wills = Feed(spark, tmp_path / "wills", "will_id long, change long, value decimal(15,2)")
+    rnd, known, value, alive, worth = random.Random(3), set(), Decimal(0), 0, Decimal(0)
+    for _ in range(4):
+        more = [(rnd.randrange(9), Decimal(rnd.randrange(900)) / 100) for _ in range(5)]
+        moved = [(rnd.randrange(9), rnd.choice([1, 1, -1, 0]), rnd.choice([None, Decimal("2.50"), Decimal("-1.25")])) for _ in range(4)]
+        assets.add(*more)
+        wills.add(*moved)
+        figures = {
+            "assets": jobs.Figure(assets.stream(), ["asset_id"], F.col("value")),
+            "wills": jobs.Figure(wills.stream(), None, F.col("value"), F.col("change")),
+        }
+        jobs.start_live_totals(figures, *to, keep=2).awaitTermination()
+        known |= {k for k, _ in more}
+        value += sum(v for _, v in more)
+        alive += sum(c for _, c, _ in moved)
+        worth += sum(v or 0 for *_, v in moved)
+        found = {r.name: (r.total, r.amount) for r in published(spark, f"{to[0]}/total").collect()}
+        assert found == {"assets": (len(known), value), "wills": (alive, worth)}
+    assert len(list((tmp_path / "out" / "total").iterdir())) == 2
+
+
+def test_machine_that_is_stopped_and_started(spark, tmp_path, to):
+    """A batch whose outputs are there but not committed runs again with the same rows."""
+    schema = "seq long, will_id long, new_status string, change_date timestamp_ntz"
+    feed, day = Feed(spark, tmp_path / "in", schema), datetime(2025, 6, 1)
+    rnd = random.Random(14)
+    data = [(seq, rnd.randrange(6), rnd.choice(["Draft", "Approved", "Executing"]), day) for seq in range(80)]
+    for low in range(0, 80, 20):
+        feed.add(*data[low : low + 20])
+        jobs.start_status_machine(feed.stream(), "registrar", *to).awaitTermination()
+        last = max(int(p.name) for p in (tmp_path / "checkpoint" / "commits").glob("[0-9]*"))
+        for name in (f"{last}", f".{last}.crc"):
+            (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    jobs.start_status_machine(feed.stream(), "registrar", *to).awaitTermination()
+    twin = moves.status_history(spark.createDataFrame(data, schema), "registrar")
+    columns = ("seq", "will_id", "old_status", "new_status")
+    assert pairs(spark.read.parquet(f"{to[0]}/history"), *columns) == pairs(twin["history"], *columns)
+    rows = sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "out" / "state").glob("part=*"))
+    assert rows <= 5 * 6
