@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from bequest import model as M
 from bequest.catalog.shown import shown
 from bequest.functions import dates, money, records, text
-from bequest.operators import filters, joins, moves, ordered, rules
+from bequest.operators import filters, joins, moves, ordered, rules, search
 from bequest.plans import allocations, audit, dashboards, people, transfers, wills
 from bequest.session import fresh_folder
-from bequest.sources import tables, writers
+from bequest.sources import by_day, tables, writers
+from bequest.sources.parted import PartedTable
 from bequest.sources.testbed import Testbed, change_columns, email_of
 from bequest.streaming import jobs
 from bequest.streaming.state import published
@@ -231,6 +232,25 @@ def _(t):
     return ordered.page_after(t.audit, "timestamp", "audit_id", last, M.PAGE_SIZE)
 
 
+def _by_day(t: Testbed) -> DataFrame:
+    folder = fresh_folder(t.spark, "audit-by-day")
+    by_day.write_by_day(t.audit, folder)
+    return by_day.read_by_day(t.spark, folder)
+
+
+@query("q28_audit_page_indexed")
+def _(t):
+    stored, folder = _by_day(t), fresh_folder(t.spark, "audit-pages")
+    by_day.write_page_index(stored, folder)
+    return by_day.indexed_page(stored, t.spark.read.parquet(folder), PAGE)
+
+
+@query("q28_audit_page_facets_by_day")
+def _(t):
+    wanted = by_day.one_day(_by_day(t), date(2024, 1, 15))
+    return audit.audit_page(wanted, 1, action="UPDATE", table="WILLS", status="SUCCESS", day=date(2024, 1, 15))
+
+
 @query("q29_user_activity")
 def _(t):
     return people.user_activity(t.users, t.wills, t.executors, t.beneficiaries)
@@ -292,6 +312,18 @@ def _(t):
     return audit.audit_trail(t.audit, dates.moment(AUDIT_DAY))
 
 
+@query("q39_audit_trail_by_day")
+def _(t):
+    day = dates.moment(AUDIT_DAY)
+    return audit.audit_trail(by_day.recent_days(_by_day(t), day, M.AUDIT_DAYS), day)
+
+
+@query("q40_audit_action_counts_by_day")
+def _(t):
+    day = dates.moment(AUDIT_DAY)
+    return audit.audit_action_counts(by_day.recent_days(_by_day(t), day, M.AUDIT_DAYS), day)
+
+
 @query("q40_audit_action_counts")
 def _(t):
     return audit.audit_action_counts(t.audit, dates.moment(AUDIT_DAY))
@@ -398,6 +430,15 @@ def _(t):
     )
 
 
+@query("p14_text_search_indexed")
+def _(t):
+    shown_columns, folder = ("full_name", "email", "address"), fresh_folder(t.spark, "search")
+    search.write_search_table(t.users, "user_id", list(shown_columns), folder)
+    return search.search_indexed(t.users, "user_id", "STREET, kig", folder, *shown_columns).select(
+        "user_id", "address"
+    )
+
+
 @query("p15_transfer_tabs")
 def _(t):
     tabs = ("pending", "completed", "all")
@@ -862,6 +903,25 @@ def _(t):
     return moves.diff_audit(t.wills, t.revised_wills, ACTOR, dates.moment(REPORT_DAY))
 
 
+@query("m08_diff_audit_by_digest")
+def _(t):
+    return moves.diff_audit_by_digest(t.wills, t.revised_wills, ACTOR, dates.moment(REPORT_DAY))
+
+
+#: Keys of a part of the stored tables.
+PART_KEYS = 4096
+
+
+def _parted(t: Testbed, rows: DataFrame, key: str) -> PartedTable:
+    return PartedTable(t.spark, fresh_folder(t.spark, "parts"), key, PART_KEYS).create(rows)
+
+
+@query("m01_approve_wills_in_parts")
+def _(t):
+    stored = _parted(t, t.wills, "will_id")
+    return moves.approve_in_parts(t.approvals, stored, _tables(t), dates.moment(REPORT_DAY), ACTOR)["wills"]
+
+
 @query("m10_add_executors")
 def _(t):
     return moves.add_executors(t.new_executors, t.executors).drop("executor_id")
@@ -877,6 +937,12 @@ def _(t):
     return moves.update_roles(t.users, t.role_updates).select("user_id", "initial_role")
 
 
+@query("m12_update_roles_in_parts")
+def _(t):
+    stored = _parted(t, t.users, "user_id")
+    return moves.update_roles_in_parts(stored, t.role_updates).select("user_id", "initial_role")
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 

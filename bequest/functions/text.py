@@ -85,6 +85,10 @@ def document_path(entity: Column, entity_id: Column, title: Column, file_type: C
     )
 
 
+def shown_text(*columns: Column) -> Column:
+    """What a search looks at: the shown columns side by side, in lower case."""
+    return F.lower(F.concat_ws(" ", *[c.cast("string") for c in columns]))
+
+
 def contains_text(term: str, *columns: Column) -> Column:
-    shown = F.concat_ws(" ", *[c.cast("string") for c in columns])
-    return F.lower(shown).contains(term.lower())
+    return shown_text(*columns).contains(term.lower())

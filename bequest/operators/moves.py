@@ -24,7 +24,9 @@ from bequest.operators.joins import (
     with_flag,
 )
 from bequest.operators.ordered import CHUNK, first_rows, last_before
+from bequest.operators.snapshots import BUCKETS, where_changed
 from bequest.session import written
+from bequest.sources.parted import PartedTable
 
 Tables = dict[str, DataFrame]
 
@@ -146,6 +148,19 @@ def approve_wills(requests: DataFrame, tables: Tables, as_of: Column, actor: str
     }
 
 
+def approve_in_parts(
+    requests: DataFrame, wills: PartedTable, tables: Tables, as_of: Column, actor: str
+) -> Tables:
+    """`approve_wills` over a table in parts, of which those with approved wills are written anew.
+
+    The wills of the result are the table's new version.
+    """
+    result = approve_wills(requests, {**tables, "wills": wills.rows()}, as_of, actor)
+    moved = written(result["history"].select("will_id"), "approved-wills")
+    wills.rewrite(moved, lambda rows: _set_status(rows, moved, "Approved", as_of))
+    return result | {"wills": wills.rows()}
+
+
 def status_history(
     changes: DataFrame,
     actor: str,
@@ -750,3 +765,17 @@ def update_roles(users: DataFrame, updates: DataFrame) -> DataFrame:
             for c in users.columns
         ]
     )
+
+
+def update_roles_in_parts(users: PartedTable, updates: DataFrame) -> DataFrame:
+    """`update_roles` over a table in parts, of which those with named users are written anew."""
+    named = matching(users.rows().select("user_id", "email"), updates, "email")
+    users.rewrite(named, lambda rows: update_roles(rows, updates))
+    return users.rows()
+
+
+def diff_audit_by_digest(
+    old: DataFrame, new: DataFrame, actor: str, as_of: Column, buckets: int = BUCKETS
+) -> DataFrame:
+    """`diff_audit` that moves digests, and then only wills of buckets in which something changed."""
+    return diff_audit(*where_changed(old, new, "will_id", ["title", "status"], buckets), actor, as_of)

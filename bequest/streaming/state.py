@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bequest.operators.joins import matching
+from bequest.session import folders, remove_folder
 from bequest.sources.tables import literal_rows
 
 
@@ -127,21 +128,6 @@ class KeyedState:
                 remove_folder(spark, path)
 
 
-def folders(spark: SparkSession, folder: str) -> list[tuple[str, str, str]]:
-    """(kind, name, path) of the folders named kind=name within a folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    found = [status.getPath() for status in files.listStatus(path)]
-    return [(*p.getName().split("=", 1), p.toString()) for p in found if "=" in p.getName()]
-
-
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _versions(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
     """Complete versions of a result, newest first."""
     hadoop = spark._jsc.hadoopConfiguration()
