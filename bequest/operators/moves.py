@@ -436,13 +436,18 @@ def delete_wills(
 # --- shares ----------------------------------------------------------------------------------
 
 
+def numbered(requests: DataFrame, name: str) -> DataFrame:
+    """Requests written with numbers `__id`, which tell copies apart; once written they do not change."""
+    return written(requests.withColumn("__id", F.monotonically_increasing_id()), name)
+
+
 def accept_in_order(
     requests: DataFrame, room: DataFrame, salts: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Accept requests (asset_id, seq, cents, ...) in seq order while they fit.
 
     `room` holds the free cents per asset; refused requests use nothing up.  Gives the accepted
-    and the refused rows.
+    and the refused rows.  Requests that are `numbered` already are not written again.
 
     Free room only shrinks, so if a request is accepted, all earlier ones of its size were too:
     of one size at most room / size requests can succeed.  Everything behind those is refused
@@ -450,23 +455,19 @@ def accept_in_order(
     about 98,000 where all 10,000 cents are open, however many requests there are.  Assets whose
     requests all fit need no walk at all.
     """
-    known = judged_by_key(
-        requests,
-        ["asset_id"],
-        lambda keys: keys.join(room.select("asset_id", "room"), "asset_id", "left"),
-        F.sum("cents").alias("__wanted"),
-    )
-    left = F.coalesce("room", F.lit(10000))
-    # The written numbers tell copies of a request apart; once written they do not change.
-    numbered = known.withColumn("room", left).withColumn(
-        "__id", F.monotonically_increasing_id()
-    )
-    known = written(numbered, "share-requests")
-    tie = F.struct(*[c for c in sorted(requests.columns) if c not in ("asset_id", "seq", "cents")])
-    known = known.withColumn("__tie", tie) if len(requests.columns) > 3 else known.withColumn("__tie", F.lit(0))
-    fits = F.col("__wanted") <= F.col("room")
-    easy = known.where(fits)
-    contested = known.where(~fits)
+    if "__id" not in requests.columns:
+        requests = numbered(requests, "share-requests")
+    shown = [c for c in requests.columns if c != "__id"]
+    rest = [c for c in sorted(shown) if c not in ("asset_id", "seq", "cents")]
+    known = requests.withColumn("__tie", F.struct(*rest) if rest else F.lit(0))
+    wanted = requests.groupBy("asset_id").agg(F.sum("cents").alias("__wanted"))
+    open_ = wanted.join(room.select("asset_id", "room"), "asset_id", "left").withColumn(
+        "room", F.coalesce("room", F.lit(10000))
+    )
+    # A row for each asset that cannot take all; the requests themselves stay where they are written.
+    crowded = written(open_.where(F.col("__wanted") > F.col("room")).select("asset_id", "room"), "crowded-assets")
+    easy = missing(known, crowded, "asset_id")
+    contested = known.join(crowded, "asset_id")
 
     places = F.floor(F.col("room") / F.col("cents"))
     candidates = first_rows(
@@ -495,10 +496,9 @@ def accept_in_order(
         ).otherwise(acc),
         lambda acc: acc["taken"],
     )
-    taken = queue.select(F.explode(walked).alias("__id"))
+    taken = written(queue.select(F.explode(walked).alias("__id")), "taken-requests")
     won = contested.join(taken, "__id", "left_semi")
     lost = contested.join(taken, "__id", "left_anti")
-    shown = requests.columns
     return easy.select(*shown).unionByName(won.select(*shown)), lost.select(*shown)
 
 
@@ -513,14 +513,15 @@ def assign_shares(
     checked = rules.check_assignment_targets(
         requests, tables["assets"], tables["wills"], tables["beneficiaries"]
     )
-    valid, broken = split_checked(written(checked, "checked-shares"))
     cents = (F.col("share_percent") * 100).cast("long")
+    valid, broken = split_checked(numbered(checked.withColumn("cents", cents), "checked-shares"))
+    broken = broken.drop("__id", "cents")
     stored = (
         tables["shares"]
         .groupBy("asset_id")
         .agg((F.lit(10000) - F.sum((F.col("share_percent") * 100).cast("long"))).alias("room"))
     )
-    accepted, refused = accept_in_order(valid.withColumn("cents", cents), stored, salts)
+    accepted, refused = accept_in_order(valid, stored, salts)
     over = refused.drop("cents").select(
         "*",
         F.lit(-21004).alias("reject_code"),

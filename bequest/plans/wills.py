@@ -81,33 +81,28 @@ def will_value(wills: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
-def _asset_weights(assets: DataFrame, shares: DataFrame) -> DataFrame:
-    """Per will: assets and value, plain and repeated once per share row."""
-    per_asset = shares.groupBy("asset_id").agg(
-        F.count(F.lit(1)).alias("shares"),
-        F.sum(F.coalesce("share_percent", F.lit(0))).alias("percent"),
+def _will_facts(assets: DataFrame, shares: DataFrame) -> DataFrame:
+    """Per will: assets and value, plain and repeated once per share row, percents and beneficiaries.
+
+    The share rows of all assets are met once; an asset without shares is one row.  Beneficiaries are
+    counted by grouping by will and beneficiary first, which splits a will with many.
+    """
+    plain = assets.groupBy("will_id").agg(F.count("asset_id").alias("assets"), F.sum("value").alias("worth"))
+    held = assets.select("asset_id", "will_id", "value").join(
+        shares.select("asset_id", "beneficiary_id", "share_percent"), "asset_id", "left"
     )
-    times = F.greatest(F.coalesce("shares", F.lit(0)), F.lit(1))
-    return (
-        assets.join(per_asset, "asset_id", "left")
-        .groupBy("will_id")
-        .agg(
-            F.count("asset_id").alias("assets"),
-            F.sum("value").alias("worth"),
-            F.sum(times).alias("asset_rows"),
-            F.sum(F.col("value") * times).alias("worth_rows"),
-            F.sum(F.coalesce("percent", F.lit(0))).alias("percent"),
-        )
+    per_heir = held.groupBy("will_id", "beneficiary_id").agg(
+        F.count(F.lit(1)).alias("asset_rows"),
+        F.sum("value").alias("worth_rows"),
+        F.sum(F.coalesce("share_percent", F.lit(0))).alias("percent"),
     )
-
-
-def _heirs_per_will(assets: DataFrame, shares: DataFrame) -> DataFrame:
-    return (
-        shares.select("asset_id", "beneficiary_id")
-        .join(assets.select("asset_id", "will_id"), "asset_id")
-        .groupBy("will_id")
-        .agg(F.count_distinct("beneficiary_id").alias("total_beneficiaries"))
+    repeated = per_heir.groupBy("will_id").agg(
+        F.sum("asset_rows").alias("asset_rows"),
+        F.sum("worth_rows").alias("worth_rows"),
+        F.sum("percent").alias("percent"),
+        F.count("beneficiary_id").alias("total_beneficiaries"),
     )
+    return plain.join(repeated, "will_id")
 
 
 def will_summary_stats(
@@ -125,8 +120,7 @@ def will_summary_stats(
     )
     zero = F.lit(0).cast("long")
     sides = (
-        _asset_weights(assets, shares)
-        .join(_heirs_per_will(assets, shares), "will_id", "left")
+        _will_facts(assets, shares)
         .join(named, "will_id", "left")
         .withColumn("executors", F.coalesce("executors", zero))
         .withColumn("primaries", F.coalesce("primaries", zero))
@@ -156,9 +150,7 @@ def will_stats(assets: DataFrame, shares: DataFrame, mode: str = "exact") -> Dat
 
     The mean runs over share rows, an asset without shares counting as one row of 0 %.
     """
-    sides = _asset_weights(assets, shares).join(
-        _heirs_per_will(assets, shares), "will_id", "left"
-    )
+    sides = _will_facts(assets, shares)
     as_written = mode == "as_written"
     mean = F.col("percent").cast("double") / F.col("asset_rows").cast("double")
     return sides.select(
