@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import kept, small_batches
 from .words import chunks, cut, hashes
 
 #: BM25's saturation and length weights.
@@ -23,7 +24,7 @@ K1, B = 1.2, 0.75
 BLOCK = 32
 #: Groups of items for which a passage's bound is taken before the lists are walked.
 GROUPS = 64
-#: Characters of the test items of one index; more items make several indexes, one pass each.
+#: Characters of the test items that are broadcast at once; more items make several passes.
 INDEX_CHARS = 4_000_000
 #: Shortest passage, in words; longer test items make longer passages.
 PASSAGE = 64
@@ -58,11 +59,25 @@ def _pieces(words: np.ndarray) -> set[tuple[int, ...]]:
     return {tuple(listed[i : i + size]) for i in range(len(listed) - size + 1)} if size else set()
 
 
+class Statistics(NamedTuple):
+    """What BM25 needs of all items: their number, mean length, and how many hold each term."""
+
+    items: int
+    mean: float
+    held: dict[int, int]
+
+    @classmethod
+    def of(cls, bags: list[Counter]) -> Statistics:
+        total = sum(sum(bag.values()) for bag in bags)
+        return cls(len(bags), total / len(bags) if bags else 1.0, Counter(t for bag in bags for t in bag))
+
+
 class ItemIndex:
     """Inverted index of test items.  A posting's weight is its BM25 share of the item's own score,
-    so that a passage that holds all of an item's words scores 1."""
+    so that a passage that holds all of an item's words scores 1.  `known` are the statistics of all items
+    where the index has only some of them; `size` is the length of passages, that of the longest item else."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], known: Statistics | None = None, size: int | None = None) -> None:
         self.items = []
         bags = []
         for item, text in items:
@@ -72,16 +87,15 @@ class ItemIndex:
                 self.items.append((item, len(words), len(question), _pieces(question), _pieces(answer)))
                 bags.append(Counter(words.tolist()))
         lengths = [sum(bag.values()) for bag in bags]
-        mean = sum(lengths) / len(lengths) if lengths else 1.0
-        self.longest = max(lengths, default=1)
-        held = Counter(t for bag in bags for t in bag)
-        self.terms = np.array(sorted(held), np.uint64)
+        count, mean, held = known or Statistics.of(bags)
+        self.longest = size or max(lengths, default=1)
+        self.terms = np.array(sorted({t for bag in bags for t in bag}), np.uint64)
         number = {t: i for i, t in enumerate(self.terms.tolist())}
         lists: list[list[tuple[int, float]]] = [[] for _ in number]
         for doc, (bag, length) in enumerate(zip(bags, lengths)):
             norm = K1 * (1 - B + B * length / mean)
             raw = {
-                t: math.log1p((len(bags) - held[t] + 0.5) / (held[t] + 0.5)) * n * (K1 + 1) / (n + norm)
+                t: math.log1p((count - held[t] + 0.5) / (held[t] + 0.5)) * n * (K1 + 1) / (n + norm)
                 for t, n in bag.items()
             }
             own = sum(raw.values())
@@ -206,23 +220,24 @@ def _overlap(pieces: set[tuple[int, ...]], words: list[int]) -> float:
     return len(pieces & {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}) / len(pieces)
 
 
-def _found(index: ItemIndex, texts: pa.Array, threshold: float) -> Iterator[tuple]:
+def _found(indexes: list[ItemIndex], texts: pa.Array, threshold: float) -> Iterator[tuple]:
     """(row, item, score, question, answer, question words, first word, end word) of every hit."""
-    step = -(-max(PASSAGE, index.longest) // 2)
     for begin, _, data, offsets in chunks(texts):
         starts, ends, at = cut(data, offsets, _OTHER)
         hashed = hashes(data, starts, ends, True)
-        term = index.look_up(hashed)
-        text, first, end = _windows(at, step)
-        passage, group = index.hopeful(term, text, first, end, step, threshold)
-        places = (column[passage].tolist() for column in (text, first, end))
-        for row, a, b, items in zip(*places, group.tolist()):
-            terms = np.unique(term[a:b])
-            for doc, score in index.above(terms[terms >= 0].tolist(), threshold, items):
-                item, length, asked, question, answer = index.items[doc]
-                near = hashed[max(at[row], a - length) : min(at[row + 1], b + length)].tolist()
-                overlaps = _overlap(question, near), _overlap(answer, near)
-                yield begin + row, item, score, *overlaps, asked, int(a - at[row]), int(b - at[row])
+        for index in indexes:
+            step = -(-max(PASSAGE, index.longest) // 2)
+            term = index.look_up(hashed)
+            text, first, end = _windows(at, step)
+            passage, group = index.hopeful(term, text, first, end, step, threshold)
+            places = (column[passage].tolist() for column in (text, first, end))
+            for row, a, b, items in zip(*places, group.tolist()):
+                terms = np.unique(term[a:b])
+                for doc, score in index.above(terms[terms >= 0].tolist(), threshold, items):
+                    item, length, asked, question, answer = index.items[doc]
+                    near = hashed[max(at[row], a - length) : min(at[row + 1], b + length)].tolist()
+                    overlaps = _overlap(question, near), _overlap(answer, near)
+                    yield begin + row, item, score, *overlaps, asked, int(a - at[row]), int(b - at[row])
 
 
 def _hits(shared, threshold: float):
@@ -239,14 +254,41 @@ def _hits(shared, threshold: float):
     return run
 
 
-def _indexes(items: DataFrame) -> Iterator[ItemIndex]:
-    """Indexes of all items, INDEX_CHARS characters to each."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // INDEX_CHARS))
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with words: their number, and each distinct one's hash."""
+    for batch in batches:
+        words = [_words(text) for text in batch.column("text").to_pylist()]
+        full = pa.array([i for i, w in enumerate(words) if len(w)], pa.int64())
+        words = [w for w in words if len(w)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c).take(full) for c in ("item_id", "text")),
+                pa.array([len(w) for w in words], pa.int32()),
+                pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64())),
+            ],
+            ["item_id", "text", "words", "terms"],
+        )
+
+
+def _indexes(items: DataFrame) -> Iterator[list[ItemIndex]]:
+    """Indexes of all items, INDEX_CHARS characters together.
+
+    Items of like length share an index and the length of passages: the next power of two, PASSAGE at least.
+    Statistics are those of all items, so neither they nor passages depend on how items are dealt out.
+    """
+    read = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    read = kept(read.mapInArrow(_terms, "item_id long, text string, words int, terms array<long>"), "items")
+    count, mean, chars = read.agg(F.count("*"), F.avg("words"), F.sum(F.length("text"))).first()
+    held = read.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    parts = max(1, -(-(chars or 0) // INDEX_CHARS))
     for part in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield ItemIndex([tuple(r) for r in mine.orderBy("item_id", "text").collect()])
+        mine = read.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        own = held.join(mine.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi") if parts > 1 else held
+        known = Statistics(count, mean or 1.0, {t % (1 << 64): n for t, n in own.collect()})
+        by_size: dict[int, list[tuple[int, str]]] = {}
+        for item, text, words in mine.orderBy("item_id", "text").select("item_id", "text", "words").collect():
+            by_size.setdefault(max(PASSAGE, 1 << (words - 1).bit_length()), []).append((item, text))
+        yield [ItemIndex(listed, known, size) for size, listed in sorted(by_size.items())]
 
 
 def retrieved_items(
@@ -262,16 +304,17 @@ def retrieved_items(
     the item's own score are retrieved.  question and answer are the shares of the item's pieces of
     five words that occur, in one go, in the passage or an item's length around it.
 
-    Items (item_id, text) are indexed whole, INDEX_CHARS characters to an index, each of which is
-    broadcast for a pass of its own over the documents.  Null texts are empty; empty texts and
-    items without words give no rows.
+    Items (item_id, text) are indexed whole, INDEX_CHARS characters at a time, which are broadcast for a
+    pass of their own over the documents; scores do not depend on that.  Passages are as long as the
+    item, PASSAGE words at least, rounded up to a power of two.  Null texts are empty; empty texts and items
+    without words give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = None
-    for index in _indexes(items):
-        hits = read.mapInArrow(_hits(spark.sparkContext.broadcast(index), threshold), _HIT)
+    for indexes in _indexes(items):
+        hits = read.mapInArrow(_hits(spark.sparkContext.broadcast(indexes), threshold), _HIT)
         found = hits if found is None else found.unionByName(hits)
     return found.withColumnRenamed("id", id_col)
 
@@ -297,8 +340,8 @@ def _leaks(shared, threshold: float):
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents that leak no test item, with all columns; texts are judged where they lie."""
     small_batches(docs.sparkSession)
-    for index in _indexes(items):
-        leaks = _leaks(docs.sparkSession.sparkContext.broadcast(index), threshold)
+    for indexes in _indexes(items):
+        leaks = _leaks(docs.sparkSession.sparkContext.broadcast(indexes), threshold)
         docs = docs.filter(~leaks(F.col(text_col).cast("string")))
     return docs
 

@@ -380,6 +380,40 @@ def test_leaks(spark, monkeypatch, index_chars):
     assert contamination(docs.limit(0), tests).count() == 0
 
 
+def test_scores_do_not_depend_on_how_items_are_dealt_out(spark, monkeypatch):
+    rnd = random.Random(21)
+    items = [(i, f"{sentence(rnd, rnd.randrange(9, 40))}. {sentence(rnd, rnd.randrange(2, 9))}.") for i in range(24)]
+    texts = []
+    for i in range(60):
+        words = rnd.choice(items)[1].split()
+        del words[:: rnd.randrange(2, 9)]
+        texts.append((i, f"{sentence(rnd, rnd.randrange(120))} {' '.join(words)} {sentence(rnd, rnd.randrange(120))}"))
+    docs = frame(spark, texts)
+
+    def hits(listed):
+        tests = spark.createDataFrame(listed, "item_id long, text string")
+        found = retrieved_items(docs, tests).collect()
+        return {(r.doc_id, r.item_id, r.first_word, r.end_word): r.score for r in found if r.item_id < 900}
+
+    whole = hits(items)
+    assert len(whole) > 10
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", 300)
+    assert hits(items) == pytest.approx(whole)
+    # An item of 3,000 other words changes no passage, and no more of a score than its part in the statistics.
+    longer = hits([*items, (900, " ".join(f"other{i}" for i in range(3000)))])
+    strong = {key for key, score in whole.items() if score > 0.52}
+    assert strong <= set(longer) and all(longer[key] == pytest.approx(whole[key], abs=0.02) for key in strong)
+
+
+def test_field_does_not_depend_on_how_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_TEXTS", 20)
+    rnd = random.Random(2)
+    rows = [(i, f"{sentence(rnd, 6)} call {rnd.randrange(10**6)} {rnd.randrange(999)} or {rnd.randrange(99)}@x {sentence(rnd, 5)}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = [pii.fit(docs.repartition(parts)).weights for parts in (3, 11)]
+    assert weights[0] == weights[1]
+
+
 def test_scans_of_nothing(spark, field):
     docs = frame(spark, [(1, "a")]).limit(0)
     assert secrets(docs).count() == 0
