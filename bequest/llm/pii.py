@@ -30,6 +30,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LONGEST = 15
 #: Documents, and texts around digits or @ in them, that a model is fitted on, at most.
 TRAIN_DOCS, TRAIN_TEXTS = 2_000, 300
+#: Of each of these documents so many texts around digits at most, and their characters at most.
+REGIONS, REGION = 3, 300
 #: Generated examples of each kind, and of numbers that are none, that join them.
 EXAMPLES = 60
 #: Probability a span needs to be added.
@@ -338,9 +340,11 @@ def _examples(seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SemiMarkovField:
     """A field fitted on generated examples and a bounded sample of the corpus.
 
-    The sample is the documents with digits or @ with the smallest hashes of their ids; spans of the
-    base patterns are right there, and whatever else has digits is taken for no entity.  Surroundings
-    with a spelled address, which no pattern judges, are left out.
+    The sample is the TRAIN_DOCS documents with digits or @ with the smallest hashes of their ids, and of
+    the first REGIONS surroundings of each, of REGION characters at most, the TRAIN_TEXTS with the smallest
+    hashes; it does not depend on how the rows lie.  Spans of the base patterns are right there, and
+    whatever else has digits is taken for no entity.  Surroundings with a spelled address, which no pattern
+    judges, are left out.
     """
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     some = some.filter("id is not null and text rlike '[0-9@]'")
@@ -348,7 +352,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Semi
     some = some.join(F.broadcast(chosen), "id", "left_semi")
     examples = _examples()
     # Only the surroundings of the digits leave the executors.
-    for row in some.mapInArrow(_surroundings, "text string, spans array<array<int>>").limit(TRAIN_TEXTS).collect():
+    around = some.mapInArrow(_surroundings, "text string, spans array<array<int>>")
+    mixed = F.xxhash64("text"), "text", "spans"
+    for row in around.orderBy(*mixed).limit(TRAIN_TEXTS).collect():
         examples.append((row["text"], [tuple(s) for s in row["spans"]]))
     field = SemiMarkovField()
     field.fit(examples)
@@ -361,8 +367,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts, spans = [], []
         for text in batch.column("text").to_pylist():
             found = base_spans(text)
-            for start, end in list(regions(text, []))[:3]:
-                if end - start <= 300 and not _SPELLED.search(text, start, end):
+            for start, end in list(regions(text, []))[:REGIONS]:
+                if end - start <= REGION and not _SPELLED.search(text, start, end):
                     texts.append(text[start:end])
                     spans.append([[k, a - start, b - start] for k, a, b in found if start <= a and b <= end])
         yield pa.RecordBatch.from_arrays(

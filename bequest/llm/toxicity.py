@@ -18,8 +18,6 @@ from .words import chunks, cut
 
 #: Labelled documents a model is fitted on, at most.
 TRAIN_DOCS = 20_000
-#: Terms considered and terms of a lexicon, at most.
-SUSPECTS, TERMS = 50_000, 1_000
 #: Log-odds a term counts for, at most.
 HEAVIEST = 6.0
 #: Shortest term, shortest term that may be misspelled, and shortest stem that stands for its inflections.
@@ -297,36 +295,55 @@ def _chance(bad: int, good: int, rate: float) -> float:
     return total
 
 
-def _chosen(suspects: dict[str, tuple[int, int]], texts: list[str], bad: int, good: int):
+def _contexts(shared) -> Callable:
+    """(term, word, context) of every suspect in a text: the word it is or begins, and its neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suspects = shared.value
+        for batch in batches:
+            out = set()
+            for text in batch.column("text").to_pylist():
+                data = np.frombuffer(text.encode(), np.uint8)
+                starts, ends, _ = cut(data, np.array([0, len(data)]), _OTHER)
+                words = [bytes(data[a:b]).decode("utf-8", "replace").lower() for a, b in zip(starts, ends)]
+                for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+                    forms = [word, *(word[:n] + "*" for n in range(SHORTEST_STEM, min(len(word), LONGEST_STEM) + 1))]
+                    out.update((form, word, f"{before} {after}") for form in forms if form in suspects)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["term", "word", "context"])
+
+    return run
+
+
+def _told(texts: DataFrame, suspects: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int, int]]:
+    """For each suspect its contexts, the words it is or begins, and the most contexts one of these has alone."""
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(suspects))
+    found = texts.mapInArrow(_contexts(shared), "term string, word string, context string")
+    found = found.select("term", "word", F.xxhash64("context").alias("context")).distinct().persist()
+    told = found.groupBy("term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("word").alias("words"))
+    ended = found.filter("term <> word").select("term", "word").distinct()
+    alone = ended.join(told.select(F.col("term").alias("word"), "contexts"), "word").groupBy("term").agg(F.max("contexts").alias("alone"))
+    rows = told.join(alone, "term", "left").fillna(0, ["alone"]).collect()  # a row for each suspect
+    found.unpersist()
+    return {r["term"]: (r["contexts"], r["words"], r["alone"]) for r in rows}
+
+
+def _chosen(suspects: dict[str, tuple[int, int]], told: dict[str, tuple[int, int, int]], bad: int, good: int):
     """Terms and weights: suspects that occur in several contexts, beyond chance.
 
     Copies of one toxic document share all its words; a term must follow and precede different
     words.  A stem must have several endings, none of which makes up most of it, and a longer term
     must tell more than a stem it has.
     """
-    contexts: dict[str, set[int]] = {t: set() for t in suspects}
-    endings: dict[str, set[str]] = {t: set() for t in suspects if t.endswith("*")}
-    for text in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        starts, ends, _ = cut(data, np.array([0, len(data)]), _OTHER)
-        words = [text_bytes.decode("utf-8", "replace").lower() for text_bytes in (bytes(data[a:b]) for a, b in zip(starts, ends))]
-        for before, word, after in zip(["", *words], words, [*words[1:], ""]):
-            forms = [word, *(word[:n] + "*" for n in range(SHORTEST_STEM, min(len(word), LONGEST_STEM) + 1))]
-            for form in forms:
-                if form in contexts:
-                    contexts[form].add(hash((before, after)))
-                    if form in endings:
-                        endings[form].add(word)
     rate, found = bad / (bad + good), []
     for term in sorted(suspects, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
         in_bad, in_good = suspects[term]
-        support = min(in_bad, len(contexts[term]))
+        contexts, endings, alone = told.get(term, (0, 0, 0))
+        support = min(in_bad, contexts)
         if support < 3:
             continue
-        if term in endings:
-            alone = max((len(contexts.get(w, ())) for w in endings[term]), default=0)
-            if len(endings[term]) < 3 or support < 1.5 * alone:
-                continue
+        if term.endswith("*") and (endings < 3 or support < 1.5 * alone):
+            continue
         weight = min(HEAVIEST, math.log(((support + 0.5) / (bad + 1)) / ((in_good + 0.5) / (good + 1))))
         if weight < 1.5 or _chance(support, in_good, rate) > 1e-4:
             continue
@@ -335,7 +352,7 @@ def _chosen(suspects: dict[str, tuple[int, int]], texts: list[str], bad: int, go
         if weight > above + 0.7 * (above > 0):
             found.append((word, term.endswith("*"), weight, support))
     found.sort(key=lambda t: (-t[3], t[0]))
-    return [t[:3] for t in found[:TERMS]]
+    return [t[:3] for t in found]
 
 
 class Model:
@@ -370,7 +387,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     """A model from at most train_docs labelled documents that are not held out.
 
     The sample is the labels with the smallest hashes of their ids.  Labels without toxic, and
-    documents without text, are left out; without toxic documents every score is low.
+    documents without text, are left out; a document is toxic if any of its labels says so; without toxic
+    documents every score is low.  The lexicon has every term of the sample that passes the tests.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -388,10 +406,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     counts = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     # Several times as likely in a toxic document as in another.
     rate = (F.col("bad") / bad) / ((F.col("good") + 0.5) / (good + 1))
-    suspects = counts.filter((F.col("bad") >= 3) & (rate >= 4)).orderBy(F.desc("bad"), "term").limit(SUSPECTS)
-    suspects = {r["term"]: (r["bad"], r["good"]) for r in suspects.collect()}
-    texts = [r["text"] for r in sample.filter("toxic").select("text").distinct().collect()]
-    terms = _chosen(suspects, texts, bad, good)
+    # The sample bounds them; only terms and numbers leave the executors.
+    suspects = counts.filter((F.col("bad") >= 3) & (rate >= 4)).collect()
+    suspects = {r["term"]: (r["bad"], r["good"]) for r in suspects}
+    terms = _chosen(suspects, _told(sample.filter("toxic").select("text").distinct(), suspects), bad, good)
     if not terms:
         sample.unpersist()
         return Model([], np.r_[math.log(0.05), np.zeros(FEATURES)])
