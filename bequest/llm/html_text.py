@@ -16,7 +16,7 @@ from .common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style template title noembed noframes iframe object video audio canvas datalist meta link base".split()
+    "head script style template title noembed noframes iframe object video audio canvas datalist meta link base rp".split()
 )
 # In formulas and drawings: what is never shown, what holds HTML again, and HTML that ends them.
 FOREIGN_UNSEEN = frozenset(
@@ -57,7 +57,17 @@ HEADLINE = frozenset("base link meta script style title noscript template".split
 
 _SPLIT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+# What the properties that hide an element may be; other values do not count.
+_VALUES = {
+    "display": frozenset(
+        "none block inline inline-block flow-root flex inline-flex grid inline-grid list-item contents table inline-table "
+        "table-row table-cell table-caption table-row-group table-header-group table-footer-group table-column "
+        "table-column-group ruby initial inherit unset revert".split()
+    ),
+    "visibility": frozenset("visible hidden collapse initial inherit unset revert".split()),
+}
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_DECLARED = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -185,18 +195,43 @@ class TreeBuilder:
             self.at = self.at.parent
 
 
-def hidden(node: Node) -> bool:
+def declared(style: str) -> dict[str, str]:
+    """display and visibility as a style attribute has them: the last valid value, important ones first."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub(" ", style).split(";"):
+        m = _DECLARED.fullmatch(part)
+        if m and m[2].lower() in _VALUES[m[1].lower()]:
+            name, important = m[1].lower(), bool(m[3])
+            if important >= found.get(name, (False, ""))[0]:
+                found[name] = important, m[2].lower()
+    return {name: value for name, (_, value) in found.items()}
+
+
+def hidden(node: Node, style: dict[str, str]) -> bool:
+    """Whether an element is left out with all it holds."""
     a = node.attributes
     return (
         node.name in UNSEEN
         or (node.foreign and node.name in FOREIGN_UNSEEN)
-        or "hidden" in a
         or (node.name == "input" and a.get("type", "").lower() in ("hidden", "password", "checkbox", "radio", "file"))
-        or ("style" in a and bool(_HIDDEN_STYLE.search(a["style"])))
-        or (node.name == "dialog" and "open" not in a)
+        or style.get("display") == "none"
+        or ("display" not in style and ("hidden" in a or (node.name == "dialog" and "open" not in a)))
     )
 
 
+def _shown(style: dict[str, str], around: bool) -> bool:
+    """Whether an element's own text is visible; what it does not say it has from around it."""
+    value = style.get("visibility")
+    return around if value in (None, "inherit", "unset", "revert") else value in ("visible", "initial")
+
+
+def _held(node: Node) -> list[Node | str]:
+    """An element's children, of a closed <details> its summary alone."""
+    if node.name != "details" or "open" in node.attributes:
+        return node.children
+    return [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+
+
 class Flow:
     """Lines of one box: collapses space, keeps block spacing and indents."""
 
@@ -319,29 +354,31 @@ def rendered(page: str) -> str:
     lists: list[int | None] = []  # the next number, None for bullets
     pre = 0
     drawing: list[bool] = []  # whether text is not shown, as in a drawing outside its text elements
+    shown = [True]  # whether the text of each open element is visible
     todo: list[tuple[Node | str, bool]] = [(c, True) for c in reversed(root.children)]
     while todo:
         node, entering = todo.pop()
         if isinstance(node, str):
-            if not (drawing and drawing[-1]):
+            if shown[-1] and not (drawing and drawing[-1]):
                 flow.text(node, pre > 0)
             continue
         name = node.name
         if entering:
-            if hidden(node):
+            style = declared(node.attributes["style"]) if "style" in node.attributes else {}
+            if hidden(node, style):
                 continue
+            visible = _shown(style, shown[-1])
             if name == "br":
                 flow.break_line()
                 continue
             if name == "img":
-                if node.attributes.get("alt", "").strip():
+                if visible and node.attributes.get("alt", "").strip():
                     flow.text(node.attributes["alt"], False)
                 continue
             if name == "input":
-                flow.text(f" {node.attributes.get('value', '')} ", False)
+                if visible:
+                    flow.text(f" {node.attributes.get('value', '')} ", False)
                 continue
-            if name == "noscript" or (name == "details" and "open" not in node.attributes):
-                pass
             if name in BLOCK and name not in ("tr", "thead", "tbody", "tfoot"):
                 flow.block(name in SPACED and not (lists and name in ("ul", "ol", "menu", "dir", "p")))
             if name == "hr":
@@ -365,7 +402,7 @@ def rendered(page: str) -> str:
                     lists[-1] += 1
                 depth = min(len(flow.indent), 32)
                 flow.indent.append(flow.indent[-1] + " " * len(marker) if depth < 32 else flow.indent[-1])
-                flow.marker = marker if depth < 32 else ""
+                flow.marker = marker if depth < 32 and visible else ""
             elif name in ("blockquote", "dd"):
                 flow.indent.append(flow.indent[-1] + "    " if len(flow.indent) < 32 else flow.indent[-1])
             elif name == "table":
@@ -381,10 +418,12 @@ def rendered(page: str) -> str:
                 drawing.append(name == "svg")
             if node.foreign and name in _APART:
                 flow.text(" ", False)
+            shown.append(visible)
             todo.append((node, False))
-            todo.extend((c, True) for c in reversed(node.children))
+            todo.extend((c, True) for c in reversed(_held(node)))
             continue
         # leaving
+        shown.pop()
         if node.foreign and name in _DRAWING:
             drawing.pop()
         if node.foreign and name in _APART:
@@ -433,8 +472,9 @@ def visible_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """(id_col, text) of every page: all visible text, laid out.
 
     Null and empty pages have empty text; ids may be null or repeat; other columns are not read.
-    Broken markup is taken as the HTML standard suggests; an element that hides itself, or that is
-    never shown, is left out with all it holds.
+    Broken markup is taken as the HTML standard suggests.  An element that is not displayed, or never shown, is
+    left out with all it holds; one that is invisible leaves out its own text, but not that of visible
+    elements in it.  Of closed details only the summary is shown.
     """
     small_batches(pages.sparkSession)
     read = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))

@@ -52,7 +52,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """As `measured`, but near copies are a cluster too: texts connected by 80 % of common five-word shingles.
 
-    Texts are joined by the hash of their words, so null ids and ids that repeat are like others.
+    Texts are joined by the hash of their words, so null ids and ids that repeat are like others.  Texts
+    without words are one cluster; no documents give no rows.
     """
     found = measured(docs, id_col, text_col, source_col)
     read = docs.select(

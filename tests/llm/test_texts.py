@@ -11,11 +11,13 @@ import pytest
 from corpus import corpus, frame, sentence
 from test_copies import near_truth
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from bequest.llm import line_dedup, packing, toxicity
 from bequest.llm.html_text import rendered, visible_text
 from bequest.llm.line_dedup import drop_recurring_lines
-from bequest.llm.packing import Bins, best_fit_packing, measured
+from bequest.llm.packing import Bins, best_fit_packing, clustered, measured
 from bequest.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -169,6 +171,26 @@ def test_near_copies_share_no_sequence(spark, tmp_path):
     assert len(set(long)) == 3 and len(set(short)) == 2 and len({r.bin_id for r in packed}) == 3
 
 
+def test_clusters_of_near_copies(spark):
+    """Clusters are the components of a comparison of all pairs; copies and null or repeated ids make no difference."""
+    rows = corpus(11, 90)
+    rows += [(None, t) for _, t in rows[:30]] + [(rows[0][0], t) for _, t in rows[30:50]]
+    numbered = list(enumerate(t for _, t in rows))
+    truth = {i: component for i, (_, component) in near_truth(numbered, 5, 80, 100).items()}
+    docs = spark.createDataFrame([(f"s{i}", t, 1, "x") for i, t in numbered], "source string, text string, words int, cluster string")
+    found = clustered(docs.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    of = {r.source: r.cluster for r in found}
+    groups = defaultdict(set)
+    for i, t in numbered:
+        # Texts without words are one cluster.
+        groups[truth[i] if (t or "").strip() else "none"].add(of[f"s{i}"])
+    assert all(len(clusters) == 1 for clusters in groups.values())
+    assert len({c for clusters in groups.values() for c in clusters}) == len(groups)
+    assert clustered(frame(spark, rows).limit(0)).count() == 0
+    same = frame(spark, [(i, "one two three four five six seven") for i in range(2000)])
+    assert clustered(same).select("cluster").distinct().count() == 1
+
+
 PAGES = [
     ("<title>t</title><p>One<p>Two<br>three", "One\n\nTwo\nthree"),
     ("<ul><li>a<li>b<ol start=3><li>c<li value=9>d<li>e</ol></ul>after", "- a\n- b\n  3. c\n  9. d\n  10. e\n\nafter"),
@@ -210,6 +232,62 @@ def test_formulas_drawings_and_spanning_rows(page, text):
     assert rendered(page) == text
 
 
+VISIBLE = [
+    ("<div style='visibility:hidden'>a<span style='visibility:visible'>b</span>c</div>d", "b\nd"),
+    ("<div style='display:none;display:block'>a</div>b", "a\nb"),
+    ("<p style='display:block;display:none'>a</p>b", "b"),
+    ("<p style='display:none !important;display:block'>a</p>b", "b"),
+    ("<p style='display:none;display:nonsense'>a</p><p style='nodisplay:none; /* display:none */'>c", "c"),
+    ("<p hidden style='display:block'>a</p><p hidden style='color:red'>b</p>", "a"),
+    ("<details><summary>s<b>t</b></summary>no<summary>no</summary></details><details open><summary>s</summary>yes</details>", "st\n\ns\nyes"),
+    ("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>", "kr"),
+    ("<ul style='visibility:collapse'><li>a<li style='visibility:inherit'>b<li style='visibility:initial'>c</ul>", "- c"),
+    ("<dialog>a</dialog><dialog open>b</dialog><dialog style='display:block'>c</dialog>", "b\nc"),
+    ("<img style='visibility:hidden' alt=a><img alt=b><input style='visibility:hidden' value=c>", "b"),
+]
+
+
+@pytest.mark.parametrize("page,text", VISIBLE)
+def test_visibility(page, text):
+    assert re.sub("\n+", "\n", rendered(page)) == re.sub("\n+", "\n", text)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_visible_words_against_a_plain_walk(seed):
+    """Random trees: the words a walk from the top sees, in order, are the words of the rendered page."""
+    rnd = random.Random(seed)
+    styles = ["", "", "display:none", "visibility:hidden", "visibility:visible", "color:red;display:inline", "display:none;display:block", "visibility:hidden;visibility:inherit"]
+    number = iter(range(10_000))
+
+    def tree(depth):
+        """(markup, words seen if the surroundings are visible, or if they are not)"""
+        page, seen, unseen = "", [], []
+        for _ in range(rnd.randrange(1, 5)):
+            if depth == 0 or rnd.random() < 0.4:
+                word = f"w{next(number)}"
+                page += f" {word} "
+                seen.append(word)
+                continue
+            inner, visible, invisible = tree(depth - 1)
+            name, style = rnd.choice(["div", "span", "p", "section", "b"]), rnd.choice(styles)
+            if name == "p":
+                name = "div"
+            attribute = rnd.choice(["", "", "", " hidden"])
+            page += f"<{name}{attribute} style='{style}'>{inner}</{name}>"
+            if style == "display:none" or (attribute and "display" not in style):
+                continue
+            if style == "visibility:hidden":
+                visible = invisible
+            elif style == "visibility:visible":
+                invisible = visible
+            seen += visible
+            unseen += invisible
+        return page, seen, unseen
+
+    page, seen, _ = tree(5)
+    assert rendered(page).split() == seen
+
+
 def test_pages(spark):
     rows = [(1, "<p>a"), (None, None), (3, ""), (1, "<p>a"), (4, "<div>" * 20000 + "deep" + "</table>" * 3000), (5, "<table>" * 300 + "x")]
     pages = spark.createDataFrame([(i, h, "clash", "u") for i, h in rows], "page_id long, html string, text string, url string")
