@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from bequest.llm import token_files
 from bequest.llm.alignment import Csr, Tokenizers, alignment, group_links, overlap_links, product
+from bequest.llm.queries import QUERIES
 from bequest.llm.token_files import EliasFano, TokenFile, read_document, read_token_files, token_ids, write_token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -256,3 +257,13 @@ def test_every_linked_pair_is_among_those_that_can_end_together(known):
         a, b = whole(sentence(rnd, 30) + rnd.choice(STRANGE), known)
         ends = {e: i for i, (_, e) in zip(b, spans(b, known.b_bytes))}
         assert all(i * width + ends[e] in pairs for i, (_, e) in zip(a, spans(a, known.a_bytes)) if e in ends)
+
+
+def test_queries_over_the_generated_documents(spark, known):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    files = QUERIES["op11_token_files"](spark, folder).collect()
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in files} == token_truth(rows)
+    found = QUERIES["op12_tokenizer_alignment"](spark, folder)
+    assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == alignment_truth(rows, known)
