@@ -46,8 +46,11 @@ EDGES = 1 << 19
 PAIRS = 1 << 16
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every node of a task's edges with the smallest one that these edges connect it to."""
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a task's edges (a, b) with the smallest one that these edges connect it to.
+
+    For functions that find edges: what they yield goes through here on its way out of the task.
+    """
     up: dict[int, int] = {}
     edges = 0
 
@@ -76,13 +79,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b): a row (node, component) for every node.
 
-    component is the smallest node of the component.  Tasks first replace their own edges by stars.  Then
-    rounds until every node hangs on a root: a node hangs on the smallest node it is paired with, its other
-    pairs become pairs of that one, and it moves up to what its smallest hangs on.  The number of pairs never
-    grows; each round is written to the shared folder, in few files where it is small.
+    component is the smallest node of the component.  Rounds until every node hangs on a root: a node
+    hangs on the smallest node it is paired with, its other pairs become pairs of that one, and it moves up
+    to what its smallest hangs on.  The number of pairs never grows; each round is written to the shared
+    folder, in few files where it is small.  Few rounds are left where tasks have made `stars` of their edges.
     """
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    pairs = kept(pairs.mapInArrow(_stars, "a long, b long"), f"{name}-edges")
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = kept(pairs.filter("a <> b"), f"{name}-edges")
     while True:
         few = -(-pairs.count() // PAIRS) or 1
         lows = pairs.groupBy("a").agg(F.min("b").alias("m"), (F.max("b") > F.min("b")).alias("several"))

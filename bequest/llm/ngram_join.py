@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, kept, small_batches
+from .common import components, kept, small_batches, stars
 from .words import mixed, runs, word_hashes
 
 #: Buckets of the frequency sketch that orders shingles; a fixed size, 1 MB when broadcast.
@@ -439,6 +439,7 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     small_batches(spark)
+    candidates, verified = _candidates(num, den), _verified(num, den)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = kept(read.mapInArrow(_signed(k), _SIGNED), "sets")
     levels = spark.sparkContext.broadcast(_levels(signed.filter("slice is not null").select("slice", "counts")))
@@ -512,7 +513,7 @@ def jaccard_components(
     near = (
         entries.repartition("token", "i", "j")
         .sortWithinPartitions("token", "i", "j")
-        .mapInArrow(_candidates(num, den), "a long, b long")
+        .mapInArrow(lambda batches: stars(candidates(batches)), "a long, b long")
     )
     within = members.join(groups.select("n", "shape", "gid"), ["n", "shape"]).filter("id <> gid")
     within = within.select(F.col("id").alias("a"), F.col("gid").alias("b"))
@@ -527,7 +528,7 @@ def jaccard_components(
     links = (
         compared.repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j")
-        .mapInArrow(_verified(num, den), "a long, b long")
+        .mapInArrow(lambda batches: stars(verified(batches)), "a long, b long")
     )
     linked = components(links, "links")
     reps = classes.join(linked, classes["rep"] == linked["node"], "left").select(
