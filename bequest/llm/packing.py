@@ -52,17 +52,23 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """As `measured`, but near copies are a cluster too: texts connected by 80 % of common five-word shingles.
 
-    Texts are joined by the hash of their words, so null ids and ids that repeat are like others.  Texts
-    without words are one cluster; no documents give no rows.
+    Null ids and ids that repeat are like others: where there are any, texts are joined by the hash of their
+    words.  Texts without words have no cluster (null); no documents give no rows.
     """
-    found = measured(docs, id_col, text_col, source_col)
+    found = kept(measured(docs, id_col, text_col, source_col), "measured")
+    rows, ids = found.agg(F.count("*"), F.count_distinct("id")).first()
+    if rows == ids:  # every row has an id of its own, by which it is joined
+        near = jaccard_components(docs, 5, 80, 100, id_col, text_col)
+        near = near.select(F.col(id_col).alias("id"), "component_id")
+        by_id = F.when(F.col("words") > 0, F.col("component_id"))
+        return found.join(near, "id").select("id", "source", "words", by_id.alias("cluster"))
     read = docs.select(
         F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("source"), F.col(text_col).alias("text")
     )
     near = jaccard_components(read.mapInArrow(_keyed, "id long, text string"), 5, 80, 100, "id", "text")
     near = near.filter("component_id <> id").select(F.col("id").alias("cluster"), "component_id").distinct()
     return found.join(near, "cluster", "left").select(
-        "id", "source", "words", F.coalesce("component_id", "cluster").alias("cluster")
+        "id", "source", "words", F.when(F.col("words") > 0, F.coalesce("component_id", "cluster")).alias("cluster")
     )
 
 

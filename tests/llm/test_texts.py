@@ -182,10 +182,13 @@ def test_clusters_of_near_copies(spark):
     of = {r.source: r.cluster for r in found}
     groups = defaultdict(set)
     for i, t in numbered:
-        # Texts without words are one cluster.
+        # Texts without words have none.
         groups[truth[i] if (t or "").strip() else "none"].add(of[f"s{i}"])
     assert all(len(clusters) == 1 for clusters in groups.values())
     assert len({c for clusters in groups.values() for c in clusters}) == len(groups)
+    by_id = clustered(docs.withColumn("doc_id", F.substring("source", 2, 9).cast("long"))).collect()
+    one, other = ({r.source: r.cluster for r in part} for part in (found, by_id))
+    assert len(set(one.values())) == len(set(other.values())) == len({(one[s], other[s]) for s in one})
     assert clustered(frame(spark, rows).limit(0)).count() == 0
     same = frame(spark, [(i, "one two three four five six seven") for i in range(2000)])
     assert clustered(same).select("cluster").distinct().count() == 1
