@@ -9,19 +9,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Times without a zone stay as they are, and hot join keys do not stall a stage.
+# Times without a zone stay as they are, and hot join keys do not stall a stage.  What one task reads of a
+# shuffle, and so the memory of its sorts and joins, does not grow with the tables.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
+#: Bytes of stored input for which a shuffle has a partition; adaptive execution joins small ones again.
+INPUT_PER_PARTITION = 2 << 20
+MOST_PARTITIONS = 4096
+
+
+def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Settings for a session; shuffles get more partitions than it asks for where the input is large."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(-(-input_bytes // INPUT_PER_PARTITION), MOST_PARTITIONS)
+    if wanted > least:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+    else:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
     return spark
 
 
@@ -96,5 +112,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     repeating the joins, and a lost executor costs no more than its own tasks.
     """
     folder = fresh_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -21,6 +21,16 @@ def file_status(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
 
 
+def stored_bytes(spark: SparkSession, folder: str, *tables: str) -> int:
+    """Size of some tables of a Parquet folder; a table that is not there counts as empty."""
+    total = 0
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        total += files.getContentSummary(path).getLength() if files.exists(path) else 0
+    return total
+
+
 def schema_of(spark: SparkSession, path: str) -> T.StructType:
     """Schema of a Parquet table; footers are read once per session and version of the table."""
     key = (spark.sparkContext.applicationId, path, file_status(spark, path).getModificationTime())

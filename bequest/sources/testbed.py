@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bequest.model import MONEY, TOTAL
 from bequest.operators.joins import attach
 from bequest.session import tune
-from bequest.sources.tables import literal_rows, scan
+from bequest.sources.tables import literal_rows, scan, stored_bytes
 
 HOLIDAYS = (
     (date(2025, 1, 1), "New Year", "Y"),
@@ -44,7 +44,7 @@ class Testbed:
     __test__ = False
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = tune(spark)
+        self.spark = tune(spark, stored_bytes(spark, folder, "lineitem", "orders"))
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
