@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bequest.operators import rules
 from bequest.operators.joins import matching
-from bequest.operators.moves import accept_in_order, status_history
+from bequest.operators.moves import accept_in_order, numbered, status_history
 from bequest.sources.tables import file_status, literal_rows, schema_of
 from bequest.streaming.state import KEEP, KeyedState, SlotState, publish, write_batch
 
@@ -153,28 +153,26 @@ def start_share_guard(
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         before = state.before(batch, batch_id)
-        checked = rules.check_assignment_targets(batch, assets, wills, beneficiaries).persist()
-        valid, broken = rules.split_checked(checked)
         cents = (F.col("share_percent") * 100).cast("long").alias("cents")
+        checked = rules.check_assignment_targets(batch, assets, wills, beneficiaries)
+        valid, broken = rules.split_checked(numbered(checked.select("*", cents), "checked-shares"))
         # Stored shares of the batch's assets only.
         stored = matching(shares, batch.select("asset_id").distinct(), "asset_id")
         used = stored.select("asset_id", cents).unionByName(before)
         room = used.groupBy("asset_id").agg((F.lit(10000) - F.sum("cents")).alias("room"))
-        accepted, refused = accept_in_order(valid.select("*", cents), room)
+        accepted, refused = accept_in_order(valid, room)
         over = refused.select(
             *batch.columns,
             F.lit(-21004).alias("reject_code"),
             F.lit("shares would exceed 100 %").alias("reject_reason"),
         )
-        accepted = accepted.persist()
         write_batch(accepted.select(*batch.columns), f"{out}/accepted", batch_id)
+        kept = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/accepted/batch={batch_id}")
         write_batch(
             broken.select(*over.columns).unionByName(over), f"{out}/rejected", batch_id
         )
-        total = before.unionByName(accepted.select("asset_id", "cents"))
+        total = before.unionByName(kept.select("asset_id", cents))
         state.after(total.groupBy("asset_id").agg(F.sum("cents").alias("cents")), batch_id)
-        accepted.unpersist()
-        checked.unpersist()
         batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
