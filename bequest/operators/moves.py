@@ -509,7 +509,11 @@ def assign_shares(
     actor: str,
     salts: int | None = None,
 ) -> Tables:
-    """Share requests in seq order; one that would lift its asset above 100 % is refused."""
+    """Share requests in seq order; one that would lift its asset above 100 % is refused.
+
+    The stored shares are read for the free room and again for the new table: `tables` should hold them as a
+    table, not as a plan that derives them.
+    """
     checked = rules.check_assignment_targets(
         requests, tables["assets"], tables["wills"], tables["beneficiaries"]
     )
