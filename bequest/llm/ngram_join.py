@@ -15,8 +15,14 @@ from .words import mixed, runs, word_hashes
 #: Buckets of the frequency sketch that orders shingles; a fixed size, 1 MB when broadcast.
 SKETCH = 1 << 18
 _SLICE = 1 << 14
+#: Bytes of text whose sets are made at once; their arrays fit into a core's cache.
+TEXT = 1 << 17
 #: Words of the parity bitmap of a set, 64 bits each.
 BITS = 8
+#: Larger sets fill that bitmap; they have another one of so many words.
+WIDE, WIDE_BITS = 640, 32
+#: Places of the bitmap of ids that says which texts clusters need; a fixed size when broadcast.
+MARKS = 1 << 24
 #: Groups of a posting list, and documents of a cluster, that one task compares at once.
 BLOCK = 512
 #: Shingles of the documents that are compared at once, unless one pair has more.
@@ -30,18 +36,29 @@ _LEVEL = np.uint64(58)
 _LOW = np.uint64((1 << 58) - 1)
 
 
-def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its distinct k-word shingles); a shorter text is one shingle."""
-    for first, end, hashed, at in word_hashes(texts, True):
-        whole = runs(hashed, k)
-        for row in range(first, end):
-            a, b = at[row - first], at[row - first + 1]
-            if b - a >= k:
-                yield row, np.unique(whole[a : b - k + 1])
-            elif b > a:
-                yield row, runs(hashed[a:b], int(b - a))
-            else:
-                yield row, np.empty(0, np.uint64)
+def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, words of each row, hashes of the rows' distinct k-word shingles, where each row's begin).
+
+    A row's hashes ascend.  A text of fewer words is one shingle.
+    """
+    for first, _, hashed, at in word_hashes(texts, True, TEXT):
+        words = np.diff(at)
+        sizes = np.maximum(words - k + 1, np.minimum(words, 1))
+        place = np.arange(len(hashed)) - np.repeat(at[:-1], words)
+        found = np.zeros(len(hashed), np.uint64)
+        found[: max(0, len(hashed) - k + 1)] = runs(hashed, k)
+        for few in range(1, k):
+            begin = at[:-1][words == few]
+            if len(begin):
+                found[begin] = runs(hashed[(begin[:, None] + np.arange(few)).ravel()], few)[::few]
+        found = found[place < np.repeat(sizes, words)]
+        bounds = np.r_[0, np.cumsum(sizes)]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            found[a:b].sort()
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        new[bounds[:-1][sizes > 0]] = True
+        yield first, words, found[new], np.r_[0, np.cumsum(new)][bounds]
 
 
 #: A filled bucket of a slice of the sketch.
@@ -74,58 +91,82 @@ def _levels(parts: DataFrame) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8)
 
 
-def _prefix_length(n: int, num: int, den: int) -> int:
+def _prefix_length(n, num: int, den: int):
     """Two sets that link share one of the first members in any global order."""
     return n - -(-n * num // den) + 1
 
 
-_SIGNED = "id long, n int, one long, two long, bits array<long>, slice int, counts binary"
-_SIGNED_ARROW = pa.schema(
-    [
-        ("id", pa.int64()),
-        ("n", pa.int32()),
-        ("one", pa.int64()),
-        ("two", pa.int64()),
-        ("bits", pa.list_(pa.int64())),
-        ("slice", pa.int32()),
-        ("counts", pa.binary()),
-    ]
-)
+def _sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums between consecutive places."""
+    summed = np.r_[values.dtype.type(0), np.cumsum(values, dtype=values.dtype)]
+    return summed[at[1:]] - summed[at[:-1]]
+
+
+def _set_hashes(spread: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _sum(spread, at).view(np.int64)
+
+
+def _lists_of(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _set_hash(hashed: np.ndarray, salt: int) -> int:
-    return int(mixed(hashed ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64))
+_SKETCHED = "slice int, counts binary"
+_SIGNED = "id long, words int, n int, one long, two long, bits array<long>, wide array<long>"
+_SIGNED_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2]
 
 
-def _signed(k: int) -> Callable:
-    """A row for each set: size, two hashes and parity bitmap; then rows of the frequency sketch."""
+def _parities(row: np.ndarray, spread: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """Parity bitmaps of the rows' values, one after the other."""
+    places = 64 * words
+    flips = np.bincount(row * places + (spread % np.uint64(places)).astype(np.int64), minlength=rows * places) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.uint64)
+
+
+def _signed(k: int, beside: list[str]) -> Callable:
+    """A row for each set: words, size, two hashes and parity bitmaps; then rows of the frequency sketch.
+
+    Columns beside id and text stay with their rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        place = np.uint64(64 * BITS - 1)
+        names = [*(c.split()[0] for c in f"{_SIGNED}, {_SKETCHED}".split(", ")), *beside]
+        kept_kinds = []
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in _SIGNED_ARROW.names[:5]}
-            ids, found = batch.column("id").to_pylist(), []
-            for row, hashed in _sets(batch.column("text"), k):
-                flips = np.bincount((mixed(hashed) & place).astype(np.int64), minlength=64 * BITS) & 1
-                bits = np.packbits(flips.astype(np.uint8)).view(np.int64)
-                values = (ids[row], len(hashed), _set_hash(hashed, 0), _set_hash(hashed, 0xABCDEF), bits)
-                for column, value in zip(out.values(), values):
-                    column.append(value)
-                found.append((hashed % np.uint64(SKETCH)).astype(np.int64))
-            if found:
-                counts += np.bincount(np.concatenate(found), minlength=SKETCH)
-                nothing = {"slice": [None] * len(found), "counts": [None] * len(found)}
-                yield pa.RecordBatch.from_pydict(out | nothing, _SIGNED_ARROW)
+            kept_kinds = [batch.schema.field(c).type for c in beside]
+            sketched = []
+            for first, words, found, at in _sets(batch.column("text"), k):
+                rows = len(words)
+                spread = mixed(found)
+                row = np.repeat(np.arange(rows), np.diff(at))
+                large = np.diff(at) > WIDE
+                wide_at = np.r_[0, np.cumsum(large)]
+                wide = _parities(wide_at[row[large[row]]], spread[large[row]], int(wide_at[-1]), WIDE_BITS)
+                sketched.append((found % np.uint64(SKETCH)).astype(np.int32))
+                part = batch.slice(first, rows)
+                columns = [
+                    part.column("id"),
+                    pa.array(words, pa.int32()),
+                    pa.array(np.diff(at), pa.int32()),
+                    pa.array(_set_hashes(spread, at)),
+                    pa.array(_set_hashes(mixed(found ^ np.uint64(0xABCDEF)), at)),
+                    _lists_of(_parities(row, spread, rows, BITS), np.arange(rows + 1) * BITS),
+                    _lists_of(wide, wide_at * WIDE_BITS),
+                    pa.nulls(rows, pa.int32()),
+                    pa.nulls(rows, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in beside)], names)
+            if sketched:
+                counts += np.bincount(np.concatenate(sketched), minlength=SKETCH)
         if counts.any():
             filled = np.flatnonzero(counts)
             cells = np.empty(len(filled), _FILLED)
             cells["bucket"], cells["n"] = filled % _SLICE, counts[filled]
             cuts = np.searchsorted(filled, np.arange(0, SKETCH + 1, _SLICE))
             parts = [(i, cells[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
-            out = {name: [None] * len(parts) for name in _SIGNED_ARROW.names}
-            out |= {"slice": [i for i, _ in parts], "counts": [c for _, c in parts]}
-            yield pa.RecordBatch.from_pydict(out, _SIGNED_ARROW)
+            columns = [pa.nulls(len(parts), kind) for kind in _SIGNED_KINDS]
+            columns += [pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(parts), kind) for kind in kept_kinds)], names)
 
     return run
 
@@ -141,21 +182,25 @@ def _in_order(k: int, num: int, den: int, levels) -> Callable:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            out: list[tuple] = []
-            for row, hashed in _sets(batch.column("text"), k):
-                key = (ids[row], _set_hash(hashed, 0))
-                if len(hashed) and key not in seen:
-                    seen.add(key)
-                    level = levels.value[(hashed % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
-                    order = np.sort((level << _LEVEL) | (mixed(hashed) & _LOW))
-                    counted = int(np.searchsorted(order, below))
-                    first = order[: max(counted, _prefix_length(len(order), num, den))]
-                    out.append((*key, counted, first.view(np.int64)))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["id", "one", "counted", "members"]
-                )
+            for first, _, found, at in _sets(batch.column("text"), k):
+                spread = mixed(found)
+                ones, sizes = _set_hashes(spread, at), np.diff(at)
+                level = levels.value[(found % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
+                order = (level << _LEVEL) | (spread & _LOW)
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    order[a:b].sort()
+                counted = _sum((order < below).astype(np.int64), at)
+                taken = np.minimum(np.maximum(counted, _prefix_length(sizes, num, den)), sizes)
+                rank = np.arange(len(order)) - np.repeat(at[:-1], sizes)
+                members = _lists_of(order[rank < np.repeat(taken, sizes)], np.r_[0, np.cumsum(taken)])
+                rows = []
+                for row, (key, size) in enumerate(zip(zip(ids[first : first + len(sizes)], ones.tolist()), sizes.tolist())):
+                    if size and key not in seen:
+                        seen.add(key)
+                        rows.append(row)
+                columns = [batch.column("id").slice(first, len(sizes)), pa.array(ones), pa.array(counted, pa.int32()), members]
+                told = pa.RecordBatch.from_arrays(columns, ["id", "one", "counted", "members"])
+                yield told if len(rows) == len(sizes) else told.take(pa.array(rows, pa.int64()))
 
     return run
 
@@ -263,21 +308,26 @@ def _bounds(found: pa.Table, names: list[str]) -> np.ndarray:
     return np.r_[np.flatnonzero(change), found.num_rows]
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, words: int = BITS) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().reshape(-1, BITS).view(np.uint64)
+    return column.flatten().to_numpy().reshape(-1, words).view(np.uint64)
 
 
 def _candidates(num: int, den: int) -> Callable:
     """Edges between groups that may link, of every posting list or pair of its blocks."""
 
-    def passing(a, b, sizes, same, ones):
+    def passing(a, b, sizes, same, ones, wide, row):
         small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
         known = same[a] & same[b]
         apart = np.bitwise_count((ones[a] ^ ones[b]) & known).sum(-1)
         # |A xor B| <= (den - num) / (den + num) * (|A| + |B|) for sets that link
         most = (den - num) * (small + large) // (den + num)
-        return (den * small >= num * large) & (apart <= most)
+        ok = (den * small >= num * large) & (apart <= most)
+        if len(wide):
+            x, y = np.broadcast_arrays(row[a], row[b])
+            both = ok & (x >= 0) & (y >= 0)
+            ok[both] = np.bitwise_count(wide[x[both]] ^ wide[y[both]]).sum(-1) <= most[both]
+        return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "i", "j"]
@@ -286,13 +336,16 @@ def _candidates(num: int, den: int) -> Callable:
             groups, sizes = found.column("gid").to_numpy(), found.column("n").to_numpy().astype(np.int64)
             ones, both = _matrix(found.column("all_ones")), _matrix(found.column("any_ones"))
             same = ~(ones ^ both)  # positions at which the members of a group agree
+            wide = _matrix(found.column("wide"), WIDE_BITS)
+            large = found.column("wide").combine_chunks().value_lengths().to_numpy() > 0
+            row = np.where(large, np.cumsum(large) - 1, -1)  # of the wide bitmap, where there is one
             lengths = np.diff(at)
             left, right = [], []
             for length in np.unique(lengths[(lengths > 1) & (lengths <= 16)]):
                 begins = at[:-1][lengths == length]
                 i, j = np.triu_indices(length, 1)
                 a, b = (begins[:, None] + i).ravel(), (begins[:, None] + j).ravel()
-                ok = passing(a, b, sizes, same, ones)
+                ok = passing(a, b, sizes, same, ones, wide, row)
                 left.append(groups[a[ok]])
                 right.append(groups[b[ok]])
             for list_number in np.flatnonzero(lengths > 16):
@@ -301,7 +354,7 @@ def _candidates(num: int, den: int) -> Callable:
                 all_of_it = np.arange(begin, begin + length)
                 for x in range(0, length, 64):
                     a, b = all_of_it[x : x + 64, None], all_of_it[None, x:]
-                    ok_a, ok_b = np.nonzero(passing(a, b, sizes, same, ones) & (a < b))
+                    ok_a, ok_b = np.nonzero(passing(a, b, sizes, same, ones, wide, row) & (a < b))
                     pairs_a.append(ok_a + x)
                     pairs_b.append(ok_b + x)
                 for a, b in _forest(length, np.concatenate(pairs_a), np.concatenate(pairs_b)):
@@ -332,26 +385,32 @@ def _placed(clusters: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _marked(read: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Rows with an id of a cluster, and few others: those whose place in a bitmap of ids is marked."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    marks = clusters.select(place("node").alias("place")).groupBy(F.expr("place div 64").alias("word"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1L, int(place % 64)))").alias("marks"))
+    rows = read.withColumn("place", place("id")).withColumn("word", F.expr("place div 64"))
+    return rows.join(F.broadcast(marks), "word").filter("getbit(marks, int(place % 64)) = 1").select(*read.columns)
+
+
 def _members(k: int) -> Callable:
     """The sets of the members of clusters; one that repeats under one id is told once by each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            rows, ones, sets = [], [], []
             places = list(zip(batch.column("id").to_pylist(), batch.column("block").to_pylist()))
-            for row, hashed in _sets(batch.column("text"), k):
-                one = _set_hash(hashed, 0)
-                if (*places[row], one) not in seen:
-                    seen.add((*places[row], one))
-                    rows.append(row)
-                    ones.append(one)
-                    sets.append(hashed.view(np.int64))
-            batch = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in _PLACE), pa.array(ones, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                [*_PLACE, "one", "shingles"],
-            )
+            for first, words, found, at in _sets(batch.column("text"), k):
+                rows, ones = [], _set_hashes(mixed(found), at)
+                for row, one in enumerate(ones.tolist()):
+                    if (*places[first + row], one) not in seen:
+                        seen.add((*places[first + row], one))
+                        rows.append(row)
+                part = batch.slice(first, len(words))
+                columns = [*(part.column(c) for c in _PLACE), pa.array(ones), _lists_of(found, at)]
+                told = pa.RecordBatch.from_arrays(columns, [*_PLACE, "one", "shingles"])
+                yield told if len(rows) == len(words) else told.take(pa.array(rows, pa.int64()))
 
     return run
 
@@ -434,23 +493,37 @@ def jaccard_components(
     Equal sets are one class, rows that repeat an id with its set are one row, and classes with equal size and equal prefix (the first members in a
     global order, rare first) are one group.  A class whose whole prefix no other class holds drops
     out.  Groups that share a prefix member and have fitting sizes and bitmaps are candidates; the
-    members of connected candidates are compared in full.  Long posting lists and large clusters
+    members of connected candidates are compared in full; only their texts are shuffled.  Long posting lists and large clusters
     are cut into blocks, compared pair by pair, and every block gives a forest, not all its pairs.
     """
-    spark = docs.sparkSession
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return joined(read, k, num, den).select(
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id")
+    )
+
+
+def joined(read: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, words, n, component, others): the components of `jaccard_components` with the texts' numbers of words.
+
+    Columns of the documents (id, text, others) beside id and text stay with their rows.
+    """
+    spark = read.sparkSession
     small_batches(spark)
     candidates, verified = _candidates(num, den), _verified(num, den)
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = kept(read.mapInArrow(_signed(k), _SIGNED), "sets")
+    beside = [f for f in read.schema.fields if f.name not in ("id", "text")]
+    others = [f.name for f in beside]
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in beside)
+    signed = kept(read.mapInArrow(_signed(k, others), f"{_SIGNED}, {_SKETCHED}{kinds}"), "sets")
+    read = read.select("id", "text")
     levels = spark.sparkContext.broadcast(_levels(signed.filter("slice is not null").select("slice", "counts")))
     signed = signed.filter("slice is null").drop("slice", "counts")
 
     bits = [f"b{i}" for i in range(BITS)]
     classes = signed.filter("n > 0 and id is not null").groupBy("n", "one", "two").agg(
-        F.min("id").alias("rep"), F.min("bits").alias("bits")
+        F.min("id").alias("rep"), F.min("bits").alias("bits"), F.min("wide").alias("wide")
     )
     classes = kept(
-        classes.select("n", "one", "two", "rep", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "classes"
+        classes.select("n", "one", "two", "rep", "wide", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "classes"
     )
     first = kept(
         read.filter("id is not null")
@@ -481,10 +554,11 @@ def jaccard_components(
     )
     prefixes = kept(prefixes.withColumn("shape", F.xxhash64("prefix")), "prefixes")
     members = kept(
-        prefixes.select("id", "n", "shape").join(classes.select(F.col("rep").alias("id"), *bits), "id"), "members"
+        prefixes.select("id", "n", "shape").join(classes.select(F.col("rep").alias("id"), "wide", *bits), "id"), "members"
     )
     groups = members.groupBy("n", "shape").agg(
         F.min("id").alias("gid"),
+        F.when(F.count("*") == 1, F.min("wide")).alias("wide"),
         *(F.expr(f"bit_and({b})").alias(f"and_{b}") for b in bits),
         *(F.expr(f"bit_or({b})").alias(f"or_{b}") for b in bits),
     )
@@ -493,6 +567,7 @@ def jaccard_components(
             "n", "shape", "gid",
             F.array(*(f"and_{b}" for b in bits)).alias("all_ones"),
             F.array(*(f"or_{b}" for b in bits)).alias("any_ones"),
+            F.coalesce("wide", nothing).alias("wide"),
         ),
         "groups",
     )
@@ -509,7 +584,7 @@ def jaccard_components(
     )
     long_lists = lists.filter("block > 0").groupBy("token").agg(F.max("block").alias("last"))
     entries = lists.join(long_lists, "token", "left").fillna(0, ["last"])
-    entries = _block_pairs(entries).join(groups.select("gid", "all_ones", "any_ones"), "gid")
+    entries = _block_pairs(entries).join(groups.select("gid", "all_ones", "any_ones", "wide"), "gid")
     near = (
         entries.repartition("token", "i", "j")
         .sortWithinPartitions("token", "i", "j")
@@ -520,7 +595,7 @@ def jaccard_components(
     clusters = kept(components(near.unionByName(within), "candidates"), "clusters")
 
     sets = (
-        read.join(_placed(clusters, classes), "id")
+        _marked(read, clusters).join(_placed(clusters, classes), "id")
         .select(*_PLACE, "text")
         .mapInArrow(_members(k), "cluster long, id long, block int, last int, one long, shingles array<long>")
     )
@@ -535,11 +610,8 @@ def jaccard_components(
         "n", "one", "two", F.coalesce("component", "rep").alias("component")
     )
     reps = kept(reps, "class-components")
-    return signed.join(reps, ["n", "one", "two"], "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-    )
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return signed.join(reps, ["n", "one", "two"], "left").select("id", "words", "n", component.alias("component"), *others)
 
 
 def without_near_copies(

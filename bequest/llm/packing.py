@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, small_batches
-from .ngram_join import jaccard_components
+from .ngram_join import jaccard_components, joined
 from .words import _PLACE, mixed, word_hashes
 
 #: Pieces that are packed together in one task.
@@ -55,13 +55,13 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Null ids and ids that repeat are like others: where there are any, texts are joined by the hash of their
     words.  Texts without words have no cluster (null); no documents give no rows.
     """
-    found = kept(measured(docs, id_col, text_col, source_col), "measured")
-    rows, ids = found.agg(F.count("*"), F.count_distinct("id")).first()
+    own = F.col(id_col).cast("long").alias("id")
+    rows, ids = docs.select(own).agg(F.count("*"), F.count_distinct("id")).first()
     if rows == ids:  # every row has an id of its own, by which it is joined
-        near = jaccard_components(docs, 5, 80, 100, id_col, text_col)
-        near = near.select(F.col(id_col).alias("id"), "component_id")
-        by_id = F.when(F.col("words") > 0, F.col("component_id"))
-        return found.join(near, "id").select("id", "source", "words", by_id.alias("cluster"))
+        read = docs.select(own, F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
+        cluster = F.when(F.col("words") > 0, F.col("component"))
+        return joined(read, 5, 80, 100).select("id", "source", F.col("words").cast("long").alias("words"), cluster.alias("cluster"))
+    found = kept(measured(docs, id_col, text_col, source_col), "measured")
     read = docs.select(
         F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("source"), F.col(text_col).alias("text")
     )

@@ -27,6 +27,19 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _powers(base: int, count: int) -> np.ndarray:
+    """base ** 0 to base ** (count - 1), modulo 2 ** 64."""
+    found = np.full(count, base, np.uint64)
+    found[:1] = 1
+    return np.cumprod(found)
+
+
+#: Bytes whose powers of the step are kept; those of other bytes are these times a power of their block.
+_BLOCK = 1 << 12
+_BACK = pow(int(_STEP), -1, 1 << 64)
+_STEPS, _BACKS = _powers(int(_STEP), _BLOCK) * _STEP, _powers(_BACK, _BLOCK)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,16 +81,24 @@ def cut(data: np.ndarray, offsets: np.ndarray, other: np.ndarray = _IS_SPACE):
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of every word; fold: A-Z count as a-z."""
+    """A 64-bit hash of every word; fold: A-Z count as a-z.
+
+    A word's hash is the sum of its bytes' values, each times a power of the step by its place in the word: the
+    difference of two running sums over the data, times the step's inverse to the power of the word's start.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
-    lengths = ends - starts
-    begins = np.cumsum(lengths) - lengths
-    total = int(lengths.sum())
-    place = np.arange(total) - np.repeat(begins, lengths)
-    values = (_FOLDED if fold else _BYTE)[data[place + np.repeat(starts, lengths)]]
-    power = np.cumprod(np.full(int(lengths.max()), _STEP, np.uint64))
-    return mixed(np.add.reduceat(values * power[place], begins) + lengths.astype(np.uint64))
+    blocks = -(-len(data) // _BLOCK)
+    total = np.zeros(blocks * _BLOCK + 1, np.uint64)
+    total[1 : len(data) + 1] = (_FOLDED if fold else _BYTE)[data]
+    values = total[1:].reshape(blocks, _BLOCK)
+    values *= _STEPS
+    values *= _powers(pow(int(_STEP), _BLOCK, 1 << 64), blocks)[:, None]
+    np.cumsum(total, out=total)
+    found = total[ends] - total[starts]
+    found *= _powers(pow(_BACK, _BLOCK, 1 << 64), blocks)[starts // _BLOCK]
+    found *= _BACKS[starts % _BLOCK]
+    return mixed(found + (ends - starts).astype(np.uint64))
 
 
 def runs(hashed: np.ndarray, k: int) -> np.ndarray:
@@ -91,8 +112,8 @@ def runs(hashed: np.ndarray, k: int) -> np.ndarray:
     return mixed(total + np.uint64(k))
 
 
-def word_hashes(texts: pa.Array, fold: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: pa.Array, fold: bool, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, hashes of all words, number of each text's first word)."""
-    for first, end, data, offsets in chunks(texts):
+    for first, end, data, offsets in chunks(texts, size):
         starts, ends, at = cut(data, offsets)
         yield first, end, hashes(data, starts, ends, fold), at

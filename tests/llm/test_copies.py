@@ -7,10 +7,11 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from corpus import corpus, frame, sentence
 
-from bequest.llm import exact_dedup, ngram_join, substring_dedup
+from bequest.llm import exact_dedup, ngram_join, packing, substring_dedup
 from bequest.llm.common import components
 from bequest.llm.exact_dedup import exact_duplicates, without_copies
 from bequest.llm.ngram_join import jaccard_components, without_near_copies
@@ -208,3 +209,30 @@ def test_nothing(spark):
     assert exact_duplicates(docs).count() == 0
     assert jaccard_components(docs).count() == 0
     assert remove_repeated_passages(docs).count() == 0
+
+
+def test_long_sets_are_candidates_by_their_wide_bitmap():
+    rnd = random.Random(5)
+    words = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(1500)]
+    near = words()
+    texts = [" ".join(t) for t in (near, words(), near[:1400] + words()[:60], words())]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": texts})
+    rows = pa.Table.from_batches([next(ngram_join._signed(5, [])(iter([batch])))])
+    entries = pa.table(
+        {
+            "token": [7] * 4, "i": [0] * 4, "j": [0] * 4, "gid": rows["id"], "n": rows["n"],
+            "all_ones": rows["bits"], "any_ones": rows["bits"], "wide": rows["wide"],
+        }
+    )
+    found = pa.Table.from_batches(list(ngram_join._candidates(80, 100)(iter(entries.combine_chunks().to_batches()))))
+    assert found.to_pylist() == [{"a": 3, "b": 1}]
+
+
+def test_clusters_of_unique_ids_take_their_words_from_the_join(spark, monkeypatch):
+    rows = [(1, "a b c d e f g"), (2, "A b c d  e f g"), (3, "x"), (4, None)]
+    monkeypatch.setattr(packing, "measured", None)
+    found = packing.clustered(frame(spark, rows)).collect()
+    assert sorted((r.id, r.source, r.words, r.cluster) for r in found if r.words) == [
+        (1, "src1", 7, 1), (2, "src2", 7, 1), (3, "src0", 1, 3)
+    ]
+    assert [(r.id, r.source, r.words, r.cluster) for r in found if not r.words] == [(4, "src1", 0, None)]
