@@ -263,8 +263,11 @@ def write_token_files(
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = _splitters(_read(docs, id_col, text_col).select("doc_id", "place"), parts)
-    tokens = token_ids(docs, tokenizer, end, id_col, text_col).mapInArrow(_placed(splitters), f"{_ENCODED}, part int")
+    small_batches(spark)
+    read = _read(docs, id_col, text_col)
+    splitters = _splitters(read.select("doc_id", "place"), parts)
+    encode, placed = _encode(tokenizer, end), _placed(splitters)
+    tokens = read.mapInArrow(lambda batches: placed(encode(batches)), f"{_ENCODED}, part int")
     order = [F.col("doc_id").asc_nulls_last(), F.col("place").asc_nulls_last()]
     ranged = tokens.repartitionById(len(splitters) + 1, "part").sortWithinPartitions(*order, "tokens")
     files = ranged.select("doc_id", "tokens").mapInArrow(_pack(id_kind(tokenizer, end), file_ids, file_docs), "file binary")

@@ -23,8 +23,9 @@ REMEMBERED = 1 << 19
 POOLED = 1 << 23
 #: Bytes of text taken at once; every one costs some hundred bytes of memory on the way.
 TEXT = 1 << 19
-#: Pieces of words a worker remembers.
+#: Pieces of words a worker remembers, and those whose ids stand in one array.
 PIECES = 1 << 16
+LISTED = 1 << 17
 
 
 class Pools:
@@ -146,6 +147,62 @@ class PieceEncoder:
         return out
 
 
+class WordEncoder:
+    """Ids of many words at once by a tokenizer that treats every word alone.
+
+    Plain words are lower-cased and cut as one text, and pieces are told apart once for all words of a call.
+    """
+
+    def __init__(self, encoder: PieceEncoder) -> None:
+        self.encoder = encoder
+        self.pattern = re.compile(f"{encoder.pattern.pattern}|\\n")
+        #: Whether a character is plain, by code point; all from the last on are not.
+        self.plain = np.array([bool(_PLAIN.fullmatch(chr(c))) and chr(c) not in encoder.marks for c in range(0x180)] + [False])
+        self._forget()
+
+    def _forget(self) -> None:
+        # The line end is a piece without ids.
+        self.known = {"\n": 0}
+        self.sizes, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        new = set(pieces).difference(self.known)
+        if len(self.known) + len(new) > LISTED:
+            self._forget()
+            new = set(pieces).difference(self.known)
+        tokenize, spelled = self.encoder.tokenizer.model.tokenize, self.encoder.spelled
+        sizes, ids = flat([[t.id for t in tokenize(p if p.isascii() else p.translate(spelled))] for p in new])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.sizes, self.ids = np.r_[self.sizes, sizes], np.r_[self.ids, ids]
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words' ids, and all their ids; a line end stands behind every word."""
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        odd = np.flatnonzero(~self.plain[np.minimum(points, len(self.plain) - 1)])
+        odd = np.unique(np.searchsorted(np.flatnonzero(points == 10), odd))
+        others = []
+        if len(odd):
+            words = text.split("\n")
+            for place in odd.tolist():
+                others.append(words[place])
+                words[place] = ""
+            text = "\n".join(words)
+        pieces = self.pattern.findall(text.lower() if self.encoder.lower else text)
+        self._learn(pieces)
+        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        sizes = self.sizes[which]
+        summed = np.cumsum(sizes)
+        place = np.repeat((np.cumsum(self.sizes) - self.sizes)[which] - (summed - sizes), sizes)
+        ids = self.ids[place + np.arange(len(place))]
+        ends = summed[which == 0]
+        lengths = np.diff(ends, prepend=0)
+        if others:
+            found = self.encoder.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+            lengths[odd], more = flat([one.ids for one in found])
+            ids = np.insert(ids, np.repeat(ends[odd], lengths[odd]), more)
+        return lengths, ids
+
+
 def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of lists, and all their entries."""
     lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -197,10 +254,21 @@ def _opened(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         return tokenizer, None, None
-    return tokenizer, PieceEncoder(tokenizer, description, _PLAIN_WORDWISE, True), Pools([np.uint32])
+    encoder = WordEncoder(PieceEncoder(tokenizer, description, _PLAIN_WORDWISE, True))
+    return tokenizer, encoder, Pools([np.uint32])
+
+
+def _lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """Words of the data, a line end behind each."""
+    behind = np.cumsum(ends - starts + 1)
+    place = np.repeat(ends + 1 - behind, ends - starts + 1)
+    place += np.arange(len(place))
+    lines = data[np.minimum(place, len(data) - 1)]
+    lines[behind - 1] = ord("\n")
+    return lines.tobytes().decode()
 
 
-def _word_ids(texts: pa.Array, encoder: PieceEncoder, pools: Pools) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _word_ids(texts: pa.Array, encoder: WordEncoder, pools: Pools) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for _, _, data, offsets in chunks(texts, TEXT):
         starts, ends, at = cut(data, offsets)
         if not len(starts):
@@ -210,8 +278,7 @@ def _word_ids(texts: pa.Array, encoder: PieceEncoder, pools: Pools) -> Iterator[
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
         new = pools.missing(distinct)
         places = first[new]
-        words = [data[a:b].tobytes().decode() for a, b in zip(starts[places].tolist(), ends[places].tolist())]
-        pools.add(distinct[new], [flat(encoder(words))])
+        pools.add(distinct[new], [encoder(_lines(data, starts[places], ends[places]))])
         ranks = pools.ranks(distinct)[which]
         yield split(pools.counts(0, ranks), at), pools.take(0, ranks)
 

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from bequest.llm import token_files
+from bequest.llm import token_files, tokens
 from bequest.llm.alignment import Csr, Tokenizers, alignment, group_links, overlap_links, product
 from bequest.llm.queries import QUERIES
 from bequest.llm.token_files import EliasFano, TokenFile, read_document, read_token_files, token_ids, write_token_files
@@ -267,3 +267,15 @@ def test_queries_over_the_generated_documents(spark, known):
     found = QUERIES["op12_tokenizer_alignment"](spark, folder)
     assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted((tuple(r) for r in found.collect()), key=str) == alignment_truth(rows, known)
+
+
+def test_pieces_of_many_words_are_told_apart_once(monkeypatch):
+    words = "Abc abc, ABC. d'abc été Été ß 日本 a<b x9 abc".split()
+    tokenizer, encoder, _ = tokens._opened(WORD_BPE)
+    encoder._forget()
+    lengths, ids = encoder("".join(f"{w}\n" for w in words))
+    truth = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert lengths.tolist() == [len(t) for t in truth] and ids.tolist() == [i for t in truth for i in t]
+    assert set(encoder.known) == {"\n", "abc", ",", ".", "d", "'", "été", "x", "9", "ß"}
+    monkeypatch.setattr(tokens, "LISTED", 4)
+    assert encoder("".join(f"{w}\n" for w in words))[1].tolist() == ids.tolist()
